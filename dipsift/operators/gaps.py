@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit
-from dipsift.operators.ordered import SHARD_DAYS, islands, locate, with_neighbours
+from dipsift.operators.ordered import SHARD_DAYS, islands, locate, running_total, with_neighbours
 
 CURVE = ["tic", "sector"]
 
 
 def gap_edges(lc: DataFrame, gap: float = k.GAP_BREAK_DAYS) -> DataFrame:
-    """First and last cadence of every curve and both sides of each break."""
+    """First and last cadence of every curve and both sides of each break;
+    ``is_single`` marks the only cadence of a one-cadence curve."""
     n = with_neighbours(lc.select(*CURVE, "time"), CURVE, "time")
     after = F.coalesce(F.col("time") - F.col("_prev.time") > lit(gap), F.lit(True))
     before = F.coalesce(F.col("_next.time") - F.col("time") > lit(gap), F.lit(True))
-    return n.where(after | before).select(*CURVE, "time")
+    return n.where(after | before).select(
+        *CURVE, "time", (F.col("_prev").isNull() & F.col("_next").isNull()).alias("is_single"))
 
 
 def gap_distance(lc: DataFrame, points: DataFrame, at: str, gap: float = k.GAP_BREAK_DAYS,
                  name: str = "gap_proximity") -> DataFrame:
     """Days from each point to the nearest edge of its curve; NULL for curves
     with fewer than two cadences."""
-    sizes = lc.groupBy(*CURVE).agg(F.count("time").alias("_n")).where(F.col("_n") >= 2).select(*CURVE)
-    edges = gap_edges(lc, gap).join(sizes, CURVE, "left_semi").withColumnRenamed("time", at)
+    edges = (gap_edges(lc, gap).where("not is_single").drop("is_single")
+             .withColumnRenamed("time", at))
     found = locate(edges, points, CURVE, at)
     return (found.withColumn(name, F.least(F.col(at) - F.col(f"prev.{at}"),
                                            F.col(f"next.{at}") - F.col(at)))
@@ -47,7 +49,6 @@ def sector_windows(spans: DataFrame, time_step: float = 0.01, slack: int = 1000,
     n = with_neighbours(spans, ["tic"], "t_min", carry=["t_max"], width=400.0)
     flagged = n.withColumn("_open", F.coalesce(
         (F.col("t_min") - F.col("_prev.t_max") > lit(k.SPAN_BREAK_DAYS)).cast("int"), F.lit(0)))
-    from dipsift.operators.ordered import running_total
     grouped = running_total(flagged, ["tic"], "t_min", F.col("_open"), "window_id", width=400.0)
     g = k.SPAN_GRID_PER_DAY
     return (grouped.groupBy("tic", "window_id")
@@ -93,7 +94,6 @@ def duplicate_groups(events: DataFrame, tolerance: float = k.DUPLICATE_TOLERANCE
 def dip_runs(lc: DataFrame, threshold: float, row_id: str = "event_id") -> DataFrame:
     """One row per run of contiguous cadences below ``threshold``: the time of
     its deepest cadence (first among equals) and the run length."""
-    from dipsift.operators.ordered import running_total
     n = with_neighbours(lc.withColumn("_below", F.col("flux") < lit(threshold)), CURVE, "time", ["_below"])
     starts = (F.col("_below") & ~F.coalesce(F.col("_prev._below"), F.lit(False))).cast("bigint")
     runs = running_total(n.drop("_next"), CURVE, "time", starts, "run_id")

@@ -66,12 +66,27 @@ def running_total(df: DataFrame, keys: Sequence[str], at: str, value: Column, na
 def islands(df: DataFrame, keys: Sequence[str], at: str, gap: float, name: str = "island",
             tie: Sequence[str] = (), width: float = SHARD_DAYS) -> DataFrame:
     """Numbers runs of rows whose successive spacing stays within ``gap``: a new
-    run starts where the spacing exceeds it.  Ids count from 0 per key."""
-    flagged = with_neighbours(df, keys, at, tie=tie, width=width)
-    starts = F.coalesce((F.col(at) - F.col(f"_prev.{at}") > lit(gap)).cast("bigint"),
-                        F.lit(0).cast("bigint"))
-    return (running_total(flagged, keys, at, starts, name, tie, width)
-            .drop("_prev", "_next"))
+    run starts where the spacing exceeds it.  Ids count from 0 per key.
+
+    One summary row per shard (first time, last time, breaks inside) is enough:
+    whether a shard's first row opens a run follows from the previous shard's
+    last time."""
+    t = F.col(at)
+    inner = Window.partitionBy(*keys, "_shard").orderBy(at, *tie)
+    across = Window.partitionBy(*keys).orderBy("_shard")
+    local = _with_shard(df, at, width).withColumn(
+        "_break", F.coalesce((t - F.lag(at).over(inner) > lit(gap)).cast("bigint"), F.lit(0)))
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(across) > lit(gap)).cast("bigint"), F.lit(0))
+    heads = (local.groupBy(*keys, "_shard")
+             .agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_break").alias("_inside"))
+             .withColumn("_opens", opens)
+             .select(*keys, "_shard", (F.sum("_opens").over(across) + F.coalesce(
+                 F.sum("_inside").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                 .alias("_base")))
+    run = F.sum("_break").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (local.withColumn("_run", run).join(heads, [*keys, "_shard"])
+            .withColumn(name, F.col("_base") + F.col("_run"))
+            .drop("_shard", "_break", "_run", "_base"))
 
 
 def locate(points: DataFrame, queries: DataFrame, keys: Sequence[str], at: str,

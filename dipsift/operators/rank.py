@@ -18,6 +18,7 @@ from dipsift.operators.skew import attach
 
 BUCKETS = 1024
 TIE_RANGES = 64
+FINE_BUCKETS = 8192
 
 
 def scalar(df: DataFrame, column: Column) -> Column:
@@ -102,12 +103,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
          * F.col(f"_{name}_w")).alias(name) for name in probs])
 
 
-def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str]) -> DataFrame:
-    """Per key: ``n``, ``med`` and ``mad`` (median absolute deviation)."""
-    med = quantiles(df, keys, value, {"med": 0.5})
+def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str],
+               half_range: float | None = None) -> DataFrame:
+    """Per key: ``n``, ``med`` and ``mad`` (median absolute deviation).
+    ``half_range`` is the expected magnitude of the values: it only places the
+    buckets (values beyond it share the end buckets), and saves a pass."""
+    box = None if half_range is None else (-half_range, half_range)
+    med = quantiles(df, keys, value, {"med": 0.5}, FINE_BUCKETS, box)
     dev = (attach(df.where(F.col(value).isNotNull()), med, keys, spread, "inner")
            .withColumn("_dev", F.abs(F.col(value) - F.col("med"))))
-    mad = quantiles(dev, keys, "_dev", {"mad": 0.5}).drop("n")
+    box = None if half_range is None else (0.0, half_range)
+    mad = quantiles(dev, keys, "_dev", {"mad": 0.5}, FINE_BUCKETS, box).drop("n")
     return med.join(mad, list(keys))
 
 

@@ -86,6 +86,17 @@ VIEW_SQL: dict[str, str] = {
                CASE o_orderpriority WHEN '1-URGENT' THEN 'per_system_' || CAST(o_custkey // 10 AS VARCHAR)
                     WHEN '2-HIGH' THEN 'secondary_all63' ELSE 'aggregate' END AS program
               FROM orders)""",
+    "test_events": f"""
+        SELECT *, floor({u_sql('score', 'event_id')} * 1e4) / 1e4 AS score FROM (
+        SELECT e.model_idx, e.tic, e.sector, e.model_idx * 3 + d.j AS event_id,
+               CASE d.j WHEN 0 THEN e.inj_time + ({u_sql('jit0', 'e.model_idx')} - 0.5e0) * 2e0 * e.inj_duration
+                    WHEN 1 THEN coalesce(e.partner_time, e.inj_time)
+                         + ({u_sql('jit1', 'e.model_idx')} - 0.5e0) * 2e0 * e.inj_duration
+                    ELSE e.found_time END AS event_time,
+               e.depth, e.duration, e.snr, e.inverted_lc
+        FROM (SELECT t.*, c.event_time AS found_time, c.depth, c.duration, c.snr
+              FROM tce c JOIN tests t ON t.model_idx = c.event_id) e,
+             (VALUES (0), (1), (2)) d(j))""",
     "record": f"""
         SELECT *, floor(({u_sql('score', 'rec_id')} * 0.7e0 + label * 0.3e0) * 1e4) / 1e4 AS score,
                floor(({u_sql('base', 'rec_id')} * 0.9e0 + label * 0.1e0) * 1e4) / 1e4 AS score_base,
@@ -227,6 +238,21 @@ class Views:
                                    F.col("inj_time") + F.col("partner_dt")),
             "rp_over_rstar_model": F.sqrt("inj_depth")})
 
+    @cached_property
+    def test_events(self) -> DataFrame:
+        """Events flagged in each test: near the lead, near the partner, elsewhere."""
+        m = F.col("model_idx")
+        found = self.tce.select(F.col("event_id").alias("model_idx"), F.col("event_time").alias("found_time"),
+                                "depth", "duration", "snr")
+        rows = self.tests.join(found, "model_idx")
+        near = {j: (uniform(f"jit{j}", m) - lit(0.5)) * lit(2) * F.col("inj_duration") for j in (0, 1)}
+        times = F.array(F.col("inj_time") + near[0],
+                        F.coalesce("partner_time", "inj_time") + near[1], F.col("found_time"))
+        return (rows.select("model_idx", "tic", "sector", F.posexplode(times).alias("_j", "event_time"),
+                            "depth", "duration", "snr", "inverted_lc")
+                .withColumn("event_id", m * 3 + F.col("_j")).drop("_j")
+                .withColumn("score", F.floor(uniform("score", F.col("event_id")) * lit(1e4)) / lit(1e4)))
+
     def _rec_id(self) -> Column:
         text = F.concat_ws("|", *[F.col(c).cast("string") for c in REC_PARTS],
                            F.col("l_quantity").cast("bigint").cast("string"))

@@ -252,7 +252,7 @@ sized AS (SELECT tic, sector FROM lc GROUP BY tic, sector HAVING count(*) >= 2)"
 
 @query("w1_gap_edges", f"WITH {EDGES_SQL} SELECT tic, sector, time FROM edges", "time")
 def w1_edges(v):
-    return gaps.gap_edges(v.lc)
+    return gaps.gap_edges(v.lc).select("tic", "sector", "time")
 
 
 @query("w1_event_gap_distance", f"""WITH {EDGES_SQL}
