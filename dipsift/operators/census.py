@@ -9,7 +9,7 @@ from dipsift.functions import constants as k
 from dipsift.functions.expr import lit
 from dipsift.operators.clean import real_crossings
 from dipsift.operators.pairs import crossing_pairs
-from dipsift.operators.rank import ks_two_sample, quantiles
+from dipsift.operators.rank import interpolated, ks_two_sample, order_statistics, quantiles, scalar
 from dipsift.operators.skew import range_join
 
 
@@ -56,27 +56,24 @@ def detected_pair_rate(tests: DataFrame, key: list[str]) -> DataFrame:
 
 def quantile_fit(values: DataFrame, column: str, n: int = 40) -> DataFrame:
     """Winsorises at the 99th percentile, then ``n`` mid-quantiles as
-    (position, prob, quantile) rows with the cap and the number capped."""
-    from dipsift.operators.rank import scalar
+    (position, prob, quantile) rows with the cap and the number capped.  Capping
+    keeps the order, so one set of order statistics serves both steps."""
     good = values.where(F.col(column) > 0).select(column)
-    cap = scalar(quantiles(good, [], column, {"cap": 0.99}), F.col("cap"))
-    capped = good.select(F.least(F.col(column), cap).alias("g"), (F.col(column) > cap).cast("int").alias("hit"))
-    probs = {f"q{i}": (0.5 + i) / n for i in range(n)}
-    q = quantiles(capped.select("g"), [], "g", probs)
-    hits = capped.agg(F.sum("hit").alias("n_capped"), F.max("g").alias("cap"))
-    cells = F.array(*[F.struct(F.lit(i).alias("position"), lit(p).alias("prob"), F.col(name).alias("quantile"))
-                      for i, (name, p) in enumerate(probs.items())])
-    box = scalar(hits, F.struct("n_capped", "cap"))
-    return (q.select("n", F.explode(cells).alias("c"))
-            .select("c.*", F.col("n").alias("n_values"), box.getField("n_capped").alias("n_capped"),
-                    box.getField("cap").alias("cap")))
+    mids = [(0.5 + i) / n for i in range(n)]
+    stats = (order_statistics(good, [], column, [0.99, *mids])
+             .withColumn("cap", interpolated(0.99)).select("n", "_at", "cap"))
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), lit(p).alias("prob")) for i, p in enumerate(mids)])
+    cap = scalar(stats, F.col("cap"))
+    hit = good.agg(F.count_if(F.col(column) > cap).alias("_h"))
+    return (stats.withColumn("c", F.explode(cells))
+            .select("c.position", "c.prob", interpolated(F.col("c.prob"), F.col("cap")).alias("quantile"),
+                    F.col("n").alias("n_values"), scalar(hit, F.col("_h")).alias("n_capped"), "cap"))
 
 
 def distribution_shift(df: DataFrame, value: str, is_observed, p_trip: float = k.CENSUS_KS_P,
                        median_trip: float = k.CENSUS_SPACING_TRIP) -> DataFrame:
     """Observed against reference sample: KS statistic and p, relative median
     offset, and whether both thresholds trip."""
-    from dipsift.operators.rank import scalar
     d = df.withColumn("_o", is_observed)
     med = quantiles(d, ["_o"], value, {"m": 0.5})
     pair = scalar(med.agg(F.max(F.when(F.col("_o"), F.col("m"))).alias("a"),

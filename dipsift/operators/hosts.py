@@ -86,17 +86,18 @@ def screen_grid(noise: DataFrame, depths: Sequence[float], snrs: Sequence[float]
         F.count_if(strong).alias("n_strong"))
 
 
-def ranked_pair_hosts(noise: DataFrame, files: DataFrame, n_hosts: int, min_files: int = 2) -> DataFrame:
+def ranked_pair_hosts(noise: DataFrame, files: DataFrame, n_hosts: int, min_files: int = 2,
+                      snr_min: float = k.SCREEN_SNR) -> DataFrame:
     """Best hosts by partner SNR among those with enough observed files."""
-    return (pair_host_screen(noise).join(files, "tic").where(F.col("n_files") >= min_files)
+    return (pair_host_screen(noise, snr_min=snr_min).join(files, "tic").where(F.col("n_files") >= min_files)
             .orderBy(F.desc("partner_snr"), "tic").limit(n_hosts))
 
 
 def sector_pairs(host: DataFrame) -> DataFrame:
     """Explodes a delimited sector list into distinct (tic, sector); blanks and
     unparseable tokens vanish, "7.0" reads as 7."""
-    token = F.explode(F.split(F.regexp_replace("sectors", ";", ","), ","))
-    return (host.select("tic", F.trim(token).alias("_t"))
+    return (host.select("tic", F.explode(F.split(F.regexp_replace("sectors", ";", ","), ",")).alias("_t"))
+            .withColumn("_t", F.trim("_t"))
             .select("tic", F.expr("cast(try_cast(_t as double) as bigint)").alias("sector"))
             .where(F.col("sector").isNotNull()).distinct())
 

@@ -91,3 +91,13 @@ def with_wilson(df: DataFrame, successes: str, trials: str, z: float, clipped: b
                 lo: str = "wilson_lo", hi: str = "wilson_hi") -> DataFrame:
     a, b = wilson(F.col(successes), F.col(trials), z, clipped)
     return df.withColumn(lo, a).withColumn(hi, b)
+
+
+def mission_rollup(events: DataFrame, known: DataFrame, z: float = 1.96) -> DataFrame:
+    """Matched events, passes and known times per mission with Wilson bounds;
+    pools that are not planet hosts stay out."""
+    e = events.where("kind = 'planet'").groupBy("mission").agg(
+        F.sum("matched").alias("d1"),
+        F.count_if((F.col("matched") == 1) & F.col("passed")).alias("n_pass"))
+    t = known.where("kind = 'planet'").groupBy("mission").agg(F.count(F.lit(1)).alias("d2"))
+    return with_wilson(e.join(t, "mission"), "n_pass", "d1", z, clipped=True)

@@ -68,39 +68,63 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[st
                       .alias(f"{m}_below") for m in names]))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str,
-              probs: dict[str, float | Column], buckets: int = BUCKETS,
-              bounds: tuple[float, float] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | str],
+              buckets: int = BUCKETS, bounds: tuple[float, float] | None = None,
+              prob_table: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles per key by linear interpolation between order statistics
-    ``floor`` and ``ceil`` of ``(n - 1) * q``; ``q`` may be a column of a scalar
-    subquery.  Also returns ``n``.  Only buckets holding a wanted position are
-    sorted."""
+    ``floor`` and ``ceil`` of ``(n - 1) * q``, plus ``n``.
+
+    A probability given as a string is a column of ``prob_table``, a small table
+    joined by ``on`` (a subset of ``keys``): data-dependent quantiles stay in the
+    plan.  Only the buckets that hold a wanted position are ordered."""
+    out = order_statistics(df, keys, value, list(probs.values()), buckets, bounds, prob_table, on)
+    if prob_table is not None:
+        out = out.join(prob_table, list(on))
+    return out.select(*keys, "n", *[interpolated(q).alias(name) for name, q in probs.items()])
+
+
+def interpolated(q: float | str | Column, cap: Column | None = None) -> Column:
+    """Quantile ``q`` from the columns ``n`` and ``_at`` of :func:`order_statistics`,
+    optionally with the order statistics capped first."""
+    prob = q if isinstance(q, Column) else F.col(q) if isinstance(q, str) else lit(q)
+    h = (F.col("n") - F.lit(1)) * prob
+    lo = F.element_at("_at", F.floor(h).cast("bigint"))
+    hi = F.element_at("_at", F.ceil(h).cast("bigint"))
+    if cap is not None:
+        lo, hi = F.least(lo, cap), F.least(hi, cap)
+    return lo + (hi - lo) * (h - F.floor(h))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float | str],
+                     buckets: int = BUCKETS, bounds: tuple[float, float] | None = None,
+                     prob_table: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
+    """Per key ``n`` and the map ``_at`` from the positions the quantiles need to
+    the values there."""
     b = _bucketed(df, keys, value, {"_c": F.lit(1).cast("bigint")}, buckets, bounds)
     pre = _prefix(b, keys, ["_c"])
-    h = {name: (F.col("_c_total") - F.lit(1)) * (q if isinstance(q, Column) else lit(q))
-         for name, q in probs.items()}
-    spots = [f(p).cast("bigint") for p in h.values() for f in (F.floor, F.ceil)]
-    holds = F.lit(False)
-    for s in spots:
-        holds = holds | ((s >= F.col("_c_lower")) & (s < F.col("_c_lower") + F.col("_c_in")))
+
+    def with_probs(t: DataFrame) -> DataFrame:
+        return t if prob_table is None else t.join(prob_table, list(on))
+
+    def position(q: float | str, n: str) -> Column:
+        return (F.col(n) - F.lit(1)) * (F.col(q) if isinstance(q, str) else lit(q))
+
+    spots = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(position(q, "_c_total")).cast("bigint"), F.ceil(position(q, "_c_total")).cast("bigint"))
+        for q in probs])))
+    lower, inside = F.col("_c_lower"), F.col("_c_in")
+    wanted = (with_probs(pre).withColumn("_spots", spots)
+              .where(F.exists("_spots", lambda s: (s >= lower) & (s < lower + inside)))
+              .select(*keys, "_b", "_c_lower", "_c_total", "_spots"))
     inner = (Window.partitionBy(*keys, "_b").orderBy(value)
              .rowsBetween(Window.unboundedPreceding, -1))
-    c = (b.join(pre.where(holds), [*keys, "_b"])
-         .withColumn("_below", F.col("_c_lower") + F.coalesce(F.sum("_c").over(inner), F.lit(0))))
-
-    def at(spot: Column) -> Column:
-        hit = (spot >= F.col("_below")) & (spot < F.col("_below") + F.col("_c"))
-        return F.max(F.when(hit, F.col(value)))
-
-    aggs = [F.max("_c_total").alias("n")]
-    for name, p in h.items():
-        aggs += [at(F.floor(p).cast("bigint")).alias(f"_{name}_lo"),
-                 at(F.ceil(p).cast("bigint")).alias(f"_{name}_hi"),
-                 F.max(p - F.floor(p)).alias(f"_{name}_w")]
-    out = c.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, "n", *[
-        (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
-         * F.col(f"_{name}_w")).alias(name) for name in probs])
+    below = F.col("_c_lower") + F.coalesce(F.sum("_c").over(inner), F.lit(0))
+    hits = (b.join(wanted, [*keys, "_b"]).withColumn("_below", below)
+            .select(*keys, value, "_c_total", F.explode(F.filter("_spots", lambda s: (
+                s >= F.col("_below")) & (s < F.col("_below") + F.col("_c")))).alias("_spot")))
+    return hits.groupBy(*keys).agg(
+        F.max("_c_total").alias("n"),
+        F.map_from_entries(F.collect_list(F.struct("_spot", value))).alias("_at"))
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str],

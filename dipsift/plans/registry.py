@@ -33,8 +33,10 @@ def _with_views(body: str) -> str:
     parts = [f"{n} AS ({VIEW_SQL[n].strip()})" for n in needed]
     body = body.strip()
     if body.upper().startswith("WITH "):
-        own = body[5:].lstrip()
-        return "WITH " + ",\n".join([*parts, own])
+        own, head = body[5:].lstrip(), "WITH "
+        if own.upper().startswith("RECURSIVE "):
+            own, head = own[10:].lstrip(), "WITH RECURSIVE "
+        return head + ",\n".join([*parts, own])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
