@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
-from dipsift.functions.expr import lit
+from dipsift.functions.expr import finite, lit, null_if_nan, uniform
+from dipsift.operators.lineage import materialise
+from dipsift.operators.models import balanced, scored, single_column_model
+from dipsift.operators.rank import ranking_quality, top_by_count
 
 
 def inversion_balance(df: DataFrame, label: str, flag: str, gate: float = k.GATE_INVERSION_DELTA) -> DataFrame:
@@ -20,3 +27,76 @@ def inversion_balance(df: DataFrame, label: str, flag: str, gate: float = k.GATE
         "passed": (F.col("value") <= lit(gate)).cast("int"),
         "underpowered": (lit(2) * F.col("standard_error") > lit(gate)).cast("int"),
         "probe": F.lit(1), "gate": lit(gate)})
+
+
+def single_column(df: DataFrame, probe: int, column: str, train_value: str = "train", val_value: str = "val",
+                  reported_only: bool = False, gate: float = k.GATE_AUC) -> DataFrame:
+    """Probes 3, 5, 6, 7: can one scalar alone predict the label on held-out
+    systems?  ``df``: column, label, split.  Too few finite values give no verdict."""
+    rows = materialise(df.where(finite(F.col(column).cast("double"))).select(
+        F.col(column).cast("double").alias("x"), "label", "split"), f"probe-{probe}")
+    stat = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("c")).first()
+    spark = df.sparkSession
+    if stat["n"] < k.PROBE_MIN_FINITE or stat["c"] < 2:
+        return spark.range(1).select(*_verdict(probe, column, "val ROC-AUC", lit(None).cast("double"), lit(None).cast("double"),
+                                               F.lit(0).cast("bigint"), gate, reported_only))
+    model = single_column_model("x").fit(balanced(rows.where(F.col("split") == train_value)))
+    q = ranking_quality(scored(model, rows.where(F.col("split") == val_value)), [], "score", "label", bounds=(0.0, 1.0))
+    return q.select(*_verdict(probe, column, "val ROC-AUC", F.col("roc_auc"), F.col("auc_folded"), F.col("n"), gate, reported_only))
+
+
+def _verdict(probe: int, name: str, metric: str, value, folded, n, gate, reported_only: bool = False):
+    gate_col = gate if not isinstance(gate, float) else lit(gate)
+    passed = F.when(value.isNull(), "SKIP").when(F.lit(reported_only), "REPORTED") \
+        .when(value <= gate_col, "PASS").otherwise("FAIL")
+    return [F.lit(probe).alias("probe"), F.lit(name).alias("name"), F.lit(metric).alias("metric"), value.alias("value"),
+            folded.alias("folded"), n.alias("n"), (lit(None).cast("double") if reported_only else gate_col).alias("gate"),
+            passed.alias("verdict")]
+
+
+def provenance(df: DataFrame, features: list[str], source: str = "label_source", rounds: int = 100,
+               gate: float = k.GATE_AUC) -> DataFrame:
+    """Probe 2: positives only, which generator made them?  ``df``: features,
+    label, ``source`` (1 or 2 on positives), split."""
+    pos = df.where(F.col("label") == 1).select(
+        *[F.coalesce(null_if_nan(F.col(c).cast("double")), lit(0)).alias(c) for c in features],
+        (F.col(source) == 2).cast("int").alias("label"), "split")
+    rows = materialise(pos, "probe-2")
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
+                             GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, seed=0)]) \
+        .fit(rows.where("split = 'train'"))
+    q = ranking_quality(scored(model, rows.where("split = 'val'")), [], "score", "label", bounds=(0.0, 1.0))
+    return q.select(*_verdict(2, "provenance", "val ROC-AUC", F.col("roc_auc"), F.col("auc_folded"), F.col("n"), gate))
+
+
+def host_identity(views: DataFrame, key: str, features: str, row_key: str, top_n: int = 100, max_iter: int = 50) -> DataFrame:
+    """Probe 4: can the flattened view alone name its system?  Gate is chance plus
+    two standard errors.  ``features`` is a numeric array column."""
+    top = top_by_count(views.select(key), key, top_n)
+    rows = views.join(top.select(key), key, "left_semi").select(
+        F.col(key).cast("string").alias("host"), array_to_vector(F.col(features).cast("array<double>")).alias("features"),
+        uniform("probe4", F.col(row_key)).alias("_u"))
+    rows = materialise(rows, "probe-4")
+    index = StringIndexer(inputCol="host", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    rows = index.transform(rows)
+    model = LogisticRegression(family="multinomial", maxIter=max_iter).fit(rows.where("_u < 0.75"))
+    val = model.transform(rows.where("_u >= 0.75"))
+    n_hosts = len(index.labels)
+    chance = lit(1.0 / n_hosts)
+    one = val.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
+    gate = chance + lit(2) * F.sqrt(chance * (lit(1) - chance) / F.greatest("n", F.lit(1)))
+    return one.select(*_verdict(4, "host identity", "top-1 accuracy", F.col("v"), lit(None).cast("double"), F.col("n"), gate))
+
+
+def report(*parts: DataFrame) -> DataFrame:
+    """All probe verdicts in one table."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def balance_verdict(balance: DataFrame) -> DataFrame:
+    """Probe 1 in the report's shape."""
+    return balance.select(*_verdict(1, "inversion balance", "abs class delta", F.col("value"), lit(None).cast("double"),
+                                    F.col("n_pos") + F.col("n_neg"), k.GATE_INVERSION_DELTA))
