@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, uniform
 from dipsift.operators.clean import inverted
+from dipsift.operators.lineage import materialise
 from dipsift.operators.ordered import running_total
 from dipsift.operators.rank import scalar
 from dipsift.operators.skew import attach, range_join
@@ -41,32 +42,36 @@ def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame,
     cadence.  ``cadences``: tic, sector, time, bin; ``histogram``: bin, n (dense).
     The histogram and a curve's bin counts are at most one entry per bin, so both
     travel as arrays; cadences are numbered per (curve, bin) by sharded counting."""
+    def running(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(xs)), lambda i: F.aggregate(
+            F.slice(xs, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x))
+
     mass = scalar(histogram, F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s.getField("n")))
-    counts = (cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("n")).groupBy(*CURVE)
-              .agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins")))
-    t = (attach(tests.select(*CURVE, test_key), counts, CURVE, [test_key], "inner")
-         .withColumn("_mass", mass)
-         .withColumn("_total", F.aggregate("_mass", F.lit(0).cast("bigint"), lambda a, x: a + x)))
-    run = lambda xs: F.transform(F.sequence(F.lit(1), F.size(xs)), lambda i: F.aggregate(
-        F.slice(xs, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    t = t.withColumn("_cum", run(F.col("_mass"))).withColumn("_have", F.col("_bins.bin"))
-    # Attempts are evaluated in the row: (attempt, bin) for those that hit.
-    draws = F.array(*[F.struct(F.lit(a).alias("a"), _first_at_or_above(
-        F.col("_cum"), F.floor(uniform(f"{seed}.try{a}", F.col(test_key)) * F.col("_total"))).alias("b")) for a in range(tries)])
-    t = t.withColumn("_hit", F.array_min(F.filter(draws, lambda d: F.array_contains(F.col("_have"), d.getField("b")))))
-    weights = F.transform("_have", lambda b: F.get(F.col("_mass"), b))
-    t = (t.withColumn("_wc", run(weights)).withColumn("_wt", F.element_at("_wc", -1))
-         .withColumn("_nc", run(F.col("_bins.n"))).withColumn("_nt", F.element_at("_nc", -1)))
-    u = uniform(f"{seed}.fall", F.col(test_key))
-    near = F.get(F.col("_have"), _first_at_or_above(F.col("_wc"), F.floor(u * F.col("_wt"))))
-    anywhere = F.get(F.col("_have"), _first_at_or_above(F.col("_nc"), F.floor(u * F.col("_nt"))))
-    how = F.when(F.col("_hit.a") == 0, "bin_hit").when(F.col("_hit").isNotNull(), "redraw") \
-        .when(F.col("_wt") > 0, "nearest").otherwise("uniform")
-    t = (t.withColumn("outcome", how)
-         .withColumn("bin", F.coalesce("_hit.b", F.when(F.col("_wt") > 0, near).otherwise(anywhere)))
-         .withColumn("_n", F.get(F.filter("_bins", lambda s: s.getField("bin") == F.col("bin")), F.lit(0)).getField("n"))
-         .withColumn("_i", F.floor(uniform(f"{seed}.pick", F.col(test_key)) * F.col("_n")) + 1)
-         .select(*CURVE, test_key, "outcome", "bin", "_i"))
+    cum = scalar(histogram, running(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s.getField("n"))))
+    # One row per curve: populated bins, their masses and running totals.
+    curves = (cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("_m", F.get(mass, F.col("bin").cast("int")))
+              .groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "_m"))).alias("_bins")))
+    curves = materialise(curves.select(
+        *CURVE, "_bins", F.col("_bins.bin").alias("_have"), running(F.col("_bins._m")).alias("_wc"),
+        running(F.col("_bins.n")).alias("_nc"), cum.alias("_cum")), "curve-bins")
+    # Uniforms are computed before the join, so array lambdas only compare numbers.
+    asked = tests.select(*CURVE, test_key, F.array(*[uniform(f"{seed}.try{a}", F.col(test_key)) for a in range(tries)]).alias("_us"),
+                         uniform(f"{seed}.fall", F.col(test_key)).alias("_uf"), uniform(f"{seed}.pick", F.col(test_key)).alias("_up"))
+    t = (attach(asked, curves, CURVE, [test_key], "inner")
+         .withColumn("_total", F.element_at("_cum", -1)).withColumn("_wt", F.element_at("_wc", -1))
+         .withColumn("_nt", F.element_at("_nc", -1)))
+    tried = F.transform("_us", lambda u, a: F.struct(
+        a.alias("a"), _first_at_or_above(F.col("_cum"), F.floor(u * F.col("_total"))).cast("bigint").alias("b")))
+    hit = F.array_min(F.filter(tried, lambda d: F.array_contains(F.col("_have"), d.getField("b"))))
+    near = F.get(F.col("_have"), _first_at_or_above(F.col("_wc"), F.floor(F.col("_uf") * F.col("_wt"))))
+    anywhere = F.get(F.col("_have"), _first_at_or_above(F.col("_nc"), F.floor(F.col("_uf") * F.col("_nt"))))
+    t = t.select(*CURVE, test_key, "_up", "_wt", hit.alias("_hit"), F.when(F.col("_wt") > 0, near).otherwise(anywhere).alias("_other"))
+    t = t.select(*CURVE, test_key, "_up", F.coalesce("_hit.b", "_other").alias("bin"),
+                 F.when(F.col("_hit.a") == 0, "bin_hit").when(F.col("_hit").isNotNull(), "redraw")
+                 .when(F.col("_wt") > 0, "nearest").otherwise("uniform").alias("outcome"))
+    sizes = cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("_n"))
+    t = (attach(t, sizes, [*CURVE, "bin"], [test_key], "inner")
+         .select(*CURVE, test_key, "outcome", "bin", (F.floor(F.col("_up") * F.col("_n")) + 1).alias("_i")))
     numbered = running_total(cadences.select(*CURVE, "bin", "time"), [*CURVE, "bin"], "time", F.lit(1), "_i")
     return t.join(numbered, [*CURVE, "bin", "_i"]).select(test_key, *CURVE, "outcome", "bin", F.col("time").alias("inj_time"))
 

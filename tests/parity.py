@@ -4,6 +4,7 @@
 """
 import math
 import sys
+import threading
 import time
 import traceback
 from pathlib import Path
@@ -12,6 +13,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+LIMIT = 100
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -75,6 +77,8 @@ def main():
         if prefixes and not any(name == p or name.startswith(p + "_") for p in prefixes):
             continue
         t = time.time()
+        guard = threading.Timer(LIMIT, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        guard.start()
         try:
             df = fn(spark, sf_dir)
             if name in oracles:
@@ -86,6 +90,7 @@ def main():
             n, err = -1, "ERROR " + " | ".join(lines[:4])[:700]
             if "-v" in sys.argv:
                 traceback.print_exc()
+        guard.cancel()
         tag = "FAIL" if err else ("ok  " if name in oracles else "rows")
         print(f"{tag} {name:42s} {n:8d} rows {time.time() - t:6.1f}s", flush=True)
         if err:
