@@ -38,7 +38,7 @@ def single_column(df: DataFrame, probe: int, column: str, train_value: str = "tr
     stat = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("c")).first()
     spark = df.sparkSession
     if stat["n"] < k.PROBE_MIN_FINITE or stat["c"] < 2:
-        return spark.range(1).select(*_verdict(probe, column, "val ROC-AUC", lit(None).cast("double"), lit(None).cast("double"),
+        return spark.range(1).select(*_verdict(probe, column, "val ROC-AUC", F.lit(None).cast("double"), F.lit(None).cast("double"),
                                                F.lit(0).cast("bigint"), gate, reported_only))
     model = single_column_model("x").fit(balanced(rows.where(F.col("split") == train_value)))
     q = ranking_quality(scored(model, rows.where(F.col("split") == val_value)), [], "score", "label", bounds=(0.0, 1.0))
@@ -50,7 +50,7 @@ def _verdict(probe: int, name: str, metric: str, value, folded, n, gate, reporte
     passed = F.when(value.isNull(), "SKIP").when(F.lit(reported_only), "REPORTED") \
         .when(value <= gate_col, "PASS").otherwise("FAIL")
     return [F.lit(probe).alias("probe"), F.lit(name).alias("name"), F.lit(metric).alias("metric"), value.alias("value"),
-            folded.alias("folded"), n.alias("n"), (lit(None).cast("double") if reported_only else gate_col).alias("gate"),
+            folded.alias("folded"), n.alias("n"), (F.lit(None).cast("double") if reported_only else gate_col).alias("gate"),
             passed.alias("verdict")]
 
 
@@ -85,7 +85,7 @@ def host_identity(views: DataFrame, key: str, features: str, row_key: str, top_n
     chance = lit(1.0 / n_hosts)
     one = val.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
     gate = chance + lit(2) * F.sqrt(chance * (lit(1) - chance) / F.greatest("n", F.lit(1)))
-    return one.select(*_verdict(4, "host identity", "top-1 accuracy", F.col("v"), lit(None).cast("double"), F.col("n"), gate))
+    return one.select(*_verdict(4, "host identity", "top-1 accuracy", F.col("v"), F.lit(None).cast("double"), F.col("n"), gate))
 
 
 def report(*parts: DataFrame) -> DataFrame:
@@ -98,5 +98,5 @@ def report(*parts: DataFrame) -> DataFrame:
 
 def balance_verdict(balance: DataFrame) -> DataFrame:
     """Probe 1 in the report's shape."""
-    return balance.select(*_verdict(1, "inversion balance", "abs class delta", F.col("value"), lit(None).cast("double"),
+    return balance.select(*_verdict(1, "inversion balance", "abs class delta", F.col("value"), F.lit(None).cast("double"),
                                     F.col("n_pos") + F.col("n_neg"), k.GATE_INVERSION_DELTA))

@@ -78,8 +78,11 @@ def dense(bins: DataFrame, event_key: Sequence[str], n: int, channels: Sequence[
     grid = F.sequence(F.lit(0), F.lit(n - 1))
     collected = bins.groupBy(*event_key).agg(*[
         F.map_from_entries(F.collect_list(F.struct("bin", c))).alias(f"_{c}") for c in channels])
-    rows = [F.transform(grid, lambda i, m=c: F.coalesce(F.element_at(F.col(f"_{m}"), i), lit(0)).cast("float"))
-            for c in channels]
+
+    def row(c: str) -> Column:
+        return F.transform(grid, lambda i: F.coalesce(F.element_at(F.col(f"_{c}"), i), lit(0)).cast("float"))
+
+    rows = [row(c) for c in channels]
     return collected.select(*event_key, F.array(*rows).alias(name))
 
 
