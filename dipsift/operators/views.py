@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
@@ -54,15 +54,14 @@ def local_scatter(pairs: DataFrame, event_key: Sequence[str]) -> DataFrame:
     five or fewer of those the population deviation of the whole window; floored."""
     rel = F.abs(F.col("time") - F.col("event_time"))
     oot = F.when(rel > F.col("duration"), F.col("flux"))
-    stats = (pairs.withColumn("_oot", oot).groupBy(*event_key)
-             .agg(F.median("_oot").alias("_med"), F.count("_oot").alias("_n"),
-                  F.stddev_pop("flux").alias("_std")))
-    dev = (pairs.where(rel > F.col("duration")).join(stats.select(*event_key, "_med"), list(event_key))
-           .groupBy(*event_key).agg((lit(k.MAD_TO_SIGMA) * F.median(F.abs(F.col("flux") - F.col("_med"))))
-                                    .alias("_mad")))
+    # A group is one event window, bounded in time, so one shuffle serves both medians.
+    event = Window.partitionBy(*event_key)
+    stats = (pairs.withColumn("_oot", oot).withColumn("_med", F.median("_oot").over(event))
+             .groupBy(*event_key)
+             .agg(F.count("_oot").alias("_n"), F.stddev_pop("flux").alias("_std"),
+                  (lit(k.MAD_TO_SIGMA) * F.median(F.abs(F.col("_oot") - F.col("_med")))).alias("_mad")))
     raw = F.when(F.col("_n") > k.SCATTER_MIN_POINTS, F.col("_mad")).otherwise(F.col("_std"))
-    return (stats.join(dev, list(event_key), "left")
-            .select(*event_key, F.when(raw > 0, raw).otherwise(lit(k.SCATTER_FLOOR)).alias("local_scatter")))
+    return stats.select(*event_key, F.when(raw > 0, raw).otherwise(lit(k.SCATTER_FLOOR)).alias("local_scatter"))
 
 
 def local_bins(pairs: DataFrame, event_key: Sequence[str]) -> DataFrame:
@@ -107,24 +106,22 @@ def fold_pairs(lc: DataFrame, events: DataFrame, spread: Sequence[str]) -> DataF
             .drop("_ph", "_half"))
 
 
-def cycle_continuum(pairs: DataFrame, event_key: Sequence[str]) -> DataFrame:
-    """Per (event, cycle): sideband median with enough sideband points, else the
-    in-window median; cycles without in-window points or with level 0 drop out."""
-    side, win = F.when(F.col("in_sideband"), F.col("flux")), F.when(F.col("in_window"), F.col("flux"))
-    level = F.when(F.col("_ns") >= k.SIDEBAND_MIN_POINTS, F.col("_ms")).otherwise(F.col("_mw"))
-    return (pairs.groupBy(*event_key, "cycle")
-            .agg(F.count(side).alias("_ns"), F.median(side).alias("_ms"),
-                 F.count(win).alias("_nw"), F.median(win).alias("_mw"))
-            .where(F.col("_nw") > 0)
-            .select(*event_key, "cycle", level.alias("continuum"))
-            .where(F.col("continuum") != 0))
-
-
 def stacked(pairs: DataFrame, scatter: DataFrame, event_key: Sequence[str]) -> DataFrame:
     """In-window cadences divided by their cycle's continuum, with the event's
-    normalising depth ``denom``."""
-    cont = cycle_continuum(pairs, event_key)
-    return (pairs.where("in_window").join(cont, [*event_key, "cycle"])
+    normalising depth ``denom``.
+
+    Continuum of an (event, cycle): sideband median with enough sideband points,
+    else the in-window median; level 0 drops the cycle.  The group spans a few
+    durations of one orbit, so a window over it stays small, and the later
+    per-cycle aggregation reuses its partitioning."""
+    cycle = Window.partitionBy(*event_key, "cycle")
+    side, win = F.when(F.col("in_sideband"), F.col("flux")), F.when(F.col("in_window"), F.col("flux"))
+    level = F.when(F.col("_ns") >= k.SIDEBAND_MIN_POINTS, F.col("_ms")).otherwise(F.col("_mw"))
+    return (pairs.withColumn("_side", side).withColumn("_win", win)
+            .withColumns({"_ns": F.count("_side").over(cycle), "_ms": F.median("_side").over(cycle),
+                          "_mw": F.median("_win").over(cycle)})
+            .where("in_window").withColumn("continuum", level).where("continuum <> 0")
+            .drop("_side", "_win", "_ns", "_ms", "_mw")
             .join(scatter, list(event_key))
             .withColumn("level", F.col("flux") / F.col("continuum"))
             .withColumn("denom", depth_floor(F.col("depth"), F.col("local_scatter"))))
@@ -145,10 +142,9 @@ def recurrence_scalars(stack: DataFrame, event_key: Sequence[str]) -> DataFrame:
     per = (stack.groupBy(*event_key, "cycle")
            .agg(F.max((lit(1) - F.col("level")) / F.col("denom")).alias("d"),
                 F.first(lit(3) * F.col("local_scatter") / F.col("denom")).alias("_thr")))
-    med = per.groupBy(*event_key).agg(F.median("d").alias("rec_depth_med"),
-                                      F.avg((F.col("d") > F.col("_thr")).cast("double")).alias("rec_frac_dipping"),
-                                      F.count(F.lit(1)).alias("n_cycles_raw"))
-    mad = (per.join(med.select(*event_key, "rec_depth_med"), list(event_key))
-           .groupBy(*event_key)
-           .agg((lit(k.MAD_TO_SIGMA) * F.median(F.abs(F.col("d") - F.col("rec_depth_med")))).alias("rec_depth_mad")))
-    return med.join(mad, list(event_key))
+    return (per.withColumn("_med", F.median("d").over(Window.partitionBy(*event_key)))
+            .groupBy(*event_key)
+            .agg(F.first("_med").alias("rec_depth_med"),
+                 F.avg((F.col("d") > F.col("_thr")).cast("double")).alias("rec_frac_dipping"),
+                 F.count(F.lit(1)).alias("n_cycles_raw"),
+                 (lit(k.MAD_TO_SIGMA) * F.median(F.abs(F.col("d") - F.col("_med")))).alias("rec_depth_mad")))
