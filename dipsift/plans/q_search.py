@@ -106,7 +106,7 @@ def matched(v):
                             "time", name="d_gap")
     d_phi = F.coalesce(expr.eclipse_edge_distance(F.col("phase"), *eclipses()), lit(0))
     cad = pts.select("tic", "sector", "time", (expr.bin_of(d_phi, 0.0, 0.5, 10) * 8 + expr.bin_of_edges(
-        F.coalesce("d_gap", lit(30)), [0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 30.0])).cast("bigint").alias("bin"))
+        F.coalesce("d_gap", lit(0)), [0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 30.0])).cast("bigint").alias("bin"))
     from dipsift.operators.lineage import materialise
     return injection.matched_epochs(materialise(cad, "binned-cadences"), materialise(hist, "histogram"), v.tests, "r4", TRIES)
 
