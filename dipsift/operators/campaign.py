@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, uniform
+from dipsift.operators.lineage import materialise
 from dipsift.operators.rank import cumulative, scalar
 from dipsift.operators.skew import attach
 
@@ -38,6 +39,7 @@ def injection_plan(tests: DataFrame, files: DataFrame, seed: str = "file") -> Da
     sizes = files.groupBy("tic").agg(F.count(F.lit(1)).alias("n_files"))
     base = cumulative(sizes, [], "tic", {"n": F.col("n_files")}).select(
         "tic", F.col("n").alias("n_files"), F.col("n_below").alias("_base"), F.col("n_total").alias("_all"))
+    base = materialise(base, "files-per-system")
     slots = slots.join(base, "tic").withColumn("slot_all", F.col("_base") + F.col("slot"))
     robin = (attach(tests.where("per_system").select("model_idx", "tic"), base.select("tic", "n_files"), ["tic"], ["model_idx"], "inner")
              .withColumn("slot", F.pmod("model_idx", "n_files")))
