@@ -67,3 +67,80 @@ def op10(spark, sf_dir):
     held = crc_bucket(F.col("doc_id"), 3) == 1
     model = fit(docs.where(~held & F.col("lang").isNotNull()))
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+@query("op2_token_files")
+def op2(spark, sf_dir):
+    import uuid
+
+    import public_tokenizers
+
+    from dipsift.llm import token_files
+    from dipsift.operators.lineage import scratch_dir
+    folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(files).drop("ids")
+
+
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dipsift.llm import pii
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_quality_score")
+def op4(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dipsift.llm import quality
+    from dipsift.llm.common import crc_bucket
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    machine = quality.fit(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs.withColumn("held_out", crc_bucket(F.col("doc_id"), 5) == 0), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_sequence_packing")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    from dipsift.llm import packing
+    return packing.sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+OP6_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+          FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10"""
+
+
+@query("op6_exact_top_k", OP6_SQL)
+def op6(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dipsift.llm import topk
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("key") % 100 == 0)
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    from dipsift.llm import secrets
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter")
+def op9(spark, sf_dir):
+    from dipsift.llm import urls
+    rules = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"),
+             urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
