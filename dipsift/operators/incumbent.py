@@ -13,12 +13,15 @@ from dipsift.functions.expr import finite, lit
 from dipsift.operators.hosts import keep_first
 
 
-def incumbent_block(keys: DataFrame, comparator: DataFrame, key: str = "filename") -> DataFrame:
+def incumbent_block(keys: DataFrame, comparator: DataFrame, order: str, key: str = "filename") -> DataFrame:
     """17 columns plus validity for every submitted key.  Absent or non-finite
     comparisons give a zero block with validity 0; a class outside the fixed nine
-    fails the job.  The first comparator row per key wins, in column order."""
+    fails the job.  The first comparator row per key wins, by its ingest
+    position ``order``; a table without that column is refused."""
+    if order not in comparator.columns:
+        raise KeyError(f"comparator lacks its ingest order {order!r}")
     values = [*k.AIC_COLUMNS, *k.RMSE_COLUMNS]
-    rows = keep_first(comparator.select(key, *values, "best_fit"), [key], [*values, "best_fit"])
+    rows = keep_first(comparator.select(key, order, *values, "best_fit"), [key], [order]).drop(order)
     ok = F.lit(True)
     for c in values:
         ok = ok & finite(F.col(c))

@@ -95,9 +95,10 @@ def with_wilson(df: DataFrame, successes: str, trials: str, z: float, clipped: b
 
 def mission_rollup(events: DataFrame, known: DataFrame, z: float = 1.96) -> DataFrame:
     """Matched events, passes and known times per mission with Wilson bounds;
-    pools that are not planet hosts stay out."""
+    pools that are not planet hosts stay out.  A mission with only one of the two
+    keeps its row, with zeros for the other."""
     e = events.where("kind = 'planet'").groupBy("mission").agg(
         F.sum("matched").alias("d1"),
         F.count_if((F.col("matched") == 1) & F.col("passed")).alias("n_pass"))
     t = known.where("kind = 'planet'").groupBy("mission").agg(F.count(F.lit(1)).alias("d2"))
-    return with_wilson(e.join(t, "mission"), "n_pass", "d1", z, clipped=True)
+    return with_wilson(e.join(t, "mission", "full").fillna(0, ["d1", "n_pass", "d2"]), "n_pass", "d1", z, clipped=True)

@@ -36,9 +36,9 @@ def output_order(events: DataFrame) -> DataFrame:
 
 
 def rank_in_group(systems: DataFrame, group: str, size: str, key: str) -> DataFrame:
-    """Position by size inside a group of systems (one row per system)."""
-    w = Window.partitionBy(group).orderBy(F.desc(size), key)
-    return systems.select(key, group, F.row_number().over(w).alias("position"))
+    """Position by size inside a group of systems (one row per system); a group
+    may hold most of them."""
+    return ranked(systems.select(key, group, size), size, [key], "position", keys=[group]).select(key, group, "position")
 
 
 def extended_sector_bounds(shipped: DataFrame, lc: DataFrame) -> DataFrame:

@@ -142,24 +142,24 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[
 
 
 def ranked(df: DataFrame, value: str, tie: Sequence[str], name: str = "rank",
-           buckets: int = BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """Position 1..n in (value descending, tie ascending) order without a single
-    task sort.  Distinct values are placed by :func:`cumulative`; the rows of one
+           buckets: int = BUCKETS, bounds: tuple[float, float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Position 1..n in (value descending, tie ascending) order, per key if any, without
+    a single task sort.  Distinct values are placed by :func:`cumulative`; the rows of one
     (possibly heavily tied) value are cut into ranges of the leading tie column,
     which must be numeric, and numbered inside a range."""
-    c = cumulative(df, [], value, {"_c": F.lit(1).cast("bigint")}, buckets, bounds)
-    above = c.select(value, (F.col("_c_total") - F.col("_c_below") - F.col("_c")).alias("_above"))
+    c = cumulative(df, keys, value, {"_c": F.lit(1).cast("bigint")}, buckets, bounds)
+    above = c.select(*keys, value, (F.col("_c_total") - F.col("_c_below") - F.col("_c")).alias("_above"))
     box = scalar(df, F.struct(F.min(tie[0]).alias("lo"), F.max(tie[0]).alias("hi")))
     cut = df.withColumn("_t", bin_of(F.col(tie[0]), box.getField("lo"), box.getField("hi"), TIE_RANGES))
-    inner = Window.partitionBy(value, "_t").orderBy(*tie)
-    lower = (Window.partitionBy(value).orderBy("_t")
+    inner = Window.partitionBy(*keys, value, "_t").orderBy(*tie)
+    lower = (Window.partitionBy(*keys, value).orderBy("_t")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (cut.groupBy(value, "_t").agg(F.count(F.lit(1)).alias("_n"))
-               .join(above, value)
-               .select(value, "_t", (F.col("_above") + F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    offsets = (cut.groupBy(*keys, value, "_t").agg(F.count(F.lit(1)).alias("_n"))
+               .join(above, [*keys, value])
+               .select(*keys, value, "_t", (F.col("_above") + F.coalesce(F.sum("_n").over(lower), F.lit(0)))
                        .alias("_offset")))
     return (cut.withColumn("_i", F.row_number().over(inner))
-            .join(offsets, [value, "_t"])
+            .join(offsets, [*keys, value, "_t"])
             .withColumn(name, F.col("_offset") + F.col("_i"))
             .drop("_t", "_i", "_offset"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
@@ -31,9 +31,13 @@ def windows_and_stack(lc: DataFrame, events: DataFrame, cadence_key: str,
 
 
 def build_scalars(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_key: str = "event_id",
-                  pairs_admitted: bool = True, pair_group: tuple[str, ...] = ("tic",)) -> DataFrame:
+                  pairs_admitted: bool = True, pair_group: tuple[str, ...] = ("tic",),
+                  real_search: Column | None = None) -> DataFrame:
     """Scalars, gap distance, stack summary, observed partner and validity bits of
-    every event whose system is known (others are dropped by the inner lookup)."""
+    every event whose system is known (others are dropped by the inner lookup).
+    The skye flag only has a meaning where ``real_search`` holds (everywhere by default)."""
+    if real_search is not None:
+        events = events.withColumn("skye_flag", F.when(real_search, F.col("skye_flag")))
     host_cols = ["tic", "period", "tmag", "morph_coeff", "log10_pp_over_pbin",
                  "same_star_multi_allowed", "depth_ratio_raw"]
     ev = lookup(events, hosts.select(*host_cols), KEY).where("host_found = 1").drop("host_found")

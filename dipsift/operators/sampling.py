@@ -32,21 +32,23 @@ def rebalance(df: DataFrame, seed: str, row_key: str, strata: Sequence[str] = ()
               arm: str = "inverted") -> DataFrame:
     """Flags rows so that the negatives' share of ``arm`` matches the positives':
     within each stratum of the negatives the over-represented arm is thinned, one
-    arm only; a stratum with an empty arm is left as it is."""
+    arm only; a stratum with an empty arm is left as it is.  NULL is a stratum
+    like any other."""
+    df = df.withColumn("_stratum", F.to_json(F.struct(*strata)) if strata else F.lit(""))
     rate = scalar(df, F.avg(F.when(F.col(label) == 1, F.col(arm))))
     neg = df.where(F.col(label) == 0)
-    n = neg.groupBy(*strata).agg(F.sum(arm).alias("_inv"), F.count_if(F.col(arm) == 0).alias("_nat")) \
+    n = neg.groupBy("_stratum").agg(F.sum(arm).alias("_inv"), F.count_if(F.col(arm) == 0).alias("_nat")) \
         .withColumn("_t", rate).where((F.col("_inv") > 0) & (F.col("_nat") > 0) & F.col("_t").isNotNull())
     inv, nat, t = F.col("_inv"), F.col("_nat"), F.col("_t")
     inv_max = F.when(t < lit(1), F.floor(nat * t / (lit(1) - t))).otherwise(inv)
     nat_max = F.when(t > lit(0), F.floor(inv * (lit(1) - t) / t)).otherwise(nat)
-    quota = n.select(*strata, F.when(inv > inv_max, F.struct(F.lit(1).alias(arm), inv_max.alias("k")))
+    quota = n.select("_stratum", F.when(inv > inv_max, F.struct(F.lit(1).alias(arm), inv_max.alias("k")))
                      .when(nat > nat_max, F.struct(F.lit(0).alias(arm), nat_max.alias("k"))).alias("_q")) \
-        .where(F.col("_q").isNotNull()).select(*strata, "_q.*")
+        .where(F.col("_q").isNotNull()).select("_stratum", "_q.*")
     rows = df.withColumn("_u", uniform(seed, F.col(row_key)))
-    kept = keep_lowest(rows.where(F.col(label) == 0), [*strata, arm], "_u", quota, [row_key], "rebalance_keep")
+    kept = keep_lowest(rows.where(F.col(label) == 0), ["_stratum", arm], "_u", quota, [row_key], "rebalance_keep")
     return (rows.where(F.col(label) == 1).withColumn("rebalance_keep", F.lit(1))
-            .unionByName(kept).drop("_u"))
+            .unionByName(kept).drop("_u", "_stratum"))
 
 
 def rebalance_report(flagged: DataFrame, label: str = "label", arm: str = "inverted") -> DataFrame:
@@ -139,18 +141,19 @@ def duration_ratio(seed: str, *key: Column) -> Column:
 DESIGN_BASES = (2, 3, 5, 7, 11, 13)
 
 
-def radical_inverse(index: Column, base: int, digits: int) -> Column:
-    """Low-discrepancy coordinate in [0, 1): the digits of ``index`` mirrored."""
+def radical_inverse(index: Column, base: int) -> Column:
+    """Low-discrepancy coordinate in [0, 1): the digits of ``index`` mirrored, as
+    many as double precision holds."""
     out = lit(0)
-    for j in range(digits):
+    for j in range(math.ceil(53 / math.log2(base))):
         out = out + (F.floor(index / F.lit(base ** j)) % base) / lit(float(base) ** (j + 1))
     return out
 
 
-def design_points(index: DataFrame, column: str, digits: int = 12) -> DataFrame:
+def design_points(index: DataFrame, column: str) -> DataFrame:
     """Profile parameters for each index: log depth, duration, impact, limb
     darkening, and a time warp on the lowest share of the sixth axis."""
-    u = [radical_inverse(F.col(column), b, digits) for b in DESIGN_BASES]
+    u = [radical_inverse(F.col(column), b) for b in DESIGN_BASES]
 
     def between(x: Column, span) -> Column:
         return lit(span[0]) + x * lit(span[1] - span[0])

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, uniform
 from dipsift.operators.lineage import materialise
-from dipsift.operators.rank import quantiles, scalar
-
-BLOCK = 4096
+from dipsift.operators.rank import quantiles, ranked, scalar
+from dipsift.operators.sampling import radical_inverse
 
 
 def system_table(events: DataFrame, host: DataFrame) -> DataFrame:
@@ -35,46 +34,22 @@ def system_table(events: DataFrame, host: DataFrame) -> DataFrame:
         .withColumn("stratum", F.concat_ws("|", "coverage", "period_tercile", "tmag_tercile"))
 
 
-def stratified_split(systems: DataFrame, pinned_to_test: Sequence[int] = (), block: int = BLOCK) -> DataFrame:
-    """Greedy assignment by event mass, largest systems first: each system goes to
-    the split whose choice leaves the smallest squared deviation from the targets
-    (earlier split on ties).  Pinned systems are test and carry no mass.
+def stratified_split(systems: DataFrame, pinned_to_test: Sequence[int] = ()) -> DataFrame:
+    """Assignment by event mass: the systems of a stratum, largest first, are dealt
+    by the mirrored digits of their position, cut at the target shares.
 
-    The rule is sequential, so it folds over one small struct per system inside a
-    stratum.  A stratum above ``block`` systems is cut by key hash into blocks of
-    that size, each balanced on its own; below it the fold is the whole stratum."""
+    Neighbours in the order have nearly equal mass and any run of positions is
+    spread evenly, so the shares of mass follow the targets, at any number of
+    systems.  Pinned systems are test and carry no mass."""
     pinned = F.col("tic").isin([int(t) for t in pinned_to_test]) if pinned_to_test else F.lit(False)
-    free = systems.where(~pinned)
-    sizes = free.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / lit(block)).alias("_blocks"))
-    cut = free.join(sizes, "stratum").withColumn("_block", F.pmod(F.xxhash64("tic"), F.col("_blocks")))
-    ordered = cut.groupBy("stratum", "_block").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n_events")).alias("m"), F.col("tic").alias("tic")))).alias("_s"))
+    placed = ranked(systems.where(~pinned).select("tic", "stratum", "n_events"), "n_events", ["tic"], "_p", keys=["stratum"])
+    at = radical_inverse(F.col("_p") - 1, 2)
+
+    def cut(shares: Sequence[float]) -> Column:
+        return F.when(at < lit(shares[0]), k.SPLITS[0]).when(at < lit(shares[0] + shares[1]), k.SPLITS[1]).otherwise(k.SPLITS[2])
+
     high = F.col("stratum").startswith("10plus")
-    targets = [F.when(high, lit(b)).otherwise(lit(a)) for a, b in zip(k.SPLIT_TARGETS, k.SPLIT_TARGETS_HIGH)]
-
-    def step(acc, item):
-        mass = (-item.getField("m")).cast("double")
-        totals = [acc.getField(f"t{i}") for i in range(3)]
-        after = totals[0] + totals[1] + totals[2] + mass
-
-        def cost(j: int) -> Column:
-            c = lit(0)
-            for i in range(3):
-                d = (totals[i] + (mass if i == j else lit(0))) / after - targets[i]
-                c = c + d * d
-            return c
-
-        c0, c1, c2 = cost(0), cost(1), cost(2)
-        best = F.when((c1 < c0) & (c1 <= c2), 1).when((c2 < c0) & (c2 < c1), 2).otherwise(0)
-        return F.struct(*[(totals[i] + F.when(best == i, mass).otherwise(lit(0))).alias(f"t{i}") for i in range(3)],
-                        F.array_append(acc.getField("picks"), F.struct(item.getField("tic").alias("tic"), best.alias("s")))
-                        .alias("picks"))
-
-    empty = F.struct(lit(0).alias("t0"), lit(0).alias("t1"), lit(0).alias("t2"),
-                     F.expr("cast(array() as array<struct<tic: bigint, s: int>>)").alias("picks"))
-    name = F.element_at(F.array(*[F.lit(s) for s in k.SPLITS]), F.col("p.s") + 1)
-    done = (ordered.select("stratum", F.explode(F.aggregate("_s", empty, step).getField("picks")).alias("p"))
-            .select(F.col("p.tic").alias("tic"), "stratum", name.alias("split")))
+    done = placed.select("tic", "stratum", F.when(high, cut(k.SPLIT_TARGETS_HIGH)).otherwise(cut(k.SPLIT_TARGETS)).alias("split"))
     return done.unionByName(systems.where(pinned).select("tic", "stratum", F.lit("test").alias("split")))
 
 
@@ -115,11 +90,13 @@ def split_report(events: DataFrame, assignment: DataFrame) -> DataFrame:
     return e.withColumn("event_fraction", F.col("n_events") / F.greatest(total, F.lit(1)))
 
 
-def map_digest(assignment: DataFrame, buckets: int = 256) -> DataFrame:
-    """SHA-256 identity of the system -> split map: digests of hash buckets, then
-    the digest of those, so no task holds the whole map."""
-    line = F.concat_ws(":", F.col("tic").cast("string"), F.col("split"))
-    part = (assignment.groupBy((F.col("tic") % buckets).alias("_b"))
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("_d")))
-    return part.agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda s: s.getField("_d")), ","), 256).alias("digest"))
+def map_digest(assignment: DataFrame) -> DataFrame:
+    """SHA-256 identity of the system -> split map, whatever its order: two sums of
+    52-bit hashes of the lines and their count, digested."""
+    line = F.md5(F.concat_ws(":", F.col("tic").cast("string"), F.col("split")))
+
+    def total(start: int) -> Column:
+        return F.sum(F.conv(F.substring(line, start, 13), 16, 10).cast("decimal(20,0)")).cast("string")
+
+    return assignment.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(total(1), F.lit("0")),
+                                             F.coalesce(total(14), F.lit("0"))), 256).alias("digest"))

@@ -153,7 +153,7 @@ def a15(v):
     return census.distribution_shift(v.tce.select("depth", "label"), "depth", F.col("label") == 1)
 
 
-PROFILE_BINS = 40
+PROFILE_BINS = 400
 
 
 @query("a16_folded_profile", f"""
@@ -226,16 +226,18 @@ def a17(v):
 pool AS (SELECT CASE tic % 3 WHEN 0 THEN 'TESS' ELSE 'Kepler' END AS mission, t.* FROM tce t WHERE tic % 3 < 2),
 a AS (SELECT mission, count(*) FILTER (WHERE event_id IN (SELECT event_id FROM km)) AS d1,
   count(*) FILTER (WHERE event_id IN (SELECT event_id FROM km) AND snr >= 12e0) AS n_pass FROM pool GROUP BY mission),
-b AS (SELECT CASE tic % 3 WHEN 0 THEN 'TESS' ELSE 'Kepler' END AS mission, count(*) AS d2 FROM kn WHERE tic % 3 < 2 GROUP BY 1)
-SELECT a.mission, d1, n_pass, d2, greatest(0e0, {wilson_sql('n_pass', 'd1', '1.96e0', '-')}) AS wilson_lo,
-  least(1e0, {wilson_sql('n_pass', 'd1', '1.96e0', '+')}) AS wilson_hi FROM a JOIN b ON b.mission = a.mission""", "wilson_lo wilson_hi")
+b AS (SELECT ['TESS', 'Kepler', 'K2'][tic % 3 + 1] AS mission, count(*) AS d2 FROM kn GROUP BY 1),
+f AS (SELECT mission, coalesce(d1, 0) AS d1, coalesce(n_pass, 0) AS n_pass, coalesce(d2, 0) AS d2 FROM a FULL JOIN b USING (mission))
+SELECT *, CASE WHEN d1 > 0 THEN greatest(0e0, {wilson_sql('n_pass', 'd1', '1.96e0', '-')}) END AS wilson_lo,
+  CASE WHEN d1 > 0 THEN least(1e0, {wilson_sql('n_pass', 'd1', '1.96e0', '+')}) END AS wilson_hi FROM f""", "wilson_lo wilson_hi")
 def a19(v):
     ev, kn = matching.matched_to_known(v.tce.select("tic", "event_id", "event_time", "duration", "snr"),
                                        in_window(v).select("tic", "known_id", "t_known", "t_unc"))
     kind = F.when(F.col("tic") % 3 == 2, "secondary").otherwise("planet")
-    mission = F.when(F.col("tic") % 3 == 0, "TESS").otherwise("Kepler")
+    mission = F.when(F.col("tic") % 3 == 0, "TESS").when(F.col("tic") % 3 == 1, "Kepler").otherwise("K2")
+    # One mission has known times but no event of its kind.
     return matching.mission_rollup(ev.withColumns({"kind": kind, "mission": mission, "passed": F.col("snr") >= lit(12)}),
-                                   kn.withColumns({"kind": kind, "mission": mission}))
+                                   kn.withColumns({"kind": F.lit("planet"), "mission": mission}))
 
 
 OP_A = "(snr >= 5e0 AND t_dur <= 1e0 AND n_detrend_detections > 18 AND coalesce(skye_flag, 0) = 0)"
@@ -432,9 +434,8 @@ def a32(v):
 
 
 @query("a32_split_map_digest", """
-WITH a AS (SELECT DISTINCT tic, split FROM record),
-p AS (SELECT tic % 256 AS b, sha256(string_agg(tic::VARCHAR || ':' || split, ',' ORDER BY tic::VARCHAR || ':' || split)) AS d FROM a GROUP BY 1)
-SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM p""")
+WITH a AS (SELECT DISTINCT tic, split FROM record), h AS (SELECT md5(tic::VARCHAR || ':' || split) AS m FROM a)
+SELECT sha256(count(*)::VARCHAR || ':' || sum(('0x' || substr(m, 1, 13))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(m, 14, 13))::BIGINT)::VARCHAR) AS digest FROM h""")
 def a32_digest(v):
     return split.map_digest(v.record.select("tic", "split").distinct())
 

@@ -150,7 +150,7 @@ def r11(v):
                                                 F.min("flux").alias("flux_min"), F.max("flux").alias("flux_max"))
 
 
-LENGTHS = [1.0, 2.0, 3.0]
+LENGTHS = search.window_lengths()
 
 
 @query("r13_campaign", f"""WITH {INJECT_SQL}, {search_sql('ij', ['model_idx'], LENGTHS)},

@@ -165,18 +165,16 @@ def r6(v):
 
 
 PINNED = [3, 7, 11]
-COST = " + ".join("power((m{i} + CASE WHEN {j} = {i} THEN n ELSE 0e0 END) / (m0 + m1 + m2 + n) - g{i}, 2)".replace("{i}", str(i)) for i in range(3))
-SPLIT_SQL = f"""free AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY n_events DESC, tic) AS rn FROM sysx WHERE tic NOT IN (3, 7, 11)),
-walk AS (
-  SELECT stratum, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS tic, -1 AS pick, 0e0 AS m0, 0e0 AS m1, 0e0 AS m2 FROM (SELECT DISTINCT stratum FROM free)
-  UNION ALL
-  SELECT stratum, rn, tic, pick, m0 + CASE WHEN pick = 0 THEN n ELSE 0e0 END, m1 + CASE WHEN pick = 1 THEN n ELSE 0e0 END, m2 + CASE WHEN pick = 2 THEN n ELSE 0e0 END FROM (
-    SELECT *, CASE WHEN c1 < c0 AND c1 <= c2 THEN 1 WHEN c2 < c0 AND c2 < c1 THEN 2 ELSE 0 END AS pick FROM (
-      SELECT *, {COST.replace('{j}', '0')} AS c0, {COST.replace('{j}', '1')} AS c1, {COST.replace('{j}', '2')} AS c2 FROM (
-        SELECT w.stratum, f.rn, f.tic, w.m0, w.m1, w.m2, f.n_events::DOUBLE AS n,
-          CASE WHEN w.stratum LIKE '10plus%' THEN 0.6e0 ELSE 0.7e0 END AS g0, 0.15e0 AS g1, CASE WHEN w.stratum LIKE '10plus%' THEN 0.25e0 ELSE 0.15e0 END AS g2
-        FROM walk w JOIN free f ON f.stratum = w.stratum AND f.rn = w.rn + 1)))),
-assigned AS (SELECT tic, stratum, CASE pick WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM walk WHERE tic IS NOT NULL
+
+
+def inverse_sql(index, base):
+    return "(" + " + ".join(f"(floor(({index}) / {float(base ** j)!r}) % {base}) / {float(base) ** (j + 1)!r}"
+                            for j in range(math.ceil(53 / math.log2(base)))) + ")"
+
+
+SPLIT_SQL = f"""placed AS (SELECT tic, stratum, CASE WHEN stratum LIKE '10plus%' THEN 0.6e0 ELSE 0.7e0 END AS g,
+    {inverse_sql('row_number() OVER (PARTITION BY stratum ORDER BY n_events DESC, tic) - 1', 2)} AS u FROM sysx WHERE tic NOT IN (3, 7, 11)),
+assigned AS (SELECT tic, stratum, CASE WHEN u < g THEN 'train' WHEN u < g + 0.15e0 THEN 'val' ELSE 'test' END AS split FROM placed
   UNION ALL SELECT tic, stratum, 'test' FROM sysx WHERE tic IN (3, 7, 11))"""
 
 
@@ -184,7 +182,7 @@ def systems(v):
     return split.system_table(v.record, v.host)
 
 
-@query("r7_stratified_split", f"WITH RECURSIVE {SYSTEM_SQL}, {SPLIT_SQL} SELECT tic, stratum, split FROM assigned")
+@query("r7_stratified_split", f"WITH {SYSTEM_SQL}, {SPLIT_SQL} SELECT tic, stratum, split FROM assigned")
 def r7(v):
     return split.stratified_split(systems(v), PINNED)
 
@@ -220,10 +218,13 @@ def r1(v):
     return sampling.rebalance(v.classes, "reb", "doc_id").select("doc_id", "rebalance_keep")
 
 
-@query("r1_rebalance_stratified", "WITH " + REBALANCE_SQL.format(s="stratum,", g="GROUP BY stratum", p="c.stratum,", j="AND q.stratum = c.stratum")
+@query("r1_rebalance_stratified", "WITH holes AS (SELECT * REPLACE (nullif(stratum, 'src3') AS stratum) FROM classes), "
+       + REBALANCE_SQL.replace("classes", "holes").format(s="stratum,", g="GROUP BY stratum", p="c.stratum,", j="AND q.stratum IS NOT DISTINCT FROM c.stratum")
        + " SELECT * FROM kept")
 def r1_strata(v):
-    return sampling.rebalance(v.classes, "reb", "doc_id", ["stratum"]).select("doc_id", "rebalance_keep")
+    """One stratum is NULL."""
+    holes = v.classes.withColumn("stratum", F.nullif("stratum", F.lit("src3")))
+    return sampling.rebalance(holes, "reb", "doc_id", ["stratum"]).select("doc_id", "rebalance_keep")
 
 
 @query("r1_rebalance_report", "WITH " + REBALANCE_SQL.format(s="", g="", p="", j="") + """,
@@ -286,14 +287,10 @@ def r10(v):
     return drawn.select("model_idx", "p_planet", "partner_dt", "partner_ratio", "partner_duration_ratio")
 
 
-def inverse_sql(base, digits=12):
-    return "(" + " + ".join(f"(floor(o_orderkey / {float(base ** j)!r}) % {base}) / {float(base) ** (j + 1)!r}" for j in range(digits)) + ")"
-
-
 @query("r12_design_table", f"""
-SELECT o_orderkey, pow(10e0, -3e0 + {inverse_sql(2)} * ({math.log10(1.5e-2)!r} + 3e0)) AS depth, 0.05e0 + {inverse_sql(3)} * 0.95e0 AS duration,
-  {inverse_sql(5)} * 0.9e0 AS impact, 0.2e0 + {inverse_sql(7)} * 0.3e0 AS u1, 0.1e0 + {inverse_sql(11)} * 0.2e0 AS u2,
-  CASE WHEN {inverse_sql(13)} < 0.3e0 THEN 0.1e0 + {inverse_sql(13)} / 0.3e0 * 0.2e0 ELSE 0e0 END AS warp FROM orders""",
+SELECT o_orderkey, pow(10e0, -3e0 + {inverse_sql('o_orderkey', 2)} * ({math.log10(1.5e-2)!r} + 3e0)) AS depth, 0.05e0 + {inverse_sql('o_orderkey', 3)} * 0.95e0 AS duration,
+  {inverse_sql('o_orderkey', 5)} * 0.9e0 AS impact, 0.2e0 + {inverse_sql('o_orderkey', 7)} * 0.3e0 AS u1, 0.1e0 + {inverse_sql('o_orderkey', 11)} * 0.2e0 AS u2,
+  CASE WHEN {inverse_sql('o_orderkey', 13)} < 0.3e0 THEN 0.1e0 + {inverse_sql('o_orderkey', 13)} / 0.3e0 * 0.2e0 ELSE 0e0 END AS warp FROM orders""",
        "depth duration impact u1 u2 warp")
 def r12(v):
     return sampling.design_points(v.table("orders"), "o_orderkey")

@@ -12,7 +12,7 @@ from dipsift.operators import evaluate, incumbent, models, probes, record, views
 from dipsift.operators.lineage import materialise, scratch_dir
 from dipsift.plans.q_clean import CIRC, eclipses
 from dipsift.plans.q_eval import TAU
-from dipsift.plans.q_views import INCUMBENT_SQL, LOCAL_SQL, local_pairs, records
+from dipsift.plans.q_views import INCUMBENT_SQL, LOCAL_SQL, local_pairs, records, repeated
 from dipsift.plans.registry import query
 from dipsift.sources import artifacts, curves
 
@@ -157,7 +157,7 @@ def training(v) -> DataFrame:
 
 @query("p16_feature_gate", f"WITH {INCUMBENT_SQL} SELECT filename, {', '.join(k.INCUMBENT_COLUMNS)} FROM inc", " ".join(k.INCUMBENT_COLUMNS))
 def p16(v):
-    block = incumbent.incumbent_block(v.record.select(F.col("rec_id").alias("filename")), v.comparator)
+    block = incumbent.incumbent_block(v.record.select(F.col("rec_id").alias("filename")), repeated(v), "ingest")
     return incumbent.gated_features(block, "b0", extra=["filename"])
 
 

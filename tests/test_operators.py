@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dipsift.functions import constants as k
 from dipsift.functions import physics
 from dipsift.functions.expr import depth_floor, in_eclipse, lit
-from dipsift.operators import gaps, incumbent, pairs, rank, sampling, search, sets, split, views
+from dipsift.operators import gaps, incumbent, matching, pairs, queue, rank, sampling, search, sets, split, views
 from dipsift.operators.ordered import islands, locate, with_neighbours
 from dipsift.sources import artifacts, curves
 
@@ -146,13 +146,13 @@ def test_depth_floor(spark):
     assert row["a"] == pytest.approx(3e-3) and row["b"] == pytest.approx(1e-2)
 
 
-COMPARATOR = "filename string, best_fit string, " + ", ".join(f"{c} double" for c in [*k.AIC_COLUMNS, *k.RMSE_COLUMNS])
+COMPARATOR = "ingest int, filename string, best_fit string, " + ", ".join(f"{c} double" for c in [*k.AIC_COLUMNS, *k.RMSE_COLUMNS])
 
 
 def test_incumbent_block_keeps_dropped_keys(spark):
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "filename string")
-    rows = spark.createDataFrame([("a", "T", 10.0, 14.0, 20.0, 18.0, 1.0, 2.0, 3.0, 4.0)], COMPARATOR)
-    got = {r["filename"]: r for r in incumbent.incumbent_block(keys, rows).collect()}
+    rows = spark.createDataFrame([(2, "a", "T", 1.0, 14.0, 20.0, 18.0, 1.0, 2.0, 3.0, 4.0), (1, "a", "T", 10.0, 14.0, 20.0, 18.0, 1.0, 2.0, 3.0, 4.0)], COMPARATOR)
+    got = {r["filename"]: r for r in incumbent.incumbent_block(keys, rows, "ingest").collect()}
     assert [got["a"][f"delta_{c}"] for c in k.AIC_COLUMNS] == [0, 4, 10, 8] and got["a"]["best_fit_T"] == 1
     assert len(k.INCUMBENT_COLUMNS) == 17 and len(k.CORE_SCALARS + k.INCUMBENT_COLUMNS + k.HOST_SCALARS + k.PAIR_SCALARS) == 39
     assert all(got[x]["incumbent_valid"] == 0 and got[x]["rmse_transit"] == 0 for x in "bc")
@@ -160,9 +160,9 @@ def test_incumbent_block_keeps_dropped_keys(spark):
 
 def test_unknown_class_fails(spark):
     keys = spark.createDataFrame([("a",)], "filename string")
-    rows = spark.createDataFrame([("a", "WAT", *[1.0] * 8)], COMPARATOR)
+    rows = spark.createDataFrame([(1, "a", "WAT", *[1.0] * 8)], COMPARATOR)
     with pytest.raises(Exception, match="best_fit outside"):
-        incumbent.incumbent_block(keys, rows).collect()
+        incumbent.incumbent_block(keys, rows, "ingest").collect()
 
 
 def test_feature_gate_refuses_audit_and_missing(spark):
@@ -228,3 +228,59 @@ def test_digest_gate_and_guarded_join(spark):
     table = spark.createDataFrame([(1, "p"), (1, "q")], "k bigint, v string")
     with pytest.raises(Exception, match="repeats"):
         sets.many_to_one(spark.createDataFrame([(1,)], "k bigint"), table, ["k"], ["k"]).collect()
+
+
+def test_incumbent_block_needs_an_order_and_keeps_the_first_row(spark):
+    keys = spark.createDataFrame([("a",)], "filename string")
+    rows = spark.createDataFrame([(1, "a", "Sin", 10.0, *[9.0] * 7), (2, "a", "T", 1.0, *[9.0] * 7)], COMPARATOR)
+    got = incumbent.incumbent_block(keys, rows, "ingest").first()
+    assert got["best_fit_Sin"] == 1 and got["best_fit_T"] == 0
+    with pytest.raises(KeyError, match="ingest order"):
+        incumbent.incumbent_block(keys, rows.drop("ingest"), "ingest")
+
+
+def test_rebalance_thins_a_null_stratum(spark):
+    rows = [(i, 1, int(i % 10 < 2), None) for i in range(200)] + [(1000 + i, 0, int(i % 2), None) for i in range(500)]
+    rows += [(5000 + i, 0, int(i % 2), "s") for i in range(500)]
+    out = sampling.rebalance(spark.createDataFrame(rows, "id bigint, label int, inverted int, stratum string"), "s", "id", ["stratum"])
+    kept = {r["stratum"]: r["n"] for r in out.where("label = 0 and rebalance_keep = 1").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    assert out.count() == 1200 and kept[None] == kept["s"] == 250 + 62
+
+
+def test_rollup_keeps_missions_without_events(spark):
+    ev = spark.createDataFrame([("planet", "A", 1, True)], "kind string, mission string, matched int, passed boolean")
+    kn = spark.createDataFrame([("planet", "A"), ("planet", "B"), ("planet", "B")], "kind string, mission string")
+    got = {r["mission"]: (r["d1"], r["n_pass"], r["d2"], r["wilson_lo"] is None) for r in matching.mission_rollup(ev, kn).collect()}
+    assert got == {"A": (1, 1, 1, False), "B": (0, 0, 2, True)}
+
+
+@pytest.mark.parametrize("n", [1 << 14, 1 << 17])
+def test_design_points_never_repeat(spark, n):
+    d = sampling.design_points(spark.range(n), "id")
+    axes = d.select(*[F.count_distinct(c) for c in ("depth", "duration", "impact", "u1", "u2")]).first()
+    assert all(x == n for x in axes) and d.where("warp > 0").select(F.count_distinct("warp"), F.count("*")).first()[0] > 0.29 * n
+
+
+def test_split_follows_its_targets_at_any_size(spark):
+    s = spark.range(10_000).select(F.col("id").alias("tic"), F.lit("3to9|lo|lo").alias("stratum"), (1 + F.floor(F.lit(4000) / (F.col("id") + 1))).alias("n_events"))
+    done = split.stratified_split(s).join(s.select("tic", "n_events"), "tic").groupBy("split").agg(F.sum("n_events").alias("m")).collect()
+    total, worst = sum(r["m"] for r in done), 4001 * math.log2(10_000)
+    shares = {r["split"]: r["m"] for r in done}
+    assert all(abs(shares[x] - g * total) <= worst for x, g in zip(k.SPLITS, k.SPLIT_TARGETS))
+
+
+def test_positions_in_a_group_with_most_rows(spark):
+    s = spark.range(3000).select(F.col("id").alias("tic"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (F.col("id") % 7).alias("n"))
+    got = sorted(tuple(r) for r in queue.rank_in_group(s, "g", "n", "tic").collect())
+    want = []
+    for g in "ab":
+        mine = [x for x in range(3000) if (x % 10 == 0) == (g == "b")]
+        want += [(x, g, i + 1) for i, x in enumerate(sorted(mine, key=lambda x: (-(x % 7), x)))]
+    assert got == sorted(want)
+
+
+def test_map_digest_ignores_order_only(spark):
+    rows = [(i, "train" if i % 3 else "val") for i in range(50)]
+    one, two = (split.map_digest(spark.createDataFrame(r, "tic bigint, split string")).first()[0] for r in (rows, rows[::-1]))
+    other = split.map_digest(spark.createDataFrame([*rows[:-1], (49, "val")], "tic bigint, split string")).first()[0]
+    assert one == two != other
