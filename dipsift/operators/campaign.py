@@ -43,7 +43,7 @@ def injection_plan(tests: DataFrame, files: DataFrame, seed: str = "file") -> Da
     slots = slots.join(base, "tic").withColumn("slot_all", F.col("_base") + F.col("slot"))
     robin = (attach(tests.where("per_system").select("model_idx", "tic"), base.select("tic", "n_files"), ["tic"], ["model_idx"], "inner")
              .withColumn("slot", F.pmod("model_idx", "n_files")))
-    robin = attach(robin.drop("n_files"), slots.select("tic", "slot", "sector"), ["tic", "slot"], ["model_idx"], "inner") \
+    robin = robin.drop("n_files").join(slots.select("tic", "slot", "sector"), ["tic", "slot"]) \
         .select("model_idx", "tic", "sector")
     total = scalar(base, F.max("_all"))
     drawn = (tests.where("not per_system").select("model_idx", F.floor(uniform(seed, F.col("model_idx")) * total).alias("slot_all"))

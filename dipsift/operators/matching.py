@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, wilson
 from dipsift.operators.pairs import covered, nearest_gap
-from dipsift.operators.skew import attach, range_join
+from dipsift.operators.skew import range_join
 
 
 def recovery_labels(events: DataFrame, tests: DataFrame, test_key: Sequence[str],
@@ -18,7 +18,8 @@ def recovery_labels(events: DataFrame, tests: DataFrame, test_key: Sequence[str]
     """Flagged events of each test labelled against its lead and partner: strictly
     closer than half the injected duration.  Every event is kept."""
     cols = ["inj_time", "inj_duration", "partner_time"]
-    df = attach(events, tests.select(*test_key, *cols), test_key, spread, "inner")
+    # Tests are unique on the key and as many as events: a plain join, no copies.
+    df = events.join(tests.select(*test_key, *cols), list(test_key))
     half = F.col("inj_duration") / lit(2)
     lead = F.abs(F.col("event_time") - F.col("inj_time")) < half
     partner = F.coalesce(F.abs(F.col("event_time") - F.col("partner_time")) < half, F.lit(False))

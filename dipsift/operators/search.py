@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit
@@ -28,25 +29,94 @@ def flattened(lc: DataFrame, keys: Sequence[str], lengths: Sequence[float], keep
 
     Frames reach half a window (twice, for the scatter), so rows are sharded by
     time with a halo of that reach: every frame is complete inside its shard and
-    no curve has to sit in one task.  All lengths share one shuffle and sort."""
+    no curve has to sit in one task.  All lengths share one shuffle and sort, and
+    each median moves along a sorted buffer.  Missing and non-finite flux counts in no frame."""
     reach = max(lengths)
     rows = with_halo(lc.select(*keys, "time", "flux", *keep), "time", reach, SHARD_WIDTH)
     rows = rows.withColumn("_t", F.round(F.col("time") * lit(MICRO)).cast("bigint"))
-    order = Window.partitionBy(*keys, "_shard").orderBy("_t")
-
-    def frame(length: float):
-        half = round(length / 2 * MICRO)
-        return order.rangeBetween(-half, half)
-
-    trend = {f"_m{i}": F.percentile("flux", F.lit(0.5)).over(frame(w)) for i, w in enumerate(lengths)}
-    rows = rows.withColumns(trend)
-    spread = {f"_s{i}": F.percentile(F.abs(F.col("flux") / F.col(f"_m{i}") - lit(1)), F.lit(0.5)).over(frame(w))
-              for i, w in enumerate(lengths)}
-    rows = rows.withColumns(spread).where("_core")
-    scales = F.explode(F.array(*[F.struct(
-        F.lit(i).alias("window"), lit(w).alias("win_len"), (F.col("flux") / F.col(f"_m{i}")).alias("flat"),
-        (lit(k.MAD_TO_SIGMA) * F.col(f"_s{i}")).alias("sigma")) for i, w in enumerate(lengths)]))
-    return rows.select(*keys, "time", *keep, scales.alias("_w")).select(*keys, "time", *keep, "_w.*")
+    by = [*keys, "_shard"]
+    carried = [*dict.fromkeys([*keys, "time", *keep])]
+    rows = rows.select(*carried, F.col("flux").cast("double").alias("_flux"), "_t", "_shard", "_core")
+    added = [StructField("window", IntegerType()), *[StructField(c, DoubleType()) for c in ("win_len", "flat", "sigma")]]
+    schema = StructType([*rows.select(*carried).schema.fields, *added])
+    halves = [round(w / 2 * MICRO) for w in lengths]
+    sizes, to_sigma = [float(w) for w in lengths], k.MAD_TO_SIGMA
+
+    def run(batches):
+        # Everything it needs is imported here, so tasks do not need this package.
+        from bisect import bisect_left, insort
+
+        import numpy as np
+        import pyarrow as pa
+
+        def running(values, lo, hi):
+            """Median of ``values[lo:hi]`` for frames that only move forward."""
+            held, out, begin, end = [], np.full(len(lo), np.nan), 0, 0
+            for i in range(len(lo)):
+                while end < hi[i]:
+                    if values[end] == values[end]:
+                        insort(held, values[end])
+                    end += 1
+                while begin < lo[i]:
+                    if values[begin] == values[begin]:
+                        del held[bisect_left(held, values[begin])]
+                    begin += 1
+                n = len(held)
+                if n:
+                    out[i] = held[n // 2] if n % 2 else 0.5 * held[n // 2 - 1] + 0.5 * held[n // 2]
+            return out
+
+        def groups(table, last):
+            """Rows of the whole groups of a sorted table, and the begun last one."""
+            change = np.zeros(max(0, table.num_rows - 1), bool)
+            for c in by:
+                column = table.column(c).to_numpy()
+                change |= column[1:] != column[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            ends = [*cuts[1:], table.num_rows]
+            stop = len(cuts) if last else len(cuts) - 1
+            return list(zip(cuts[:stop], ends[:stop])), table.slice(cuts[-1] if cuts and not last else table.num_rows)
+
+        def scaled(table, spans):
+            t, core = table.column("_t").to_numpy(), table.column("_core").to_numpy()
+            flux = table.column("_flux").to_numpy().astype(float)
+            flux = np.where(np.isfinite(flux), flux, np.nan)
+            at, window, flat, sigma = [], [], [], []
+            for a, z in spans:
+                mine = a + np.flatnonzero(core[a:z])
+                if not len(mine):
+                    continue
+                for i, half in enumerate(halves):
+                    lo, hi = np.searchsorted(t[a:z], t[a:z] - half), np.searchsorted(t[a:z], t[a:z] + half, side="right")
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        ratio = flux[a:z] / running(flux[a:z].tolist(), lo.tolist(), hi.tolist())
+                    mad = running(np.abs(ratio - 1).tolist(), lo.tolist(), hi.tolist())
+                    at.append(mine)
+                    window.append(np.full(len(mine), i, np.int32))
+                    flat.append(ratio[mine - a])
+                    sigma.append(to_sigma * mad[mine - a])
+            if not at:
+                return None
+            at, window = np.concatenate(at), np.concatenate(window)
+            flat, sigma = np.concatenate(flat), np.concatenate(sigma)
+            left = table.select(carried).take(pa.array(at))
+            return pa.table([*left.columns, pa.array(window), pa.array(np.array(sizes)[window]), pa.array(flat, mask=np.isnan(flat)),
+                             pa.array(sigma, mask=np.isnan(sigma))], names=[*carried, "window", "win_len", "flat", "sigma"])
+
+        begun = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if begun is None else pa.concat_tables([begun, table]).combine_chunks()
+            spans, begun = groups(table, last=False)
+            done = scaled(table, spans) if spans else None
+            if done is not None:
+                yield from done.to_batches(max_chunksize=100_000)
+        if begun is not None and begun.num_rows:
+            done = scaled(begun, groups(begun, last=True)[0])
+            if done is not None:
+                yield from done.to_batches(max_chunksize=100_000)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_t").mapInArrow(run, schema)
 
 
 def peaks(flat: DataFrame, keys: Sequence[str], max_step: float, cadence: float,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PART_DAYS = 100.0
 CURVE_FILE = r"TIC_(\d+)_(\d+)\.txt"
 CURVE_COLUMNS = ["time", "flux", "flux_err", "phase", "ecl_mask"]
 
@@ -22,7 +23,9 @@ def write_curves(lc: DataFrame, path: str, masked: bool = False) -> None:
     over several part files instead of one task."""
     cols = CURVE_COLUMNS if masked else CURVE_COLUMNS[:4]
     fields = [F.col(c).cast("int").cast("string") if c == "ecl_mask" else F.col(c).cast("string") for c in cols]
-    (lc.select(F.concat_ws(" ", *fields).alias("value"), curve_file_name(F.col("tic"), F.col("sector")).alias("file"))
+    # Each task writes few curves: rows are dealt by curve, a long curve by stretches of time.
+    (lc.repartition("tic", "sector", F.floor(F.col("time") / F.lit(PART_DAYS)))
+       .select(F.concat_ws(" ", *fields).alias("value"), curve_file_name(F.col("tic"), F.col("sector")).alias("file"))
        .write.partitionBy("file").text(path))
 
 

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 @pytest.fixture(scope="session")
 def spark():
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
-         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
