@@ -9,7 +9,7 @@ from dipsift.functions import constants as k
 from dipsift.functions.expr import lit
 from dipsift.operators import gaps, pairs, views
 from dipsift.operators.hosts import lookup
-from dipsift.operators.incumbent import event_scalars, validity_bits
+from dipsift.operators.incumbent import event_scalars, incumbent_block, validity_bits
 
 KEY = ["event_id"]
 
@@ -54,6 +54,13 @@ def build_scalars(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_ke
     return validity_bits(df, pairs_admitted)
 
 
+def assemble(scalars: DataFrame, comparator: DataFrame, order: str, flags: DataFrame) -> DataFrame:
+    """The benchmark record: the event scalars with their incumbent block (zeros and
+    validity 0 where no comparison exists) and the per-event ``flags``."""
+    block = incumbent_block(scalars.select(*KEY), comparator, order, KEY[0])
+    return scalars.join(block, KEY).join(flags, KEY)
+
+
 def build_views(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_key: str = "event_id") -> DataFrame:
     """Dense local [2, 201] and recurrence [2, 64] arrays per event, zeros where empty."""
     ev = lookup(events, hosts.select("tic", "period"), KEY).where("host_found = 1")

@@ -1,7 +1,7 @@
 """Registered queries over the given tables."""
 
 from dipsift.plans import registry
-from dipsift.plans import q_clean, q_eval, q_search, q_sets, q_sources, q_views  # noqa: F401
+from dipsift.plans import q_clean, q_eval, q_record, q_search, q_sets, q_sources, q_views  # noqa: F401
 
 
 def queries():

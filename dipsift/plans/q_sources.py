@@ -81,18 +81,6 @@ def s6(v):
         F.element_at("samples", -1)["time"].alias("t_last"), "halfwidth")
 
 
-def record_shard(v) -> DataFrame:
-    path = folder(v, "records")
-    artifacts.write_records(v.record, path)
-    return artifacts.read_records(v.spark, path, ["train", "val"])
-
-
-@query("s7_record_shard", """SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_positive FROM record
-WHERE rebalance_keep = 1 AND split IN ('train', 'val') GROUP BY split""")
-def s7(v):
-    return record_shard(v).groupBy("split").agg(F.count(lit(1)).alias("n"), F.sum("label").alias("n_positive"))
-
-
 @query("s7_record_views")
 def s7_views(v):
     """Dense [2, 201] and [2, 64] arrays of every event."""
