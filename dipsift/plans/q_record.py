@@ -1,14 +1,15 @@
-"""Queries over the assembled benchmark record (S7, P16)."""
+"""Queries over the assembled benchmark record (S7, P16, M6, M9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
-from dipsift.functions.expr import lit, uniform
-from dipsift.operators import incumbent, record, sampling
+from dipsift.functions.expr import eclipse_edge_distance, finite, lit, uniform
+from dipsift.operators import hosts, incumbent, probes, record, sampling
 from dipsift.operators.lineage import materialise
 from dipsift.plans.fixtures import CLASS_LIST, pick, u_sql
+from dipsift.plans.q_clean import EDGE_DISTANCE, eclipses
 from dipsift.plans.q_sets import REBALANCE_SQL
 from dipsift.plans.q_sources import folder
 from dipsift.plans.q_views import RECORD_COLUMNS, RECORD_SQL, records
@@ -67,3 +68,50 @@ def arm(name: str):
 
 for _name in ("b0", "b", "b_nopair"):
     arm(_name)
+
+
+# --- leak probes on the record -------------------------------------------------
+
+SINGLE = [(3, "eclipse_phase_distance", False), (5, "log1p_n_cycles", False), (6, "gap_proximity", False), (7, "depth", True)]
+#: Diagnostics, reported only: the pair scalars, and whether they are defined at all.
+MORE = [(8 + i, c, True) for i, c in enumerate(k.PAIR_SCALARS)]
+SCREENS = [(8 + len(MORE) + i, f"finite_{c}", True) for i, c in enumerate(["tmag", "skye_flag", "pair_dt_over_pbin"])]
+
+
+def probe_rows(v):
+    d = eclipse_edge_distance(F.col("phase"), *eclipses())
+    near = hosts.lookup(v.tce, v.host.select("tic", "prim_pos", "prim_width", "sec_pos", "sec_width"), ["event_id"]).select(
+        "event_id", d.alias("eclipse_phase_distance"))
+    rows = whole_record(v).where("rebalance_keep = 1").join(near, "event_id")
+    screens = {name: finite(F.col(name.removeprefix("finite_")).cast("double")).cast("double") for _, name, _ in SCREENS}
+    return materialise(rows.withColumns({c: F.coalesce(x, lit(0)) for c, x in screens.items()}), "probe-record")
+
+
+def probe_parts(v):
+    rows = probe_rows(v)
+    return [probes.single_column(rows, number, column, reported_only=only) for number, column, only in [*SINGLE, *MORE, *SCREENS]]
+
+
+PROBE_SQL = f"""{RECORD_7_SQL}, kp AS (SELECT w.*, {EDGE_DISTANCE} AS eclipse_phase_distance, CASE WHEN w.tmag IS NULL THEN 0e0 ELSE 1e0 END AS finite_tmag,
+   CASE WHEN w.skye_flag IS NULL THEN 0e0 ELSE 1e0 END AS finite_skye_flag, CASE WHEN w.pair_dt_over_pbin IS NULL THEN 0e0 ELSE 1e0 END AS finite_pair_dt_over_pbin
+  FROM whole w JOIN tce t ON t.event_id = w.event_id JOIN host h ON h.tic = t.tic WHERE w.rebalance_keep = 1)
+""" + " UNION ALL ".join(
+    f"""SELECT {number} AS probe, '{column}' AS name, CASE WHEN count({column}) < {k.PROBE_MIN_FINITE} OR count(DISTINCT label) FILTER (WHERE {column} IS NOT NULL) < 2
+  THEN 0 ELSE count({column}) FILTER (WHERE split = 'val') END AS n, {'NULL::DOUBLE' if only else f'{k.GATE_AUC!r}::DOUBLE'} AS gate,
+  CASE WHEN count({column}) < {k.PROBE_MIN_FINITE} OR count(DISTINCT label) FILTER (WHERE {column} IS NOT NULL) < 2 THEN 1 ELSE 0 END AS skipped FROM kp"""
+    for number, column, only in [*SINGLE, *MORE, *SCREENS])
+
+
+@query("m6_probe_inputs", PROBE_SQL, "gate")
+def m6(v):
+    """What the single-column probes were fitted and judged on; their metrics are in the report."""
+    return probes.report(*probe_parts(v)).select("probe", "name", "n", "gate", (F.col("verdict") == "SKIP").cast("int").alias("skipped"))
+
+
+@query("m9_probe_report")
+def m9(v):
+    """Probes 1 to 7 and the reported diagnostics."""
+    from dipsift.plans.q_sources import FEATURES, flat_views, training
+    t = training(v)
+    return probes.report(probes.balance_verdict(probes.inversion_balance(t, "label", "inverted_lc")), probes.provenance(t, FEATURES, rounds=10),
+                         probes.host_identity(flat_views(v), "host", "features", "vec_id", max_iter=20), *probe_parts(v))

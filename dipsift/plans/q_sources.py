@@ -214,13 +214,6 @@ def m5(v):
     return models.reproduces(grid(v, ("logreg",))[0], first, ["candidate"], ["average_precision", "roc_auc"], 1e-6)
 
 
-@query("m6_single_column_probe")
-def m6(v):
-    t = training(v)
-    return probes.report(probes.single_column(t, 6, "tmag"), probes.single_column(t, 5, "detrend_fraction"),
-                         probes.single_column(t, 7, "depth", reported_only=True))
-
-
 @query("m7_provenance_probe")
 def m7(v):
     return probes.provenance(training(v), FEATURES, rounds=10)
@@ -235,14 +228,6 @@ def m8(v):
     return probes.host_identity(flat_views(v), "host", "features", "vec_id", max_iter=20)
 
 
-@query("m9_probe_report")
-def m9(v):
-    t = training(v)
-    return probes.report(probes.balance_verdict(probes.inversion_balance(t, "label", "inverted_lc")),
-                         probes.provenance(t, FEATURES, rounds=10), probes.single_column(t, 3, "t_dur"),
-                         probes.host_identity(flat_views(v), "host", "features", "vec_id", max_iter=20))
-
-
 @query("m10_sealed_scoring")
 def m10(v):
     model, _, fill = saved_ranker(v)
