@@ -27,7 +27,7 @@ from dipsift.llm.common import MIX, pieces, utf8
 Q = 8
 WINDOW = 120
 STEP = 60
-EDIT_RATE = 0.05
+EDIT_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

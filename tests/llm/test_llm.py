@@ -117,7 +117,7 @@ def test_decontamination_finds_edited_passages_only(s):
     text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(n))
     items = [(k, text(30)) for k in range(20)]
     edited = list(items[3][1])
-    for at in (20, 70, 110):
+    for at in range(12, 120, 15):  # seven or eight edits a window
         edited[at] = "#"
     rows = [(1, text(50)), (2, f"{text(20)} {items[2][1].upper()}\n{text(20)}"), (3, text(9) + "".join(edited)), (4, None), (5, ""), (6, "ab"),
             (7, text(3000) + items[7][1].replace(" ", "\n  ") + text(3000)), (8, items[8][1]), (8, items[8][1]), (9, items[9][1][:60])]
