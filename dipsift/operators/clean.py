@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
-from dipsift.functions.expr import finite, lit
+from dipsift.functions.expr import finite, fold, in_eclipse, lit
 from dipsift.operators.ordered import with_neighbours
 from dipsift.operators.rank import quantiles
 from dipsift.operators.skew import attach
@@ -55,6 +55,16 @@ def long_cadence(lc: DataFrame, cadence: float = k.CADENCE_DAYS) -> DataFrame:
     return rows.where(~fine | F.col("_pace").isNull()).select(*cols).unionByName(binned)
 
 
+def rephased(lc: DataFrame, host: DataFrame, spread: Sequence[str] = ("time",)) -> DataFrame:
+    """Phase and eclipse mask of averaged cadences, from their own times; curves of
+    unknown systems get neither.  ``host``: tic, period, bjd0, prim_*, sec_*."""
+    at = fold(F.col("time"), F.col("bjd0"), F.col("period"))
+    known = ["tic", "period", "bjd0", "prim_pos", "prim_width", "sec_pos", "sec_width"]
+    rows = attach(lc, host.select(*known), ["tic"], spread).withColumn("phase", at)
+    inside = in_eclipse(F.col("phase"), (F.col("prim_pos"), F.col("prim_width")), (F.col("sec_pos"), F.col("sec_width")))
+    return rows.withColumn("ecl_mask", F.when(F.col("phase").isNotNull(), inside.cast("int"))).drop(*known[1:])
+
+
 def inverted(flux: Column, flag: Column) -> Column:
     """Turns dips into bumps on flagged rows: ``((f - 1) * -1) + 1``."""
     return F.when(flag == 1, (flux - lit(1)) * lit(-1) + lit(1)).otherwise(flux)

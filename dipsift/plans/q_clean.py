@@ -87,17 +87,21 @@ def p6(v):
         "event_id", d.alias("d_phi"), F.coalesce(d, lit(0)).alias("d_phi_or_zero"))
 
 
-@query("p7_long_cadence_rebin", """
+@query("p7_long_cadence_rebin", f"""
 WITH d AS (SELECT *, time - lag(time) OVER (PARTITION BY tic, sector ORDER BY time) AS step FROM lc),
 p AS (SELECT tic, sector, median(step) AS pace FROM d GROUP BY tic, sector),
-j AS (SELECT lc.*, p.pace FROM lc JOIN p ON p.tic = lc.tic AND p.sector = lc.sector)
-SELECT tic, sector, avg(time) AS time, avg(flux) AS flux, sqrt(sum(flux_err * flux_err)) / count(*) AS flux_err
+j AS (SELECT lc.*, p.pace FROM lc JOIN p ON p.tic = lc.tic AND p.sector = lc.sector),
+r AS (SELECT tic, sector, avg(time) AS time, avg(flux) AS flux, sqrt(sum(flux_err * flux_err)) / count(*) AS flux_err
 FROM j WHERE pace < 0.35e0 GROUP BY tic, sector, floor(time / 0.35e0)
 UNION ALL
-SELECT tic, sector, time, flux, flux_err FROM j WHERE NOT coalesce(pace < 0.35e0, false)
-""", "time flux flux_err")
+SELECT tic, sector, time, flux, flux_err FROM j WHERE NOT coalesce(pace < 0.35e0, false)),
+f AS (SELECT r.*, (r.time - h.bjd0) / h.period - floor((r.time - h.bjd0) / h.period) AS phase, prim_pos, prim_width, sec_pos, sec_width
+  FROM r LEFT JOIN host h ON h.tic = r.tic)
+SELECT tic, sector, time, flux, flux_err, phase, CASE WHEN coalesce({CIRC.format('phase', 'prim_pos')} <= prim_width / 2e0, false)
+    OR coalesce({CIRC.format('phase', 'sec_pos')} <= sec_width / 2e0, false) THEN 1 ELSE 0 END AS ecl_mask FROM f
+""", "time flux flux_err phase")
 def p7(v):
-    return clean.long_cadence(v.lc, 0.35)
+    return clean.rephased(clean.long_cadence(v.lc, 0.35), v.host)
 
 
 @query("p8_inversion", """
