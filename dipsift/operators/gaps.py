@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
@@ -64,11 +64,12 @@ def sector_windows(spans: DataFrame, time_step: float = 0.01, slack: int = 1000,
 def best_of_groups(peaks: DataFrame, tolerance: float, keys: Sequence[str] = tuple(CURVE),
                    at: str = "event_time", carry: Sequence[str] = (),
                    threshold: int = k.DETREND_ROBUST_ABOVE,
-                   width: float = SHARD_DAYS) -> DataFrame:
+                   width: float = SHARD_DAYS, tie: Sequence[Column] = ()) -> DataFrame:
     """Chains peaks closer than ``tolerance`` and keeps the strongest of each
-    chain (earliest among equals), with the chain size and the dependence flag."""
+    chain (to nine digits; the earliest among equals, then the highest ``tie``), with
+    the chain size and the dependence flag."""
     chained = islands(peaks, keys, at, tolerance, "group_id", width=width)
-    best = F.max_by(F.struct(at, "snr", *carry), F.struct("snr", -F.col(at)))
+    best = F.max_by(F.struct(at, "snr", *carry), F.struct(F.round("snr", 9), -F.col(at), *tie))
     return (chained.groupBy(*keys, "group_id")
             .agg(best.alias("_best"), F.count(F.lit(1)).alias("n_detrend_detections"))
             .select(*keys, "group_id", "_best.*", "n_detrend_detections",

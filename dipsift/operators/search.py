@@ -142,4 +142,5 @@ def search(lc: DataFrame, keys: Sequence[str], lengths: Sequence[float], max_ste
     strongest of each chain."""
     found = peaks(flattened(lc, keys, lengths, carry), keys, max_step, cadence, carry=carry)
     limit = k.DETREND_ROBUST_ABOVE if robust_above is None else robust_above
-    return best_of_groups(found, tolerance, keys, carry=["depth", "duration", "win_len", *carry], threshold=limit)
+    return best_of_groups(found, tolerance, keys, carry=["depth", "duration", "win_len", *carry], threshold=limit,
+                          tie=[-F.col("win_len")])

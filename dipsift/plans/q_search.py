@@ -31,7 +31,7 @@ pk AS (SELECT {by}, window_no, any_value(win_len) AS win_len, arg_min(time, (fla
   FROM s4 GROUP BY {by}, window_no, run),
 g1 AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY {by} ORDER BY event_time) > {TOLERANCE}e0 THEN 1 ELSE 0 END AS br FROM pk),
 g2 AS (SELECT *, CAST(sum(br) OVER (PARTITION BY {by} ORDER BY event_time) AS BIGINT) AS group_id FROM g1),
-found AS (SELECT {by}, group_id, arg_max(event_time, (round(snr, 9), -event_time)) AS event_time, max(snr) AS snr, count(*) AS n_detrend_detections FROM g2 GROUP BY {by}, group_id)"""
+found AS (SELECT {by}, group_id, {", ".join(f"arg_max({c}, (round(snr, 9), -event_time, -win_len)) AS {c}" for c in ("event_time", "depth", "duration", "win_len", "snr"))}, count(*) AS n_detrend_detections FROM g2 GROUP BY {by}, group_id)"""
 
 
 def in_view(v):
@@ -47,10 +47,11 @@ def w7(v):
 
 
 @query("w7_search_events", f"""WITH {search_sql('lc', ['tic', 'sector'], search.window_lengths())}
-SELECT tic, sector, group_id, snr, n_detrend_detections FROM found""", "snr", 7)
+SELECT tic, sector, group_id, event_time, depth, duration, win_len, snr, n_detrend_detections,
+  CASE WHEN n_detrend_detections <= 18 THEN 1 ELSE 0 END AS det_dependence FROM found""", "event_time depth duration win_len snr", 7)
 def w7_events(v):
     return search.search(in_view(v), ["tic", "sector"], search.window_lengths(), STEP, CADENCE, TOLERANCE).select(
-        "tic", "sector", "group_id", "snr", "n_detrend_detections")
+        "tic", "sector", "group_id", "event_time", "depth", "duration", "win_len", "snr", "n_detrend_detections", "det_dependence")
 
 
 ELIGIBLE_SQL = f"""el AS (SELECT l.* FROM lc l JOIN host h ON h.tic = l.tic WHERE NOT (
