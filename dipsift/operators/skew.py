@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dipsift.functions.expr import lit
 
 SALTS = 8
+RING = 4096
 
 
 def salt_of(spread: Sequence[str], salts: int) -> Column:
@@ -60,21 +61,25 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at:
 
 
 def ring_join(points: DataFrame, arcs: DataFrame, keys: Sequence[str], phase: str,
-              centre: str, half: str, ring: int, spread: Sequence[str],
-              salts: int = SALTS) -> DataFrame:
+              centre: str, half: str, spread: Sequence[str],
+              salts: int = SALTS, finest: int = RING) -> DataFrame:
     """Candidate (point, arc) pairs on the unit circle: equal ``keys`` and the
-    point's ring slot among the slots the arc touches (modulo ``ring``).  The
-    caller applies its own residual predicate; each pair appears once."""
+    point's ring slot among the slots the arc touches.  The caller applies its own
+    residual predicate; each pair appears once.
+
+    Every key has a ring of its own, with slots as wide as its widest arc (at most
+    ``finest`` slots), so an arc touches three slots at most and few points beside it."""
+    rings = arcs.groupBy(*keys).agg(F.greatest(F.lit(1), F.least(F.lit(finest), F.floor(
+        lit(1) / F.greatest(lit(2) * F.max(half), lit(1e-12))))).cast("bigint").alias("_ring"))
+    ring = F.col("_ring")
     slots = F.when(
-        F.col(half) * lit(2) + lit(2.0 / ring) >= lit(1.0),
-        F.sequence(F.lit(0).cast("bigint"), F.lit(ring - 1).cast("bigint")),
+        F.col(half) * lit(2) + lit(2.0) / ring >= lit(1.0), F.sequence(F.lit(0).cast("bigint"), ring - 1),
     ).otherwise(F.transform(
-        F.sequence(F.floor((F.col(centre) - F.col(half)) * lit(ring)),
-                   F.floor((F.col(centre) + F.col(half)) * lit(ring))),
-        lambda s: F.pmod(s, F.lit(ring).cast("bigint"))))
-    p = (points
-         .withColumn("_b", F.pmod(F.floor(F.col(phase) * lit(ring)), F.lit(ring).cast("bigint")))
-         .withColumn("_salt", salt_of(spread, salts)))
-    a = (arcs.withColumn("_b", F.explode(slots))
-             .withColumn("_salt", all_salts(salts)))
+        F.sequence(F.floor((F.col(centre) - F.col(half)) * ring), F.floor((F.col(centre) + F.col(half)) * ring)),
+        lambda s: F.pmod(s, ring)))
+    p = (attach(points, rings, keys, spread, "inner", salts)
+         .withColumn("_b", F.pmod(F.floor(F.col(phase) * ring), ring))
+         .withColumn("_salt", salt_of(spread, salts)).drop("_ring"))
+    a = (arcs.join(rings, list(keys)).withColumn("_b", F.explode(slots))
+         .withColumn("_salt", all_salts(salts)).drop("_ring"))
     return p.join(a, [*keys, "_b", "_salt"]).drop("_b", "_salt")

@@ -12,7 +12,6 @@ from dipsift.functions.expr import bin_of, depth_floor, lit, local_half, signed_
 from dipsift.operators.skew import range_join, ring_join
 
 CURVE = ["tic", "sector"]
-RING = 256
 
 
 def cycle_from_phase(time: Column) -> Column:
@@ -95,7 +94,7 @@ def fold_pairs(lc: DataFrame, events: DataFrame, spread: Sequence[str]) -> DataF
     arcs = (events.where((F.col("period") > 0) & (F.col("duration") > 0))
             .withColumn("_half", reach + lit(1e-9)))
     pts = lc.select("tic", "time", "flux", F.col("phase").alias("_ph"), *[c for c in spread if c not in ("time", "tic")])
-    df = ring_join(pts, arcs, ["tic"], "_ph", "phase", "_half", RING, spread)
+    df = ring_join(pts, arcs, ["tic"], "_ph", "phase", "_half", spread)
     df = df.withColumn("dphi", signed_phase(F.col("_ph"), F.col("phase")))
     offset = F.abs(F.col("dphi")) * F.col("period")
     return (df.withColumn("cycle", cycle_from_phase(F.col("time")))

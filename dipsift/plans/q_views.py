@@ -100,10 +100,13 @@ recur AS (SELECT fm.*, (SELECT 1.4826e0 * median(abs(d - rec_depth_med)) FROM fd
 
 
 @query("j3_fold_join", f"""WITH {LOCAL_SQL}, {FOLD_SQL}
-SELECT event_id, cadence_id, dphi, CAST(cycle AS BIGINT) AS cycle, CAST(in_window AS INTEGER) AS in_window FROM fp""",
-       "dphi")
+SELECT event_id, CAST(cycle AS BIGINT) AS cycle, count(*) FILTER (WHERE in_window) AS n_window, count(*) FILTER (WHERE in_sideband) AS n_sideband,
+  sum(dphi) AS dphi_sum, sum(flux) AS flux_sum FROM fp GROUP BY event_id, cycle""", "dphi_sum flux_sum")
 def j3(v):
-    return fold(v).select("event_id", "cadence_id", "dphi", "cycle", F.col("in_window").cast("int").alias("in_window"))
+    """The pairs of the fold, counted and summed per event and cycle."""
+    return fold(v).groupBy("event_id", "cycle").agg(
+        F.count_if("in_window").alias("n_window"), F.count_if("in_sideband").alias("n_sideband"),
+        F.sum("dphi").alias("dphi_sum"), F.sum("flux").alias("flux_sum"))
 
 
 @query("a3_recurrence_view", f"""WITH {LOCAL_SQL}, {FOLD_SQL}
