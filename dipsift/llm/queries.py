@@ -79,7 +79,7 @@ def op2(spark, sf_dir):
     from dipsift.operators.lineage import scratch_dir
     folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     files = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.read(files).drop("ids")
+    return token_files.read(files, with_ids=False)
 
 
 @query("op3_personal_data")

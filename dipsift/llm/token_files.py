@@ -172,8 +172,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
     return materialise(rows.select("key", "text").mapInArrow(run, "path string, part long, docs long, tokens long"), "token-files")
 
 
-def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+def read(files: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """One row for each document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32, and the ids if asked for."""
     # One row a file: its own small table, cumulated in one task.
     based = files.withColumn("base", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     based = materialise(based.select("path", "part", "base"), "token-bases")
@@ -183,16 +183,16 @@ def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 file = Reader(path)
-                out = ([], [], [], [], [])
+                out = [[] for _ in kinds]
                 for k, ids in enumerate(file.documents()):
                     for column, value in zip(out, (int(file.keys[k]) if file.known[k] else None, base + int(file.starts[k]), len(ids) // 4,
                                                    zlib.crc32(ids), ids)):
                         column.append(value)
                     if len(out[0]) == 1024:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                        out = ([], [], [], [], [])
+                        out = [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-    kinds = [pa.int64()] * 4 + [pa.binary()]
-    names = [key, "start", "n_tokens", "ids_crc32", "ids"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
+    names = [key, "start", "n_tokens", "ids_crc32", "ids"][:len(kinds)]
     return based.repartitionByRange(count, "part").select("path", "base").mapInArrow(
-        run, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
+        run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
