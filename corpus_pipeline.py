@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences.
 
-Each stage works on all that its predecessor kept; all but the last return the columns of ``documents``."""
+Each stage works on all that its predecessor kept; all but the last return the columns of ``documents``.
+Null and empty texts go in the first stage; empty tables give empty tables at every stage; extra
+columns pass through up to the last stage."""
 
 from __future__ import annotations
 
@@ -31,7 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of linked documents: the one with the smallest id."""
+    """Keeps one document of each class of linked documents: the one with the smallest id.
+
+    An id names a document: rows that repeat one are the same document and stay or go
+    together.  Rows without an id stay."""
     ship(spark)
     found = jaccard_join.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
     lesser = found.where(F.col("_id") != F.col("component_id")).select("_id").distinct()
