@@ -28,7 +28,7 @@ Q = 8
 WINDOW = 120
 STEP = 60
 EDIT_RATE = 0.08
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 500_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
