@@ -15,7 +15,8 @@ d <= 1 - similarity.  Equal sets are one node from the start.
    into it.  The exact distance to the pivot is computed for all of them.  Those
    within the limit link to the pivot.  Two others can only link if their
    distances to the pivot differ by at most the limit (triangle inequality),
-   so each band of distances is compared with itself and its neighbours.
+   so each band of distances is compared with itself and its neighbours, and only
+   where what both share with the pivot leaves room for enough in common.
 4. *Recursion.*  A region whose nodes are all of one component is done.  A large open
    one takes further pivots, which only meet nodes of other components; a small
    one, or one that no longer shrinks, is compared pair by pair within the windows.
@@ -46,7 +47,7 @@ PERCENT = 80
 SMALL = 32
 PIVOTS = 8
 DEPTH = 4
-GROUP = 1_000_000
+GROUP = 500_000
 _BLOB = "part int, owner binary, at binary, gram binary, seen binary, times binary"
 
 
@@ -109,8 +110,8 @@ def _filter_rows(words: int, percent: int, parts: int):
                    gram[a:b].tobytes(), owner[some].tobytes(), local[some].astype(np.int32).tobytes())
 
     def run(batches):
-        for whole in batches:
-            sets = [s for batch in pieces(whole, 256) for s in shingle_sets(_texts(batch, 0), words)]
+        for part in (p for whole in batches for p in pieces(whole, 4096)):
+            sets = [s for batch in pieces(part, 256) for s in shingle_sets(_texts(batch, 0), words)]
             rows = list(emit(sets))
             for k in range(0, len(rows), 64):
                 columns = list(zip(*rows[k:k + 64]))
@@ -171,8 +172,11 @@ def _links(distances: DataFrame, percent: int) -> DataFrame:
         F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def _sizes_fit(x: str, y: str, percent: int):
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * F.lit(percent))
+def _may_link(x: str, y: str, percent: int):
+    """What sizes and shared parts allow: linked sets have s (|A| + |B|) / (1 + s) shingles in
+    common, all of them among those that each shares with any other set."""
+    sizes = F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * F.lit(percent)
+    return sizes & (F.least(f"{x}m", f"{y}m") * (100 + percent) >= (F.col(f"{x}n") + F.col(f"{y}n")) * F.lit(percent))
 
 
 def node_table(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +215,8 @@ def living_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, key: str, te
 
 
 def cells(sets: DataFrame, percent: int) -> DataFrame:
-    """(cell, node, n, rank): the rare ends of the living sets, cells of equal membership merged."""
+    """(cell, node, n, m, rank, size, pivot): the rare ends of the living sets, cells of equal
+    membership merged; m is how many of the n shingles other sets share."""
     def explode(batches):
         for batch in batches:
             for small in pieces(batch, 64):
@@ -226,36 +231,38 @@ def cells(sets: DataFrame, percent: int) -> DataFrame:
     limit = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("found"))
     rare = (entries.join(many, "cell").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("found"))
             .where(F.size("found") * 100 >= F.col("n") * percent)
-            .select("node", "n", F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("rank"),
+            .select("node", "n", F.size("found").cast("long").alias("m"), F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("rank"),
                     F.explode(F.slice("found", F.lit(1), F.greatest(limit, F.lit(0)).cast("int"))).alias("e"))
-            .select(F.col("e.cell").alias("cell"), "node", "n", (F.col("rank") / F.col("n")).alias("rank")))
+            .select(F.col("e.cell").alias("cell"), "node", "n", "m", (F.col("rank") / F.col("n")).alias("rank")))
     rare = materialise(rare, "rare")
-    alike = (rare.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("f"),
+    alike = (rare.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("f"),
                                       F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("g"), F.max(F.struct("rank", "node")).alias("top"))
-             .where("m > 1").groupBy("m", "f", "g").agg(F.min("cell").alias("cell"), F.first("top").alias("top")))
-    alike = materialise(alike.select("cell", "m", F.col("top.node").alias("pivot")), "cells")
+             .where("size > 1").groupBy("size", "f", "g").agg(F.min("cell").alias("cell"), F.first("top").alias("top")))
+    alike = materialise(alike.select("cell", "size", F.col("top.node").alias("pivot")), "cells")
     return materialise(rare.join(alike, "cell"), "members")
 
 
 def _within(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs within small groups: at most SMALL members each."""
-    listed = rows.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("v")).select("v").distinct()
+    listed = rows.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("node", "n", "m"))).alias("v")).select("v").distinct()
     one = listed.select("v", F.posexplode("v").alias("k", "p"))
-    two = one.select(F.col("p.node").alias("x"), F.col("p.n").alias("xn"), F.explode(F.slice("v", F.col("k") + 2, SMALL)).alias("q"))
-    return two.select("x", "xn", F.col("q.node").alias("y"), F.col("q.n").alias("yn")).where(_sizes_fit("xn", "yn", percent)).select("x", "y")
+    two = one.select(F.col("p.node").alias("x"), F.col("p.n").alias("xn"), F.col("p.m").alias("xm"),
+                     F.explode(F.slice("v", F.col("k") + 2, SMALL)).alias("q"))
+    return two.select("x", "xn", "xm", F.col("q.node").alias("y"), F.col("q.n").alias("yn"), F.col("q.m").alias("ym")).where(
+        _may_link("x", "y", percent)).select("x", "y")
 
 
 def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) between nodes that connect exactly the components of all links."""
     limit = 1 - percent / 100
     members = cells(sets, percent)
-    small = _distances(_within(members.where(F.col("m") <= SMALL), percent), sets, "small")
+    small = _distances(_within(members.where(F.col("size") <= SMALL), percent), sets, "small")
     found = _links(small, percent)
-    rows = members.where(F.col("m") > SMALL).select("pivot", "node", "n", "rank").distinct()
+    rows = members.where(F.col("size") > SMALL).select("pivot", "node", "n", "m", "rank").distinct()
     met = _distances(rows.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")), sets, "met")
     found = found.unionByName(_links(met, percent))
-    region = materialise(rows.join(met.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "d"), ["node", "pivot"], "left")
-                         .na.fill({"d": 0.0}), "region")
+    region = materialise(rows.join(met.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "d", F.col("both").alias("b")), ["node", "pivot"], "left")
+                         .withColumns({"d": F.coalesce("d", F.lit(0.0)), "b": F.coalesce("b", "n")}), "region")
     left = region.count()
     for depth in range(DEPTH + 1):
         if not left:
@@ -264,33 +271,35 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         region = region.drop("c").join(label.select("node", F.col("component").alias("c")), "node", "left").withColumn(
             "c", F.coalesce("c", "node"))
         region = materialise(region, "open")
-        state = region.groupBy("pivot").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1")
-        region = materialise(region.join(materialise(state.select("pivot", "m"), "state"), "pivot"), "open")
+        state = region.groupBy("pivot").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+        region = materialise(region.join(materialise(state.select("pivot", "size"), "state"), "pivot"), "open")
         before, left = left, region.count()
         last = depth == DEPTH or (depth and left > 0.9 * before)
-        done = region if last else region.where(F.col("m") <= SMALL)
+        done = region if last else region.where(F.col("size") <= SMALL)
         band = F.floor(F.col("d") / F.lit(limit + 1e-9))
-        one = done.select("pivot", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("c").alias("xc"), band.alias("band"))
-        two = done.select("pivot", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("c").alias("yc"),
+        one = done.select("pivot", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("m").alias("xm"), F.col("b").alias("xb"), F.col("d").alias("xd"), F.col("c").alias("xc"), band.alias("band"))
+        two = done.select("pivot", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("b").alias("yb"), F.col("d").alias("yd"), F.col("c").alias("yc"),
                           F.explode(F.array(band - 1, band, band + 1)).alias("band"))
         window = one.join(two, ["pivot", "band"]).where(
             (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & (F.abs(F.col("xd") - F.col("yd")) <= limit + 1e-9)
-            & _sizes_fit("xn", "yn", percent)).select("x", "y")
+            & _may_link("x", "y", percent)
+            # In common they have at most what both have of the pivot, and of the rest what others share.
+            & ((F.least("xb", "yb") + F.least(F.col("xm") - F.col("xb"), F.col("ym") - F.col("yb"))) * (100 + percent)
+               >= (F.col("xn") + F.col("yn")) * percent)).select("x", "y")
         found = found.unionByName(_links(_distances(window, sets, "window"), percent))
         if last:
             break
-        region = region.where(F.col("m") > SMALL).drop("m")
+        region = region.where(F.col("size") > SMALL).drop("size")
         # Further pivots: the most central node of each of several components, then any by hash.
-        order = Window.partitionBy("pivot").orderBy(F.col("top.rank").desc(), "top.node")
-        lead = region.groupBy("pivot", "c").agg(F.max(F.struct("rank", "node", "n")).alias("top"), F.count(F.lit(1)).alias("k"))
+        lead = region.groupBy("pivot", "c").agg(F.max(F.struct("rank", "node", "n", "m")).alias("top"), F.count(F.lit(1)).alias("k"))
         lead = lead.withColumn("o", F.row_number().over(Window.partitionBy("pivot").orderBy(F.desc("k"), "c"))).where(
             F.col("o") <= PIVOTS).drop("o")
         more = region.withColumn("s", F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(PIVOTS))).groupBy("pivot", "c", "s").agg(
-            F.max(F.struct(F.xxhash64("node", F.lit(depth)).alias("h"), "node", "n")).alias("top")).join(
+            F.max(F.struct(F.xxhash64("node", F.lit(depth)).alias("h"), "node", "n", "m")).alias("top")).join(
             lead.select("pivot", "c"), ["pivot", "c"], "left_semi")
-        seeds = materialise(lead.select("pivot", "c", F.col("top.node").alias("q"), F.col("top.n").alias("qn")).unionByName(
-            more.select("pivot", "c", F.col("top.node").alias("q"), F.col("top.n").alias("qn"))).distinct().withColumnRenamed("c", "qc"), "seeds")
-        meet = region.join(seeds, "pivot").where((F.col("c") != F.col("qc")) & _sizes_fit("n", "qn", percent))
+        seeds = materialise(lead.select("pivot", "c", F.col("top.node").alias("q"), F.col("top.n").alias("qn"), F.col("top.m").alias("qm")).unionByName(
+            more.select("pivot", "c", F.col("top.node").alias("q"), F.col("top.n").alias("qn"), F.col("top.m").alias("qm"))).distinct().withColumnRenamed("c", "qc"), "seeds")
+        meet = region.withColumnsRenamed({"n": "xn", "m": "xm"}).join(seeds, "pivot").where((F.col("c") != F.col("qc")) & _may_link("x", "q", percent))
         found = found.unionByName(_links(_distances(meet.select(F.least("node", "q").alias("x"), F.greatest("node", "q").alias("y")),
                                                     sets, "meet"), percent))
         left = region.count()
