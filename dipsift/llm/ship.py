@@ -10,10 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once a session, as ``--py-files`` would."""
+    """Send the package's source to the executors once a session, as ``--py-files`` would.
+
+    Rows here are whole texts, so Arrow batches of the session are held to 1,000
+    rows: a worker and the JVM beside it each keep one or two at a time."""
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
