@@ -23,6 +23,7 @@ d <= 1 - similarity.  Equal sets are one node from the start.
 
 Documents of a class need not be compared with each other once they are connected, so very large
 groups of near copies cost about their number of members, and no link between different classes is lost.
+``all_links`` lists the links within classes too: their number grows with the square of a group, and so does its cost.
 
 Null texts, empty texts and texts of white space have an empty set and link with
 nothing.  Repeated rows are copies of each other.  Null ids are allowed: such a row's
@@ -48,6 +49,9 @@ SMALL = 32
 PIVOTS = 8
 DEPTH = 4
 GROUP = 500_000
+TILE = 128
+TILE_SHINGLES = 1_000_000
+TILE_COLUMNS = 4096
 _BLOB = "part int, owner binary, at binary, gram binary, seen binary, times binary"
 
 
@@ -252,9 +256,9 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
         _may_link("x", "y", percent)).select("x", "y")
 
 
-def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) between nodes that connect exactly the components of all links."""
-    limit = 1 - percent / 100
+def _regions(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, regions): all links within small cells and with pivots; (pivot, node, n, m, rank, d, b) of the
+    large cells, d and b being the distance to the pivot and what is shared with it."""
     members = cells(sets, percent)
     small = _distances(_within(members.where(F.col("size") <= SMALL), percent), sets, "small")
     found = _links(small, percent)
@@ -263,6 +267,66 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = found.unionByName(_links(met, percent))
     region = materialise(rows.join(met.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "d", F.col("both").alias("b")), ["node", "pivot"], "left")
                          .withColumns({"d": F.coalesce("d", F.lit(0.0)), "b": F.coalesce("b", "n")}), "region")
+    return found, region
+
+
+def _tile_links(percent: int):
+    """Links within one tile: of its left half with its right half, or of all its nodes (half 2) with each other."""
+    def run(table: pa.Table) -> pa.Table:
+        node, half = np.asarray(table["node"]), np.asarray(table["half"])
+        sets = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        gram, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(gram, kind="stable")
+        gram, at = gram[order], at[order]
+        head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        times = np.diff(np.append(head, len(gram)))
+        at, column = at[np.repeat(times > 1, times)], np.repeat(np.arange(np.count_nonzero(times > 1)), times[times > 1])
+        both = np.zeros((len(sets), len(sets)), np.int64)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_COLUMNS):
+            a, b = np.searchsorted(column, (low, low + TILE_COLUMNS))
+            held = np.zeros((len(sets), TILE_COLUMNS), np.float32)
+            held[at[a:b], column[a:b] - low] = 1
+            both += np.rint(held @ held.T).astype(np.int64)
+        pair = (half[:, None] == 0) & (half[None, :] == 1) | (half[:, None] == 2) & (half[None, :] == 2) & (node[:, None] < node[None, :])
+        x, y = np.nonzero(pair & (both * 100 >= percent * (n[:, None] + n[None, :] - both)))
+        return pa.table({"u": pa.array(np.minimum(node[x], node[y]), pa.int64()), "v": pa.array(np.maximum(node[x], node[y]), pa.int64())})
+    return run
+
+
+def all_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every link (u, v) between different nodes, once, with u < v.
+
+    Small cells list theirs.  In a region, links lie within a band of distances to the pivot or between
+    neighbouring ones; bands are dealt into blocks, and each pair of blocks is a tile of bounded
+    size, so that a large group of near copies is many even groups."""
+    found, region = _regions(sets, percent)
+    rows = region.select("pivot", "node", "n", F.floor(F.col("d") / F.lit(1 - percent / 100 + 1e-9)).cast("int").alias("band"))
+    cut = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    cuts = rows.groupBy("pivot", "band").agg(cut.alias("cuts")).groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("band", "cuts"))).alias("cuts"))
+    rows = rows.join(cuts, "pivot").withColumn("block", F.pmod(F.xxhash64("node", "pivot"), F.element_at("cuts", F.col("band"))).cast("int"))
+
+    def tiles(band, make):
+        count = F.coalesce(F.element_at("cuts", band), F.lit(0))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), make)).otherwise(F.array().cast(
+            "array<struct<low:int,left:int,high:int,right:int,half:int>>"))
+
+    def tile(low, left, high, right, half):
+        return F.struct(low.cast("int").alias("low"), left.cast("int").alias("left"), high.cast("int").alias("high"), right.cast("int").alias("right"), half.cast("int").alias("half"))
+    band, block = F.col("band"), F.col("block")
+    own = tiles(band, lambda o: tile(band, F.least(block, o), band, F.greatest(block, o), F.when(o == block, 2).when(block < o, 0).otherwise(1)))
+    up = tiles(band + 1, lambda o: tile(band, block, band + 1, o, F.lit(0)))
+    down = tiles(band - 1, lambda o: tile(band - 1, o, band, block, F.lit(1)))
+    dealt = rows.select("pivot", "node", F.explode(F.concat(own, up, down)).alias("t")).select("pivot", "node", "t.*")
+    near = dealt.join(sets.select("node", "grams"), "node").groupBy("pivot", "low", "left", "high", "right").applyInArrow(
+        _tile_links(percent), "u long, v long")
+    return materialise(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(near).distinct(), "all-links")
+
+
+def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between nodes that connect exactly the components of all links."""
+    limit = 1 - percent / 100
+    found, region = _regions(sets, percent)
     left = region.count()
     for depth in range(DEPTH + 1):
         if not left:
@@ -306,19 +370,37 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, copies, links): one row for each input row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+                    count_links: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id, copies) and, if asked for, links: one row for each input row.
 
     ``component_id`` is the smallest key reachable by links (null only where no row of the component
-    has a key); ``copies`` is the number of rows with the same set.  Rows with an empty set are their own component."""
+    has a key); ``copies`` is the number of rows with the same set; ``links`` is the number of different
+    sets that the row's set links to.  Rows with an empty set are their own component, without links."""
     rows, nodes = node_table(docs, key, text, words)
     sets = living_sets(docs, rows, nodes, key, text, words, percent)
-    label = components(links_of(sets, percent))
+    found = all_links(sets, percent) if count_links else links_of(sets, percent)
+    label = components(found)
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = []
+    if count_links:
+        ends = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        named = named.join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        more = ["links"]
     lowest = named.where("first IS NOT NULL").groupBy("component").agg(F.min("first").alias("lowest"))
-    named = materialise(named.join(lowest, "component", "left").select("a", "b", "copies", "lowest"), "classes")
+    named = materialise(named.join(lowest, "component", "left").select("a", "b", "copies", "lowest", *more), "classes")
     out = rows.join(named, ["a", "b"])
     empty = F.col("n") == 0
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                       F.when(empty, F.col("key")).otherwise(F.col("lowest")).alias("component_id"),
-                      F.when(empty, F.lit(1)).otherwise(F.col("copies")).alias("copies"))
+                      F.when(empty, F.lit(1)).otherwise(F.col("copies")).alias("copies"), *more)
+
+
+def link_table(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(x, y, x_copies, y_copies): every link between different sets once, each set by the smallest key of
+    its rows (null where none has one) and with the number of its rows, which all have the link."""
+    rows, nodes = node_table(docs, key, text, words)
+    found = all_links(living_sets(docs, rows, nodes, key, text, words, percent), percent)
+    x = nodes.select(F.col("node").alias("u"), F.col("first").alias("x"), F.col("copies").alias("x_copies"))
+    y = nodes.select(F.col("node").alias("v"), F.col("first").alias("y"), F.col("copies").alias("y_copies"))
+    return found.join(x, "u").join(y, "v").select("x", "y", "x_copies", "y_copies")

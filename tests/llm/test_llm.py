@@ -90,6 +90,34 @@ def test_jaccard_join_of_odd_tables(s):
     assert got == [(False, 1, 1), (False, 1, 1), (True, None, 1)]
 
 
+def test_links_equal_brute_force_above_small_groups(s, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = words(rng, 120).split()
+    rows = [(i, words(rng, 40)) for i in range(20)]
+    for i in range(100, 190):  # one group, far more than SMALL, in which not all are linked
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 4))):
+            w[at] = f"z{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(300, rows[25][1].upper()), (301, ""), (302, None)]
+    first, sets = {}, {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets[i] = frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        first.setdefault(sets[i], i)
+    one = [i for g, i in first.items() if g]
+    want = {(a, b) for a in one for b in one if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    count = {i: sum(first[sets[i]] in p for p in want) for i, _ in rows}
+    assert max(count.values()) > jaccard_join.SMALL and len(want) < 80 * 79 // 2
+    monkeypatch.setattr(jaccard_join, "TILE", 16)  # several blocks of a band
+    assert sorted((r.x, r.y) for r in jaccard_join.link_table(docs(s, rows)).collect()) == sorted(want)
+    monkeypatch.undo()
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs(s, rows), count_links=True).collect()}
+    assert {i: r.links for i, r in got.items()} == count
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_classes(rows)
+    assert jaccard_join.link_table(docs(s, [])).count() == 0
+
+
 def test_components_of_a_path_and_a_star(s):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)]
     got = {r.node: r.component for r in components(s.createDataFrame(edges, "u long, v long")).collect()}
