@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dipsift.operators.lineage import materialise
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,3 +63,21 @@ def bounded_sample(rows: DataFrame, key: str, group: str, per_group: int, seed:
     for value, part in sorted(share.items(), key=lambda x: str(x[0])):
         keep = keep | ((F.col(group) == F.lit(value)) & (hash_share(F.col(key), seed) < F.lit(part)))
     return rows.where(keep)
+
+
+def weighted_sample(rows: DataFrame, values: list[str], group: str, per_group: int, seed: int = 17) -> DataFrame:
+    """Distinct ``values`` of a bounded sample of the rows of every group: (group, values, ``weight``).
+
+    A value that c of the n rows of its group have gets the weight c * per_group / n, rounded
+    up or down by a hash of the value so that the expectation holds, and goes at 0; groups of up to
+    ``per_group`` rows keep all their rows.  So a group weighs about ``per_group`` however few or
+    frequent its values are, and no more rows than that are left of it."""
+    counted = materialise(rows.where(F.col(group).isNotNull()).groupBy(group, *values).agg(F.count(F.lit(1)).alias("_n")), "counted")
+    sizes = {r[group]: r["n"] for r in counted.groupBy(group).agg(F.sum("_n").alias("n")).collect()}
+    share = F.lit(0.0)
+    for value, n in sorted(sizes.items(), key=lambda x: str(x[0])):
+        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, per_group / n))).otherwise(share)
+    # A whole share counts all rows, without rounding by the hash.
+    weight = F.when(share == 1, F.col("_n").cast("double")).otherwise(
+        F.floor(F.col("_n") * share + hash_share(F.struct(*values), seed)).cast("double"))
+    return materialise(counted.withColumn("weight", weight).where("weight > 0").drop("_n"), "sample")

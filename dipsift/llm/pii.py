@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipsift.llm.common import hash_share
+from dipsift.llm.common import weighted_sample
 from dipsift.operators.lineage import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -179,7 +179,8 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50, streng
 
 def fit(docs: DataFrame, text: str = "text", per_kind: int = 20_000) -> SpanModel:
     """Learn from the candidates of all rows; the classifier is fitted on at most about
-    ``per_kind`` candidates of each kind (a bounded sample; the bound is this parameter)."""
+    ``per_kind`` candidates of each kind (a bounded sample; the bound is this parameter), alike ones as
+    one row with a weight."""
     found = docs.select(F.explode(candidates(F.col(text))).alias("c")).select("c.*")
     found = materialise(found, "candidates")
     counts = [(tuple(r[x] for x in LABELERS), r["n"]) for r in found.groupBy(*LABELERS).agg(F.count(F.lit(1)).alias("n")).orderBy(*LABELERS).collect()]
@@ -189,15 +190,12 @@ def fit(docs: DataFrame, text: str = "text", per_kind: int = 20_000) -> SpanMode
     label = F.lit(0.0)
     for (pattern, _), p in zip(counts, posterior):
         label = F.when(F.concat_ws(",", *LABELERS) == ",".join(map(str, pattern)), F.lit(p)).otherwise(label)
-    sizes = {r["rank"]: r["n"] for r in found.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = F.lit(False)
-    for rank, n in sorted(sizes.items()):
-        keep = keep | ((F.col("rank") == rank) & (hash_share(F.struct(*found.columns), 3) < F.lit(min(1.0, per_kind / n))))
-    rows = found.where(keep).withColumn("p", label)
+    rows = weighted_sample(found, [c for c in found.columns if c not in ("start", "end", "rank")], "rank", per_kind, 3)
+    rows = rows.withColumnRenamed("weight", "times").withColumn("p", label)
     for k, kind in enumerate(MORE):
         rows = rows.withColumn(f"is_{kind}", (F.col("rank") == k + len(KINDS)).cast("double"))
-    soft = rows.select(*FEATURES, F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
-                                                    F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
+    soft = rows.select(*FEATURES, F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("times")).alias("weight")),
+                                                    F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("times")).alias("weight")))).alias("y"))
     soft = soft.select(*FEATURES, "y.label", "y.weight").where("weight > 1e-6")
     if soft.agg(F.countDistinct("label")).first()[0] < 2:
         only = soft.first()

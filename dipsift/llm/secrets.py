@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipsift.llm.common import bounded_sample
+from dipsift.llm.common import weighted_sample
 from dipsift.llm.pii import _spans
 from dipsift.operators.lineage import materialise
 
@@ -79,14 +79,14 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """(key, start, end, score): the candidates that the forest takes for secrets.
 
     The forest is fitted on about ``per_label`` labelled findings of each kind (a bounded sample;
-    the bound is this parameter); all candidates are scored."""
+    the bound is this parameter), alike ones as one row with a weight; all candidates are scored."""
     found = docs.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.explode(candidates(F.col(text))).alias("c")).select("key", "path", "c.*")
     rows = described(materialise(found, "secret-candidates"))
-    sample = materialise(bounded_sample(rows, "hit", "label", per_label).select("label", *FEATURES).coalesce(4), "secret-sample")
+    sample = weighted_sample(rows, list(FEATURES), "label", per_label).coalesce(4)
     columns = [F.col("key").alias(key), "start", "end"]
     if sample.select("label").distinct().count() < 2:
         return rows.where("label = 1").select(*columns, F.lit(1.0).alias("score"))
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(gather.transform(sample))
+    model = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=7).fit(gather.transform(sample))
     scored = model.transform(gather.transform(rows)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
     return scored.where(F.col("score") >= threshold).select(*columns, "score")

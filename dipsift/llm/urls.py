@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipsift.llm.common import bounded_sample
+from dipsift.llm.common import weighted_sample
 from dipsift.operators.lineage import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,8 +95,9 @@ class UrlModel:
 
 def fit(labelled: DataFrame, url: str = "url", per_verdict: int = 3000, rounds: int = 20, depth: int = 4) -> UrlModel:
     """Learn from rows with ``host``, ``path`` and ``verdict`` (allow or block): about
-    ``per_verdict`` rows of each (a bounded sample; the bound is this parameter)."""
-    rows = materialise(bounded_sample(labelled.select(url, "host", "path", "verdict"), url, "verdict", per_verdict).coalesce(4), "url-sample")
+    ``per_verdict`` rows of each (a bounded sample; the bound is this parameter), equal urls
+    as one row with a weight."""
+    rows = weighted_sample(labelled.select(url, "host", "path", "verdict"), [url, "host", "path"], "verdict", per_verdict).coalesce(4)
     if rows.select("verdict").distinct().count() < 2:
         return UrlModel(None, [])
     total = rows.count()
@@ -105,8 +106,8 @@ def fit(labelled: DataFrame, url: str = "url", per_verdict: int = 3000, rounds:
     suffixes = [(r["s"], r["n"] / total, (r["b"] + 1.0) / (r["n"] + 2.0)) for r in found.orderBy(F.desc("n"), "s").limit(100).collect()]
     inputs = [f"_{x}" for x in FEATURES]
     ready = VectorAssembler(inputCols=inputs, outputCol="_features").transform(lexical(rows, url, suffixes)).select(
-        "_features", (F.col("verdict") == "block").cast("double").alias("_label"))
-    return UrlModel(GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=depth, seed=7).fit(ready.cache()), suffixes)
+        "_features", (F.col("verdict") == "block").cast("double").alias("_label"), "weight")
+    return UrlModel(GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=7).fit(ready.cache()), suffixes)
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", **limits) -> DataFrame:

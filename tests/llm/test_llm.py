@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dipsift.llm import decontaminate, jaccard_join, langid, packing, pii, quality, secrets, token_files, tokens, topk, urls
-from dipsift.llm.common import crc_bucket
+from dipsift.llm.common import crc_bucket, weighted_sample
 from dipsift.llm.graph import components
 from dipsift.llm.shingles import shingle_sets
 from dipsift.llm.ship import ship
@@ -339,6 +339,26 @@ def test_secrets(s):
     assert sorted(r.doc_id for r in secrets.findings(docs(s, rows[:3])).collect()) == [0, 1, 2]
 
 
+def test_samples_survive_hot_values_and_few_distinct_ones(s):
+    rows = [("a", "hot")] * 30_000 + [("a", f"v{k}") for k in range(30_000)] + [("b", f"t{k % 3}") for k in range(20_000)] + [("c", "x"), (None, "y")]
+    frame = s.createDataFrame(rows, "g string, v string")
+    for seed in range(3):
+        got = {}
+        for r in weighted_sample(frame, ["v"], "g", 500, seed).collect():
+            got.setdefault(r.g, {})[r.v] = r.weight
+        assert set(got) == {"a", "b", "c"} and got["c"] == {"x": 1}
+        assert len(got["b"]) == 3 and 498 <= sum(got["b"].values()) <= 503
+        assert 249 <= got["a"]["hot"] <= 251 and 150 < len(got["a"]) < 350 and 400 < sum(got["a"].values()) < 600
+
+
+def test_secrets_of_one_token_copied_everywhere_keep_their_kind(s):
+    one = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [(i, f'token = "{one}"') for i in range(400)] + [(1000 + i, f"the number {10**19 + i} here") for i in range(100)]
+    rows += [(2000 + i, f'value = "{one[i:]}{one[:i]}"') for i in range(30)]  # unsettled, and like the token
+    found = {r.doc_id for r in secrets.findings(docs(s, rows), per_label=20).collect()}
+    assert set(range(400)) | set(range(2000, 2030)) <= found and not any(1000 <= i < 1100 for i in found)
+
+
 RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"),
          urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
 
