@@ -84,6 +84,30 @@ def _features(key: str, label: str):
     return run
 
 
+def _counted(batches):
+    """(bucket, n): in how many texts of a task each bucket occurs; bucket -1 counts the texts with a letter."""
+    seen, texts = np.zeros(1 << BITS, np.int64), 0
+    for whole in batches:
+        for batch in pieces(whole):
+            for text in batch.column(0).to_pylist():
+                if text is None or not HAS_LETTER.search(text):
+                    continue
+                texts += 1
+                seen[np.unique(np.concatenate([np.unique(grams(text[at:at + BLOCK])) for at in range(0, len(text), BLOCK)]))] += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], texts), pa.int64())], names=["bucket", "n"])
+
+
+def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many texts each bucket occurs, and the number of texts with a letter; over all rows."""
+    got = docs.select(text).mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(1 << BITS)
+    for r in got:
+        if r["bucket"] >= 0:
+            seen[r["bucket"]] = r["n"]
+    return seen, sum(r["n"] for r in got if r["bucket"] < 0)
+
+
 def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int, alpha: float, beta: float,
           l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
     z = np.zeros((1 << BITS, classes))
@@ -114,7 +138,8 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 1500,
         epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> LanguageModel:
     """Learn from about ``per_label`` rows of every label (a bounded sample; the
-    bound is this parameter), a fifth of them kept back for the temperature."""
+    bound is this parameter), a fifth of them kept back for the temperature.  Document
+    frequencies are those of all labelled rows."""
     known = docs.select(F.col(key).cast("string").alias(key), F.col(label).cast("string").alias(label), text).where(
         F.col(text).isNotNull())
     schema = f"`{key}` string, `{label}` string, at binary, share binary"
@@ -125,10 +150,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     number = {x: k for k, x in enumerate(labels)}
     got.sort(key=lambda r: (r[1], r[0] or "", bytes(r[2])))
     read = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32).astype(float), number[r[1]]) for r in got]
-    seen = np.zeros(1 << BITS)
-    for at, _, _ in read:
-        seen[at] += 1
-    idf = np.log((1.0 + len(read)) / (1.0 + seen)) + 1.0
+    seen, texts = frequencies(known.where(F.col(label).isNotNull()), text)
+    idf = np.log((1.0 + texts) / (1.0 + seen)) + 1.0
     rows = [(at, x * idf[at] * 30.0, y) for at, x, y in read]
     back = [r for k, r in enumerate(rows) if k % 5 == 4]
     w, bias = _ftrl([r for k, r in enumerate(rows) if k % 5 != 4] or rows, len(labels), epochs, alpha, beta, l1, l2)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from dipsift.llm.common import weighted_sample
 from dipsift.operators.lineage import materialise
+from dipsift.operators.skew import attach
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "host_digits", "entropy", "hyphens", "params", "has_query",
@@ -67,14 +68,15 @@ def _count(text: Column, what: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, what, ""))).cast("double")
 
 
-def lexical(pages: DataFrame, url: str, suffixes: list[tuple[str, float, float]]) -> DataFrame:
-    """Append the features; ``suffixes`` has (suffix, share of labelled urls, share blocked)."""
+def suffix_of(host: Column) -> Column:
+    return F.element_at(F.split(host, r"\."), -1)
+
+
+def lexical(pages: DataFrame, url: str, suffixes: DataFrame) -> DataFrame:
+    """Append the features; ``suffixes`` has (_suffix, _share of labelled urls, _blocked share), each suffix once."""
+    pages = attach(pages.withColumn("_suffix", suffix_of(F.col("host"))), suffixes, ["_suffix"], [url])
     text, host, path = F.coalesce(F.col(url), F.lit("")), F.col("host"), F.col("path")
     long = F.greatest(F.length(text), F.lit(1))
-    last = F.element_at(F.split(host, r"\."), -1)
-    share, blocked = F.lit(0.0), F.lit(0.5)
-    for name, part, bad in suffixes:
-        share, blocked = F.when(last == name, F.lit(part)).otherwise(share), F.when(last == name, F.lit(bad)).otherwise(blocked)
     made = {
         "length": F.length(text), "host_length": F.length(host), "path_length": F.length(path), "labels": F.size(F.split(host, r"\.")),
         "depth": _count(path, "/"), "digit_ratio": _count(text, "[0-9]") / long, "host_digits": _count(host, "[0-9]"), "entropy": _entropy(text),
@@ -82,7 +84,7 @@ def lexical(pages: DataFrame, url: str, suffixes: list[tuple[str, float, float]]
         "has_fragment": F.contains(text, F.lit("#")), "secure": F.startswith(text, F.lit("https")),
         "longest_label": F.array_max(F.transform(F.split(host, r"\."), lambda x: F.length(x))), "ends_in_slash": F.endswith(path, F.lit("/")),
         "has_extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "vowel_ratio": _count(host, "[aeiouy]") / F.greatest(F.length(host), F.lit(1)),
-        "suffix_share": share, "suffix_blocked": blocked,
+        "suffix_share": F.coalesce("_share", F.lit(0.0)), "suffix_blocked": F.coalesce("_blocked", F.lit(0.5)),
     }
     return pages.withColumns({f"_{k}": v.cast("double") for k, v in made.items()})
 
@@ -90,20 +92,20 @@ def lexical(pages: DataFrame, url: str, suffixes: list[tuple[str, float, float]]
 @dataclass
 class UrlModel:
     trees: GBTClassificationModel | None
-    suffixes: list[tuple[str, float, float]]
+    suffixes: DataFrame | None  # over all labelled urls
 
 
 def fit(labelled: DataFrame, url: str = "url", per_verdict: int = 3000, rounds: int = 20, depth: int = 4) -> UrlModel:
     """Learn from rows with ``host``, ``path`` and ``verdict`` (allow or block): about
     ``per_verdict`` rows of each (a bounded sample; the bound is this parameter), equal urls
-    as one row with a weight."""
+    as one row with a weight.  Suffixes are counted over all rows."""
     rows = weighted_sample(labelled.select(url, "host", "path", "verdict"), [url, "host", "path"], "verdict", per_verdict).coalesce(4)
     if rows.select("verdict").distinct().count() < 2:
-        return UrlModel(None, [])
-    total = rows.count()
-    last = F.element_at(F.split(F.col("host"), r"\."), -1)
-    found = rows.groupBy(last.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "block").cast("double")).alias("b"))
-    suffixes = [(r["s"], r["n"] / total, (r["b"] + 1.0) / (r["n"] + 2.0)) for r in found.orderBy(F.desc("n"), "s").limit(100).collect()]
+        return UrlModel(None, None)
+    found = materialise(labelled.groupBy(suffix_of(F.col("host")).alias("_suffix")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "block").cast("double")).alias("b")), "suffix-counts")
+    total = found.agg(F.sum("n")).first()[0]
+    suffixes = materialise(found.select("_suffix", (F.col("n") / total).alias("_share"), ((F.col("b") + 1.0) / (F.col("n") + 2.0)).alias("_blocked")), "suffixes")
     inputs = [f"_{x}" for x in FEATURES]
     ready = VectorAssembler(inputCols=inputs, outputCol="_features").transform(lexical(rows, url, suffixes)).select(
         "_features", (F.col("verdict") == "block").cast("double").alias("_label"), "weight")
