@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark text is cut into overlapping windows.  A window of m characters
+A benchmark text is cut into overlapping windows of two lengths.  Any stretch of 80 folded characters
+of it is found that a document holds with at most 5 edits, wherever the stretch begins; and any long
+window with at most 9, even if its edits lie close together.  A window of m characters
 that occurs in a document with at most k edits shares at least m + 1 - q(k + 1)
 of its q-grams with the document, all of them on diagonals that differ by at most k.
 So shared q-grams are counted per diagonal band (bands overlap by k), regions that reach the
@@ -27,6 +29,9 @@ from dipsift.llm.common import MIX, pieces, utf8
 Q = 8
 WINDOW = 120
 STEP = 60
+#: Short windows beside the long ones, so that each stretch of SHORT + SHORT_STEP - 1 characters holds a whole one wherever it begins.
+SHORT = 72
+SHORT_STEP = 9
 EDIT_RATE = 0.08
 BLOCK_CHARS = 500_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -115,17 +120,21 @@ def windows_of(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, s
         folded = folded[:len(folded) - (1 if len(folded) and folded[-1] == 32 else 0)]
         if len(folded) < q:
             continue
-        last = max(0, len(folded) - window)
-        for at in sorted({*range(0, last, step), last}):
+        spots = set()
+        for size, every in ((window, step), (min(SHORT, window), min(SHORT_STEP, step))):
+            last = max(0, len(folded) - size)
+            spots |= {(at, min(at + size, len(folded))) for at in (*range(0, last, every), last)}
+        for at, to in sorted(spots):
             item.append(number)
-            texts.append(folded[at:at + window])
+            texts.append(folded[at:to])
     sizes = np.array([len(t) for t in texts], np.int64)
     edits = np.minimum((sizes * rate).astype(np.int64), np.maximum(0, (sizes - q) // q)) if len(sizes) else sizes
     grams = [gram_numbers(t, q) for t in texts]
     gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     order = np.argsort(gram, kind="stable")
-    seen = np.zeros(1 << max(16, (len(gram) * 12).bit_length()), bool)
-    seen[slots(gram, len(seen))] = True
+    once = np.unique(gram)
+    seen = np.zeros(1 << max(16, (len(once) * 24).bit_length()), bool)
+    seen[slots(once, len(seen))] = True
     need = sizes + 1 - q * (edits + 1)
     alike = {int(x) // 8 for x in sizes}
     bounds = [(int(need[sizes // 8 == x].min()), int((sizes + edits)[sizes // 8 == x].max()) - q + 1) for x in sorted(alike)]

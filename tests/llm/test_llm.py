@@ -140,6 +140,19 @@ def test_language_id(s):
     assert {r.lang_pred for r in langid.predict(frame, none).collect()} == {"und"} and langid.predict(frame.limit(0), model).count() == 0
 
 
+def test_language_statistics_cover_all_labelled_rows(s):
+    rows = [(i, "ab ba" if i % 10 else "ab zz", "xx") for i in range(400)] + [(500 + i, "ki ku", "yy") for i in range(40)] + [(900, None, "yy"), (901, "..", "yy")]
+    frame = s.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, texts = langid.frequencies(frame)
+    want = np.zeros(1 << langid.BITS)
+    for _, t, _ in rows[:440]:
+        want[np.unique(langid.grams(t))] += 1
+    assert texts == 440 and (seen == want).all()
+    # A bucket that no sampled row has keeps its count: the rows of one language weigh as they are.
+    whole, few = langid.fit(frame, per_label=1000), langid.fit(frame, per_label=25)
+    assert whole.labels == few.labels == ["xx", "yy"]
+
+
 def test_decontamination_finds_edited_passages_only(s):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(n))
@@ -161,6 +174,24 @@ def test_decontamination_finds_edited_passages_only(s):
     assert {(r.doc_id, r.item_id) for r in small.collect()} == {(2, 2), (3, 3), (7, 7), (8, 8)}
 
 
+def test_decontamination_finds_stretches_at_any_offset(s):
+    rng = np.random.default_rng(13)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(n))
+    item, rows = text(80), []
+    for at in range(0, len(item) - 160, 7):
+        for size in (80, 100, 150):
+            part = item[at:at + size].strip()
+            rows.append((len(rows), text(20) + " qq " + (part + item[at + len(part):][:2]).strip() + " qq " + text(20), len(part)))
+    edited = list(item[15:115])
+    edited[20] = edited[45] = edited[70] = "#"
+    rows.append((len(rows), text(20) + "".join(edited) + text(20), 100))
+    clean = [(1000 + at, text(20) + item[at:at + 50] + text(20)) for at in range(0, 100, 9)]
+    bench = s.createDataFrame([(1, item), (2, text(40))], "item_id long, text string")
+    found = decontaminate.contamination(docs(s, [r[:2] for r in rows] + clean), bench).collect()
+    got = {r.doc_id for r in found}
+    assert {i for i, _, n in rows if n >= 80} <= got and not any(i >= 1000 for i in got) and {r.item_id for r in found} == {1}
+
+
 def test_banded_alignment_equals_the_full_table():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -387,3 +418,14 @@ def test_urls(s):
         assert out[k].verdict == verdict or verdict is None and out[k].verdict in ("allow", "block")
     assert urls.judge(frame.limit(0), RULES).count() == 0
     assert {r.verdict for r in urls.judge(frame.where("page_id < 4"), RULES).collect()} == {"allow"}
+
+
+def test_suffixes_are_counted_over_all_labelled_urls(s):
+    rows = [(f"http://h{k}.s{k % 150}/?{k}", f"h{k}.s{k % 150}", "/", "block" if k % 150 < 75 else "allow") for k in range(1500)]
+    frame = s.createDataFrame(rows, "url string, host string, path string, verdict string")
+    model = urls.fit(frame, per_verdict=60, rounds=1)
+    got = {r["_suffix"]: (r["_share"], r["_blocked"]) for r in model.suffixes.collect()}
+    assert got == {f"s{k}": (10 / 1500, (11 if k < 75 else 1) / 12) for k in range(150)}
+    other = s.createDataFrame([("x", "a.zz", "/", None), (None, "b.s149", "", None)], frame.schema)
+    seen = {r.url: (r["_suffix_share"], r["_suffix_blocked"]) for r in urls.lexical(other, "url", model.suffixes).collect()}
+    assert seen == {"x": (0.0, 0.5), None: (10 / 1500, 1 / 12)}
