@@ -21,9 +21,16 @@ _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]*")
 _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 _LATIN_BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+# The fixed split of byte-level vocabularies.
+_BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _STATE: dict[str, "Encoder"] = {}
 
 
+def byte_pieces(text: str) -> list[str]:
+    """The pieces that byte-level vocabularies encode one by one."""
+    return (_LATIN_BYTES if _PLAIN.fullmatch(text) else _BYTES).findall(text)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,9 +46,7 @@ class Encoder:
             split = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
             self.pattern, self.latin = regex.compile(split["pattern"]["Regex"]), _LATIN_WORDS
         else:
-            # The fixed split of byte-level vocabularies.
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-            self.latin = _LATIN_BYTES
+            self.pattern, self.latin = _BYTES, _LATIN_BYTES
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
