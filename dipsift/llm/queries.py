@@ -144,3 +144,52 @@ def op9(spark, sf_dir):
              urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    from dipsift.llm import alignment
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP12_SQL = """
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+met AS (SELECT id, run, count(*) AS m FROM runs GROUP BY id, run),
+hashed AS (SELECT run, m, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 | (unicode(c) >> 6) AS BIGINT), CAST(128 | (unicode(c) & 63) AS BIGINT)] END))),
+           lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)]))) AS h FROM met, crc),
+worn AS (SELECT m, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM worn WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+replaced AS (SELECT x.word, y.word AS near FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word),
+shorter AS (SELECT DISTINCT x.word, w.word AS near FROM holes x JOIN words w ON w.word = x.a || x.b),
+near AS (SELECT word, near FROM replaced UNION SELECT word, near FROM shorter UNION SELECT near, word FROM shorter),
+ranked AS (SELECT p.word, p.near, v.n AS near_n, w.n, count(*) OVER (PARTITION BY p.word) AS n_near,
+           row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS k FROM near p JOIN words v ON v.word = p.near JOIN words w ON w.word = p.word),
+best AS (SELECT word, n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM ranked WHERE k = 1),
+path AS (SELECT word, word AS root, 0 AS d FROM words
+         UNION ALL SELECT p.word, b.form, d + 1 FROM path p JOIN best b ON b.word = p.root WHERE b.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, d) AS root FROM path GROUP BY word)
+SELECT w.word, form, root, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n FROM words w LEFT JOIN best USING (word) JOIN ends USING (word)"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark, sf_dir):
+    from dipsift.llm import spelling
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    from dipsift.llm import token_counts
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
