@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipsift.operators.lineage import materialise
@@ -25,6 +26,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, valid
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores in front until no column (in any case) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished steps left: models and closures here; in the JVM
+    their plans, broadcasts and shuffle files, which the context cleaner gives back once they are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short slices of a batch, so that what one step holds stays small."""
     for at in range(0, batch.num_rows, rows):

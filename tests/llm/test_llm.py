@@ -429,3 +429,59 @@ def test_suffixes_are_counted_over_all_labelled_urls(s):
     other = s.createDataFrame([("x", "a.zz", "/", None), (None, "b.s149", "", None)], frame.schema)
     seen = {r.url: (r["_suffix_share"], r["_suffix_blocked"]) for r in urls.lexical(other, "url", model.suffixes).collect()}
     assert seen == {"x": (0.0, 0.5), None: (10 / 1500, 1 / 12)}
+
+
+def test_decontamination_equals_brute_force_over_documents(s):
+    rng = np.random.default_rng(31)
+    text = lambda n: " ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 4)))) for _ in range(n))
+    items = [(k, text(int(n))) for k, n in enumerate(rng.integers(2, 70, 12))] + [(None, text(40)), (3, "la " * 60)]
+    rows = []
+    for k in range(160):
+        name, item = items[int(rng.integers(len(items)))]
+        at, size = int(rng.integers(0, max(1, len(item) - 60))), int(rng.integers(50, 160))
+        part = list(item[at:at + size])
+        for e in rng.integers(0, len(part), int(rng.integers(0, 14))):
+            part[e] = rng.choice(["", "zz", "z"])
+        rows.append((k, f"{text(30)} {''.join(part)} {text(30)}"))
+    rows += [(None, f"{text(20)} {items[12][1]} {text(20)}"), (7, items[4][1]), (500, "la " * 1500), (501, "\xe9" * 50 + items[0][1].upper())]
+
+    def plain(t):
+        folded = decontaminate.normal(np.frombuffer(t.encode(), np.uint8))[0].tobytes()
+        return np.frombuffer(folded.strip(b" "), np.uint8)
+
+    def within(pattern, folded, k):  # least edits of the pattern against any stretch
+        row = np.zeros(len(folded) + 1, np.int64)
+        steps = np.arange(len(folded) + 1)
+        for i, c in enumerate(pattern, 1):
+            best = np.concatenate(([i], np.minimum(row[:-1] + (folded != c), row[1:] + 1)))
+            row = np.minimum.accumulate(best - steps) + steps
+        return row.min() <= k
+    want = set()
+    for name, item in items:
+        folded = plain(item)
+        for i, t in rows:
+            for size, every in ((decontaminate.WINDOW, decontaminate.STEP), (decontaminate.SHORT, decontaminate.SHORT_STEP)):
+                last = max(0, len(folded) - size)
+                for at in {*range(0, last, every), last}:
+                    w = folded[at:at + size]
+                    k = min(int(len(w) * decontaminate.EDIT_RATE), max(0, (len(w) - decontaminate.Q) // decontaminate.Q))
+                    if len(w) >= decontaminate.Q and (i, name) not in want and within(w, plain(t), k):
+                        want.add((i, name))
+    bench = s.createDataFrame(items, "item_id long, text string")
+    frame = docs(s, rows).withColumn("item_id", F.lit("x")).repartition(3)
+    found = decontaminate.contamination(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and (None, None) in want and 30 < len(want) < 160
+    left = decontaminate.clean(frame, bench)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted((i is None, i or 0) for i, t in rows if not any(
+        x == i for x, _ in want) or (i == 7 and t != items[4][1]))
+
+
+def test_decontamination_of_a_repetitive_text_keeps_memory_bounded():
+    import tracemalloc
+    w = decontaminate.windows_of([(1, "la " * 60)])
+    tracemalloc.start()
+    got = decontaminate.batch_hits([b"x y z " * 10, ("la " * 30_000).encode()], w)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [(r[0], r[1]) for r in got] == [(1, 0)] and got[0][2] == 0 and got[0][3] >= 89_990

@@ -54,3 +54,22 @@ def test_run_equals_the_stages_and_takes_empty_tables(s, corpus, tmp_path):  # n
     for name in ("documents", "benchmark"):
         s.read.parquet(f"{top}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(s, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_extra_columns_of_any_name(s, corpus, tmp_path):  # noqa: F811
+    from pyspark.sql import functions as F
+    rows, top = corpus
+    names = ["_id", "_ID2", "spans", "base", "row", "clean", "_language", "_certainty", "component_id", "found", "key"]
+    more = [(5, rows[5][1] + " again", "xx", "s", 1), (None, rows[3][1], "xx", None, None), (None, "mail joe@example.com now or never " * 9, "yy", "s", 1)]
+    extra = s.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    frame = s.read.parquet(f"{top}/documents.parquet").unionByName(extra).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    columns = frame.columns
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(s, frame, top).write.parquet(f"{tmp_path}/x{k}")
+        frame = s.read.parquet(f"{tmp_path}/x{k}")
+        if name != pipeline.STAGES[-1][0]:
+            assert frame.columns == columns
+            for r in frame.collect():
+                assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in names)
+    kept = [r.doc_id for r in frame.collect()]
+    assert kept.count(None) >= 2 and kept.count(5) >= 2  # rows of one id stay or go together, those without stay
