@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipsift.llm import decontaminate, jaccard_join, langid, packing, pii
-from dipsift.llm.common import crc_bucket
+from dipsift.llm.common import crc_bucket, fresh, release
 from dipsift.llm.ship import ship
 from dipsift.operators.lineage import scratch_dir
 
@@ -21,15 +21,26 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None  # language models, alignment and tokenizers have no SQL form
 
 
+def _begin(spark: SparkSession) -> None:
+    """Every stage starts from files alone, so what the one before left in the driver is given back."""
+    ship(spark)
+    release(spark)
+
+
+def _all(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays doubtful."""
-    ship(spark)
+    _begin(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
+    language, certainty = fresh(docs.columns, "_language"), fresh(docs.columns, "_certainty")
     model = langid.fit(docs.where((crc_bucket(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()))
-    scored = langid.predict(docs, model, label_out="_language", score_out="_certainty")
+    scored = langid.predict(docs, model, label_out=language, score_out=certainty)
     # Without any labelled row there is no model to reject by.
-    kept = scored.where((F.col("_language") != langid.UNKNOWN) & (F.col("_certainty") >= LEAST_SCORE)) if model.labels else scored
-    return kept.select(*docs.columns)
+    kept = scored.where((F.col(language) != langid.UNKNOWN) & (F.col(certainty) >= LEAST_SCORE)) if model.labels else scored
+    return kept.select(*_all(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,30 +48,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     An id names a document: rows that repeat one are the same document and stay or go
     together.  Rows without an id stay."""
-    ship(spark)
-    found = jaccard_join.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    lesser = found.where(F.col("_id") != F.col("component_id")).select("_id").distinct()
-    return docs.join(lesser, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    _begin(spark)
+    number = fresh(docs.columns, "_id")
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias(number), "component_id")
+    lesser = found.where(F.col(number) != F.col("component_id")).select(number).distinct()
+    return docs.join(lesser, F.col("doc_id") == F.col(number), "left_anti").select(*_all(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    ship(spark)
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Drops documents that hold a benchmark passage, each row by its own text."""
+    _begin(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in angle brackets."""
-    ship(spark)
-    found = pii.find(docs, pii.fit(docs)).withColumn("_clean", pii.redacted(F.col("text"), F.col("spans")))
-    return found.select(*[F.col("_clean").alias(c) if c == "text" else F.length("_clean").cast("long").alias(c) if c == "n_chars" else F.col(c)
-                          for c in docs.columns])
+    _begin(spark)
+    # The row travels whole, so that no column of it can clash with those of the finder.
+    rows = docs.select(F.struct(*_all(docs)).alias("row"), "text")
+    found = pii.find(rows, pii.fit(rows)).select("row", pii.redacted(F.col("text"), F.col("spans")).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4,096 tokens."""
-    ship(spark)
-    return packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    _begin(spark)
+    return packing.sequences(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
