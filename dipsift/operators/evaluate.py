@@ -18,7 +18,6 @@ from dipsift.operators.rank import cumulative, quantiles, scalar
 
 SCOPES = ("pooled", "stratum")
 POINTS = ("A", "B")
-SCORE_BUCKETS = 8192
 
 
 def _flags(test: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def matched_thresholds(record: DataFrame, arms: dict[str, str]) -> DataFrame:
            .select("arm", "score", F.explode(F.filter(F.array(*[F.when(F.col(s), F.lit(s)) for s in SCOPES]),
                                                       lambda x: x.isNotNull())).alias("scope")))
     taus = quantiles(pos, ["arm", "scope"], "score", {f"tau_{p}": f"q_{p}" for p in POINTS},
-                     SCORE_BUCKETS, (0.0, 1.0), table, ["scope"])
+                     table, ["scope"])
     return taus.groupBy("arm").agg(*[F.max(F.when(F.col("scope") == s, F.col(f"tau_{p}"))).alias(f"tau_{s}_{p}")
                                      for s in SCOPES for p in POINTS])
 
@@ -155,7 +154,7 @@ def recall_at_budget(record: DataFrame, arms: dict[str, str]) -> DataFrame:
     largest score of the real negatives, k the incumbent's count."""
     budget = incumbent_points(record).select("n_files", *[f"fp_{p}" for p in POINTS])
     rows = _by_arm(record, arms)
-    c = cumulative(rows.where("real_neg"), ["arm"], "score", {"n": F.lit(1)}, SCORE_BUCKETS, (0.0, 1.0))
+    c = cumulative(rows.where("real_neg"), ["arm"], "score", {"n": F.lit(1)})
     above = F.col("n_total") - F.col("n_below") - F.col("n")
     c = (c.withColumn("_m", scalar(budget, F.struct("n_files", *[f"fp_{p}" for p in POINTS])))
          .select("*", F.col("_m.n_files").alias("n_files"), *[F.col(f"_m.fp_{p}").alias(f"k_{p}") for p in POINTS]))
@@ -235,7 +234,7 @@ def balance(df: DataFrame, keys: Sequence[str], flag: str, gate: float = k.GATE_
 
 
 def queue_summary(events: DataFrame, tau: float, overlap: str = "overlap") -> DataFrame:
-    q = quantiles(events, [], "score", {"q50": 0.5, "q90": 0.9, "q99": 0.99}, SCORE_BUCKETS, (0.0, 1.0))
+    q = quantiles(events, [], "score", {"q50": 0.5, "q90": 0.9, "q99": 0.99})
     box = scalar(q, F.struct("q50", "q90", "q99"))
     return events.agg(
         F.count(F.lit(1)).alias("n_events"), F.countDistinct("tic").alias("n_systems"),
@@ -279,7 +278,7 @@ def folded_profile(lc: DataFrame, n_bins: int, separation: float, width_at: floa
     """Median flux per phase bin and system, its two deepest well-separated bins
     and their circular widths where the dip exceeds ``width_at`` of its peak."""
     rows = lc.withColumn("_bin", bin_of(F.col("phase"), 0.0, 1.0, n_bins))
-    prof = quantiles(rows, ["tic", "_bin"], "flux", {"m": 0.5}, 1024, (0.9, 1.1))
+    prof = quantiles(rows, ["tic", "_bin"], "flux", {"m": 0.5})
     # At most n_bins values per system from here on.
     per = prof.groupBy("tic").agg(F.median("m").alias("_base"), F.sum("n").alias("n_cadences"),
                                   F.map_from_entries(F.collect_list(F.struct("_bin", "m"))).alias("_m"))

@@ -9,13 +9,12 @@ from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, outside_widened
 from dipsift.operators.lineage import materialise
 from dipsift.operators.ordered import islands
-from dipsift.operators.rank import FINE_BUCKETS, median_mad, quantiles
+from dipsift.operators.rank import median_mad, quantiles
 from dipsift.operators.skew import attach
 
 CURVE = ["tic", "sector"]
 CHUNK = [*CURVE, "chunk"]
 # Normalised flux; places buckets only, values outside still count exactly.
-FLUX_RANGE = (0.9, 1.1)
 
 
 def quadratic_residuals(rows: DataFrame, min_chunk: int) -> DataFrame:
@@ -53,14 +52,14 @@ def noise_screen(lc: DataFrame, host: DataFrame, min_points: int = k.NOISE_MIN_P
             .where(outside_widened(F.col("phase"), (F.col("prim_pos"), F.col("prim_width")),
                                    (F.col("sec_pos"), F.col("sec_width"))))
             .select(*CURVE, "time", "flux"))
-    level = (quantiles(rows, CURVE, "flux", {"_level": 0.5}, FINE_BUCKETS, FLUX_RANGE)
+    level = (quantiles(rows, CURVE, "flux", {"_level": 0.5})
              .where((F.col("n") >= min_points) & (F.col("_level") > 0)).drop("n"))
     kept = materialise(attach(rows, level, CURVE, ["time"], "inner"), "out-of-eclipse")
     chunked = islands(kept, CURVE, "time", k.CHUNK_BREAK_DAYS, "chunk")
     res = (quadratic_residuals(chunked, min_chunk)
            .select(*CURVE, "time", (F.col("residual") / F.col("_level")).alias("res")))
     res = materialise(res, "residuals")
-    per_file = median_mad(res, CURVE, "res", ["time"], half_range=0.1).select(
+    per_file = median_mad(res, CURVE, "res", ["time"]).select(
         *CURVE, (lit(k.MAD_TO_SIGMA) * F.col("mad")).alias("rms"))
     systems = per_file.groupBy("tic").agg(F.count("rms").alias("n_files"), F.median("rms").alias("rms_cadence"))
 

@@ -41,7 +41,7 @@ def single_column(df: DataFrame, probe: int, column: str, train_value: str = "tr
         return spark.range(1).select(*_verdict(probe, column, "val ROC-AUC", F.lit(None).cast("double"), F.lit(None).cast("double"),
                                                F.lit(0).cast("bigint"), gate, reported_only))
     model = single_column_model("x").fit(balanced(rows.where(F.col("split") == train_value)))
-    q = ranking_quality(scored(model, rows.where(F.col("split") == val_value)), [], "score", "label", bounds=(0.0, 1.0))
+    q = ranking_quality(scored(model, rows.where(F.col("split") == val_value)), [], "score", "label")
     return q.select(*_verdict(probe, column, "val ROC-AUC", F.col("roc_auc"), F.col("auc_folded"), F.col("n"), gate, reported_only))
 
 
@@ -65,7 +65,7 @@ def provenance(df: DataFrame, features: list[str], source: str = "label_source",
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
                              GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, seed=0)]) \
         .fit(rows.where("split = 'train'"))
-    q = ranking_quality(scored(model, rows.where("split = 'val'")), [], "score", "label", bounds=(0.0, 1.0))
+    q = ranking_quality(scored(model, rows.where("split = 'val'")), [], "score", "label")
     return q.select(*_verdict(2, "provenance", "val ROC-AUC", F.col("roc_auc"), F.col("auc_folded"), F.col("n"), gate))
 
 

@@ -21,7 +21,7 @@ def _pinned(df: DataFrame) -> DataFrame:
 
 def ranked_queue(scored: DataFrame, tie: Sequence[str]) -> DataFrame:
     """Every event with its rank, in the fifteen pinned columns."""
-    return _pinned(ranked(scored, "arm_b_score", tie, bounds=(0.0, 1.0)))
+    return _pinned(ranked(scored, "arm_b_score", tie))
 
 
 def shortlist(scored: DataFrame, tie: Sequence[str], n: int = 50) -> DataFrame:
@@ -63,8 +63,7 @@ def queue_profile(events: DataFrame, by: Sequence[str], reference_rate: float) -
         few.alias("n_events"), F.countDistinct("tic", "sector").alias("n_files"),
         (F.count_if(n == k.DETREND_WINDOWS) / few).alias("share_ceiling"), (F.count_if(n <= 5) / few).alias("share_few"),
         F.count_if((F.col("det_dependence") == 1) != (n <= k.DETREND_ROBUST_ABOVE)).alias("n_inconsistent"))
-    q = quantiles(events.withColumn("_n", n.cast("double")), list(by), "_n", {"median_n": 0.5, "p25_n": 0.25},
-                  k.DETREND_WINDOWS + 1, (0.0, k.DETREND_WINDOWS + 1.0)).drop("n")
+    q = quantiles(events.withColumn("_n", n.cast("double")), list(by), "_n", {"median_n": 0.5, "p25_n": 0.25}).drop("n")
     rate = F.col("n_events") / F.col("n_files")
     return (counts.join(q, list(by)).withColumn("events_per_file", rate)
             .withColumn("rate_offset", F.abs(rate - lit(reference_rate)) / lit(reference_rate)))

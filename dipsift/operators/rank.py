@@ -1,8 +1,10 @@
 """Exact order statistics over whole tables: cumulative counts, quantiles,
 ranks, ROC-AUC, average precision, two-sample KS.
 
-Equal values are merged first (map-side combine), values are cut into equal
-width buckets, and only bucket totals are scanned across the table, so neither
+Equal values are merged first (map-side combine).  The merged rows are cut into ranges of
+(keys, value) at splitters that Spark samples from the values themselves, so an outlier or a
+dense spot crowds no range; exact counts check that, and a table with an overfull range is
+cut again, finer.  Only range totals are scanned across the table, so neither
 a global sort nor an unpartitioned window over raw rows is needed."""
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
-from dipsift.functions.expr import bin_of, lit
+from dipsift.functions.expr import lit
+from dipsift.operators.lineage import materialise
 from dipsift.operators.skew import attach
 
-BUCKETS = 1024
-TIE_RANGES = 64
-FINE_BUCKETS = 8192
+#: Rows that a range should hold; no range holds more than twice as many.
+RANGE_ROWS = 1_000_000
 
 
 def scalar(df: DataFrame, column: Column) -> Column:
@@ -26,40 +28,43 @@ def scalar(df: DataFrame, column: Column) -> Column:
     return df.select(column).scalar()
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column],
-              buckets: int, bounds: tuple[float, float] | None) -> DataFrame:
-    merged = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value)
-              .agg(*[F.sum(c).alias(m) for m, c in measures.items()]))
-    if bounds is not None:
-        return merged.withColumn("_b", bin_of(F.col(value), bounds[0], bounds[1], buckets))
-    span = df.groupBy(*keys).agg(F.min(value).alias("_vmin"), F.max(value).alias("_vmax"))
-    if keys:
-        merged = attach(merged, span, keys, [value], "inner")
-        lo, hi = F.col("_vmin"), F.col("_vmax")
-    else:
-        box = scalar(span, F.struct("_vmin", "_vmax"))
-        lo, hi = box.getField("_vmin"), box.getField("_vmax")
-    return merged.withColumn("_b", bin_of(F.col(value), lo, hi, buckets)).drop("_vmin", "_vmax")
-
-
-def _prefix(bucketed: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Totals of all lower buckets and of the key; at most ``buckets`` rows a key."""
+def ranges(df: DataFrame, order: Sequence[str | Column], share: int = RANGE_ROWS) -> DataFrame:
+    """``df`` written once, with the number ``_b`` of its range in ``order``.
+
+    Small tables become few ranges (adaptive coalescing joins neighbours); a table with a range of
+    more than twice the ``share`` is dealt again by its row count, finer until none is left.  ``order`` must
+    tell rows apart, or as many equal ones as a range may hold stay together."""
+    placed = materialise(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranges")
+    parts = 0
+    while True:
+        sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).first()
+        if (sizes["most"] or 0) <= 2 * share or parts > sizes["total"]:
+            return placed
+        parts = max(2 * parts, -(-sizes["total"] // share), 2 * sizes["parts"] if parts else 0)
+        placed = materialise(placed.drop("_b").repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), "ranges")
+
+
+def _merged(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
+    """Ranges of the distinct values of each key with their summed measures."""
+    return ranges(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()]), [*keys, value])
+
+
+def _prefix(placed: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Totals of all lower ranges and of the key; a key has one row for each range it reaches into."""
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     below = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return (bucketed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(m) for m in names])
+    return (placed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(m) for m in names])
             .select(*keys, "_b", *[F.col(m).alias(f"{m}_in") for m in names],
                     *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"{m}_lower")
                       for m in names],
                     *[F.sum(m).over(group).alias(f"{m}_total") for m in names]))
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column],
-               buckets: int = BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per distinct value: each measure ``m`` there, ``m_below`` strictly
     below it and ``m_total`` over the key."""
     names = list(measures)
-    b = _bucketed(df, keys, value, measures, buckets, bounds)
+    b = _merged(df, keys, value, measures)
     inner = (Window.partitionBy(*keys, "_b").orderBy(value)
              .rowsBetween(Window.unboundedPreceding, -1))
     return (b.join(_prefix(b, keys, names), [*keys, "_b"])
@@ -69,15 +74,14 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[st
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | str],
-              buckets: int = BUCKETS, bounds: tuple[float, float] | None = None,
               prob_table: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles per key by linear interpolation between order statistics
     ``floor`` and ``ceil`` of ``(n - 1) * q``, plus ``n``.
 
     A probability given as a string is a column of ``prob_table``, a small table
     joined by ``on`` (a subset of ``keys``): data-dependent quantiles stay in the
-    plan.  Only the buckets that hold a wanted position are ordered."""
-    out = order_statistics(df, keys, value, list(probs.values()), buckets, bounds, prob_table, on)
+    plan.  Only the ranges that hold a wanted position are ordered."""
+    out = order_statistics(df, keys, value, list(probs.values()), prob_table, on)
     if prob_table is not None:
         out = out.join(prob_table, list(on))
     return out.select(*keys, "n", *[interpolated(q).alias(name) for name, q in probs.items()])
@@ -96,11 +100,10 @@ def interpolated(q: float | str | Column, cap: Column | None = None) -> Column:
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float | str],
-                     buckets: int = BUCKETS, bounds: tuple[float, float] | None = None,
                      prob_table: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """Per key ``n`` and the map ``_at`` from the positions the quantiles need to
     the values there."""
-    b = _bucketed(df, keys, value, {"_c": F.lit(1).cast("bigint")}, buckets, bounds)
+    b = _merged(df, keys, value, {"_c": F.lit(1).cast("bigint")})
     pre = _prefix(b, keys, ["_c"])
 
     def with_probs(t: DataFrame) -> DataFrame:
@@ -127,50 +130,35 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
         F.map_from_entries(F.collect_list(F.struct("_spot", value))).alias("_at"))
 
 
-def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str],
-               half_range: float | None = None) -> DataFrame:
-    """Per key: ``n``, ``med`` and ``mad`` (median absolute deviation).
-    ``half_range`` is the expected magnitude of the values: it only places the
-    buckets (values beyond it share the end buckets), and saves a pass."""
-    box = None if half_range is None else (-half_range, half_range)
-    med = quantiles(df, keys, value, {"med": 0.5}, FINE_BUCKETS, box)
+def median_mad(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str]) -> DataFrame:
+    """Per key: ``n``, ``med`` and ``mad`` (median absolute deviation)."""
+    med = quantiles(df, keys, value, {"med": 0.5})
     dev = (attach(df.where(F.col(value).isNotNull()), med, keys, spread, "inner")
            .withColumn("_dev", F.abs(F.col(value) - F.col("med"))))
-    box = None if half_range is None else (0.0, half_range)
-    mad = quantiles(dev, keys, "_dev", {"mad": 0.5}, FINE_BUCKETS, box).drop("n")
+    mad = quantiles(dev, keys, "_dev", {"mad": 0.5}).drop("n")
     return med.join(mad, list(keys))
 
 
-def ranked(df: DataFrame, value: str, tie: Sequence[str], name: str = "rank",
-           buckets: int = BUCKETS, bounds: tuple[float, float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def ranked(df: DataFrame, value: str, tie: Sequence[str], name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Position 1..n in (value descending, tie ascending) order, per key if any, without
-    a single task sort.  Distinct values are placed by :func:`cumulative`; the rows of one
-    (possibly heavily tied) value are cut into ranges of the leading tie column,
-    which must be numeric, and numbered inside a range."""
-    c = cumulative(df, keys, value, {"_c": F.lit(1).cast("bigint")}, buckets, bounds)
-    above = c.select(*keys, value, (F.col("_c_total") - F.col("_c_below") - F.col("_c")).alias("_above"))
-    box = scalar(df, F.struct(F.min(tie[0]).alias("lo"), F.max(tie[0]).alias("hi")))
-    cut = df.withColumn("_t", bin_of(F.col(tie[0]), box.getField("lo"), box.getField("hi"), TIE_RANGES))
-    inner = Window.partitionBy(*keys, value, "_t").orderBy(*tie)
-    lower = (Window.partitionBy(*keys, value).orderBy("_t")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (cut.groupBy(*keys, value, "_t").agg(F.count(F.lit(1)).alias("_n"))
-               .join(above, [*keys, value])
-               .select(*keys, value, "_t", (F.col("_above") + F.coalesce(F.sum("_n").over(lower), F.lit(0)))
-                       .alias("_offset")))
-    return (cut.withColumn("_i", F.row_number().over(inner))
-            .join(offsets, [*keys, value, "_t"])
-            .withColumn(name, F.col("_offset") + F.col("_i"))
-            .drop("_t", "_i", "_offset"))
-
-
-def ranking_quality(df: DataFrame, keys: Sequence[str], score: str, label: str,
-                    bounds: tuple[float, float] | None = None) -> DataFrame:
+    a single task sort: rows are numbered within ranges of that order, ties included, and
+    range totals are added up.  Rows without a value have no position and are left out."""
+    order = [F.desc(value), *tie]
+    placed = ranges(df.where(F.col(value).isNotNull()), [*keys, *order])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    below = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return (placed.withColumn("_i", F.row_number().over(inner)).join(offsets, [*keys, "_b"])
+            .withColumn(name, F.col("_offset") + F.col("_i")).drop("_b", "_i", "_offset"))
+
+
+def ranking_quality(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """ROC-AUC (ties half), its folded form, step average precision with ties
     grouped, the prior and the lift over it; one row per key."""
     c = cumulative(df.where(F.col(label).isNotNull()), keys, score,
-                   {"pos": F.col(label).cast("bigint"), "all": F.lit(1).cast("bigint")},
-                   bounds=bounds)
+                   {"pos": F.col(label).cast("bigint"), "all": F.lit(1).cast("bigint")})
     neg, neg_below = F.col("all") - F.col("pos"), F.col("all_below") - F.col("pos_below")
     hits = F.col("pos_total") - F.col("pos_below")
     kept = F.col("all_total") - F.col("all_below")

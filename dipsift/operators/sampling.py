@@ -20,7 +20,7 @@ def keep_lowest(df: DataFrame, keys: Sequence[str], u: str, quota: DataFrame, sp
     """Adds ``name`` = 1 on the ``quota.k`` rows of each key with the lowest ``u``
     (all rows where the key has no quota).  The cut value comes from cumulative
     counts, so no key is sorted in one task."""
-    c = cumulative(df, keys, u, {"_c": F.lit(1)}, bounds=(0.0, 1.0))
+    c = cumulative(df, keys, u, {"_c": F.lit(1)})
     cut = (c.join(quota, list(keys)).groupBy(*keys)
            .agg(F.max(F.when(F.col("_c_below") < F.col("k"), F.col(u))).alias("_cut"), F.lit(1).alias("_has")))
     return (attach(df, cut, keys, spread)

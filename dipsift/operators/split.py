@@ -11,7 +11,6 @@ from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, uniform
 from dipsift.operators.lineage import materialise
 from dipsift.operators.rank import quantiles, ranked, scalar
-from dipsift.operators.sampling import radical_inverse
 
 
 def system_table(events: DataFrame, host: DataFrame) -> DataFrame:
@@ -25,10 +24,12 @@ def system_table(events: DataFrame, host: DataFrame) -> DataFrame:
     tier = F.when(F.col("n_cycles") < lo, "lt3").when(F.col("n_cycles") < hi, "3to9").otherwise("10plus")
 
     def tercile(c: str) -> Column:
-        cut = scalar(quantiles(t, [], c, {"a": 1 / 3, "b": 2 / 3}), F.struct("n", "a", "b"))
+        # Two numbers reach the driver, so that no subquery sits in an expression used many times.
+        cut = quantiles(t, [], c, {"a": 1 / 3, "b": 2 / 3}).first()
+        if cut is None or cut["n"] < 3:
+            return F.lit("unknown")
         x = F.col(c)
-        return F.when(x.isNull() | (cut.getField("n") < 3), "unknown").when(x <= cut.getField("a"), "lo") \
-            .when(x <= cut.getField("b"), "mid").otherwise("hi")
+        return F.when(x.isNull(), "unknown").when(x <= lit(cut["a"]), "lo").when(x <= lit(cut["b"]), "mid").otherwise("hi")
 
     return t.withColumns({"coverage": tier, "period_tercile": tercile("period"), "tmag_tercile": tercile("tmag")}) \
         .withColumn("stratum", F.concat_ws("|", "coverage", "period_tercile", "tmag_tercile"))
@@ -43,7 +44,9 @@ def stratified_split(systems: DataFrame, pinned_to_test: Sequence[int] = ()) ->
     systems.  Pinned systems are test and carry no mass."""
     pinned = F.col("tic").isin([int(t) for t in pinned_to_test]) if pinned_to_test else F.lit(False)
     placed = ranked(systems.where(~pinned).select("tic", "stratum", "n_events"), "n_events", ["tic"], "_p", keys=["stratum"])
-    at = radical_inverse(F.col("_p") - 1, 2)
+    placed = materialise(placed.select("tic", "stratum", "_p"), "placed")
+    # The mirrored binary digits of the position, as a fraction.
+    at = F.conv(F.reverse(F.lpad(F.bin(F.col("_p") - 1), 53, "0")), 2, 10).cast("double") / lit(2.0 ** 53)
 
     def cut(shares: Sequence[float]) -> Column:
         return F.when(at < lit(shares[0]), k.SPLITS[0]).when(at < lit(shares[0] + shares[1]), k.SPLITS[1]).otherwise(k.SPLITS[2])
@@ -63,7 +66,7 @@ def group_split(systems: DataFrame, fraction: float, seed: str, key: str = "tic"
 def cut_at(df: DataFrame, u: str, fraction: float) -> Column:
     """Largest value among the first ``ceil(fraction * n)`` of ``u``."""
     from dipsift.operators.rank import cumulative
-    c = cumulative(df, [], u, {"c": F.lit(1)}, bounds=(0.0, 1.0))
+    c = cumulative(df, [], u, {"c": F.lit(1)})
     k_rows = F.ceil(lit(fraction) * F.col("c_total"))
     return scalar(c, F.max(F.when(F.col("c_below") < k_rows, F.col(u))))
 

@@ -344,7 +344,7 @@ SELECT *, greatest(roc_auc, 1e0 - roc_auc) AS auc_folded, n_pos / n::DOUBLE AS p
 def a26(v):
     val = v.record.where("split = 'val'").select("label", F.explode(F.array(*[
         F.struct(F.lit(a).alias("arm"), F.col(c).alias("s")) for a, c in ARMS.items()])).alias("_a"))
-    return rank.ranking_quality(val.select("_a.*", "label"), ["arm"], "s", "label", bounds=(0.0, 1.0))
+    return rank.ranking_quality(val.select("_a.*", "label"), ["arm"], "s", "label")
 
 
 N_SQL = "(sqrt(-2e0 * ln(1e0 - {r})) * cos(6.283185307179586e0 * {a}))"

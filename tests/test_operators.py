@@ -76,7 +76,7 @@ def test_locate_equals_brute_force_on_hot_key(spark):
 def test_quantiles_exact_on_hot_key_with_outliers(spark):
     rows = [(kk, t if i % 50 else 1e6, i) for kk, t, i in hot_rows(900, 3)]
     got = {r["k"]: r for r in rank.quantiles(spark.createDataFrame(rows, "k bigint, t double, i bigint"), ["k"], "t",
-                                             {"m": 0.5, "q": 0.9}, buckets=16).collect()}
+                                             {"m": 0.5, "q": 0.9}).collect()}
     for key in got:
         v = sorted(t for kk, t, _ in rows if kk == key)
         h = (len(v) - 1) * 0.9
@@ -284,3 +284,14 @@ def test_map_digest_ignores_order_only(spark):
     one, two = (split.map_digest(spark.createDataFrame(r, "tic bigint, split string")).first()[0] for r in (rows, rows[::-1]))
     other = split.map_digest(spark.createDataFrame([*rows[:-1], (49, "val")], "tic bigint, split string")).first()[0]
     assert one == two != other
+
+
+def test_ranges_hold_their_share_whatever_the_values(spark):
+    v = F.when(F.col("id") == 7, lit(1e9)).when(F.col("id") % 2 == 0, F.rand(1) * 1e-9).otherwise(F.randn(2))
+    df = spark.range(100_000).select("id", v.alias("v"))
+    rows = rank.ranges(df, ["v", "id"], share=2_000).groupBy("_b").agg(
+        F.count(lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_b").collect()
+    assert sum(r["n"] for r in rows) == 100_000 and max(r["n"] for r in rows) <= 4_000
+    assert all(a["hi"] <= b["lo"] for a, b in zip(rows, rows[1:]))
+    one = rank.ranked(df, "v", ["id"]).where("rank <= 2").orderBy("rank").collect()
+    assert one[0]["id"] == 7 and one[1]["v"] < 10
