@@ -20,7 +20,7 @@ SCOPES = ("pooled", "stratum")
 POINTS = ("A", "B")
 
 
-def _flags(test: DataFrame) -> DataFrame:
+def flagged(test: DataFrame) -> DataFrame:
     """Row flags of the test split: positive, in stratum, real negative, admitted."""
     points = {f"op_{p}": operating_point(p, duration="t_dur") for p in POINTS}
     return test.withColumns({
@@ -36,7 +36,7 @@ def test_rows(record: DataFrame) -> DataFrame:
 def incumbent_points(record: DataFrame) -> DataFrame:
     """One row: recall of both points in both scopes, real false positives, files.
     A file is a distinct (tic, sector)."""
-    f = _flags(test_rows(record))
+    f = flagged(test_rows(record))
     file = F.struct("tic", "sector")
     aggs = [F.countDistinct(file).alias("n_files"),
             F.countDistinct(F.when(F.col("real_neg"), file)).alias("n_real_files")]
@@ -57,57 +57,70 @@ def operating_point_table(record: DataFrame) -> DataFrame:
     return one.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def _by_arm(record: DataFrame, arms: dict[str, str]) -> DataFrame:
-    """Flags of the test rows, one copy per arm with that arm's score."""
+FLAGS = [*SCOPES, "real_neg", *[f"op_{p}" for p in POINTS]]
+
+
+def arm_rows(record: DataFrame, arms: dict[str, str]) -> DataFrame:
+    """The narrow table of an evaluation, written once: one row for each arm and test row with the
+    arm's score (a column of the record), the file and the flags.  All that follows reads only this."""
     pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).alias("score")) for a, c in arms.items()])
     keep = ["tic", "sector", "depth", "label", "label_source", "t_dur", "snr", "n_detrend_detections",
-            "skye_flag", "best_fit", *arms.values()]
-    return (_flags(test_rows(record).select(*keep)).select(
-        F.explode(pairs).alias("_a"), "tic", "sector", *SCOPES, "real_neg", *[f"op_{p}" for p in POINTS])
-        .select("_a.*", "tic", "sector", *SCOPES, "real_neg", *[f"op_{p}" for p in POINTS]))
+            "skye_flag", "best_fit", *dict.fromkeys(arms.values())]
+    rows = flagged(test_rows(record).select(*keep)).select(F.explode(pairs).alias("_a"), "tic", "sector", *FLAGS)
+    return materialise(rows.select("_a.*", "tic", "sector", *FLAGS), "arm-rows")
 
 
-def matched_thresholds(record: DataFrame, arms: dict[str, str]) -> DataFrame:
-    """One row per arm: the score thresholds ``tau_<scope>_<point>`` at which the
-    arm keeps the same share of positives as the incumbent's points."""
-    one = incumbent_points(record)
-    table = one.select(F.explode(F.array(*[
+def _arm_points(rows: DataFrame) -> DataFrame:
+    """One row per arm: what :func:`incumbent_points` has of the test rows (the same for every arm)."""
+    file = F.struct("tic", "sector")
+    aggs = [F.countDistinct(file).alias("n_files"), F.countDistinct(F.when(F.col("real_neg"), file)).alias("n_real_files")]
+    for p in POINTS:
+        aggs += [F.avg(F.when(F.col(s), F.col(f"op_{p}").cast("double"))).alias(f"recall_{s}_{p}") for s in SCOPES]
+        aggs.append(F.count_if(F.col("real_neg") & F.col(f"op_{p}")).alias(f"fp_{p}"))
+    return materialise(rows.groupBy("arm").agg(*aggs), "arm-points")
+
+
+def arm_thresholds(rows: DataFrame) -> DataFrame:
+    """One row per arm: the score thresholds ``tau_<scope>_<point>`` at which the arm keeps the same
+    share of positives as the incumbent's points, beside those shares and counts."""
+    one = _arm_points(rows)
+    table = one.select("arm", F.explode(F.array(*[
         F.struct(F.lit(s).alias("scope"), *[(lit(1) - F.col(f"recall_{s}_{p}")).alias(f"q_{p}") for p in POINTS])
-        for s in SCOPES])).alias("c")).select("c.*")
-    pos = (_by_arm(record, arms)
-           .select("arm", "score", F.explode(F.filter(F.array(*[F.when(F.col(s), F.lit(s)) for s in SCOPES]),
-                                                      lambda x: x.isNotNull())).alias("scope")))
-    taus = quantiles(pos, ["arm", "scope"], "score", {f"tau_{p}": f"q_{p}" for p in POINTS},
-                     table, ["scope"])
-    return taus.groupBy("arm").agg(*[F.max(F.when(F.col("scope") == s, F.col(f"tau_{p}"))).alias(f"tau_{s}_{p}")
+        for s in SCOPES])).alias("c")).select("arm", "c.*")
+    pos = rows.select("arm", "score", F.explode(F.filter(F.array(*[F.when(F.col(s), F.lit(s)) for s in SCOPES]), lambda x: x.isNotNull())).alias("scope"))
+    taus = quantiles(pos, ["arm", "scope"], "score", {f"tau_{p}": f"q_{p}" for p in POINTS}, table, ["arm", "scope"])
+    wide = taus.groupBy("arm").agg(*[F.max(F.when(F.col("scope") == s, F.col(f"tau_{p}"))).alias(f"tau_{s}_{p}")
                                      for s in SCOPES for p in POINTS])
+    return materialise(one.join(wide, "arm", "left"), "arm-thresholds")
 
 
-def _with_thresholds(record: DataFrame, arms: dict[str, str]) -> DataFrame:
-    # One threshold row per arm, so at most len(arms) rows are broadcast.
-    return _by_arm(record, arms).join(F.broadcast(matched_thresholds(record, arms)), "arm")
+def _with_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+    # One threshold row per arm, so at most as many rows as there are arms are broadcast.
+    return rows.join(F.broadcast(thresholds), "arm")
 
 
 def matched_recall(record: DataFrame, arms: dict[str, str]) -> DataFrame:
+    """:func:`matched_of` of score columns of the record."""
+    return matched_of(arm_rows(record, arms))
+
+
+def matched_of(rows: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Per (arm, point, scope): threshold, false positives among real negatives,
     true positives kept, and rates per 1,000 files."""
-    aggs = [F.countDistinct(F.when(F.col("real_neg"), F.struct("tic", "sector"))).alias("n_real_files")]
+    thresholds = arm_thresholds(rows) if thresholds is None else thresholds
+    aggs = []
     for s in SCOPES:
         for p in POINTS:
             kept = F.col("score") >= F.col(f"tau_{s}_{p}")
-            aggs += [F.avg(F.when(F.col(s), F.col(f"op_{p}").cast("double"))).alias(f"r_{s}_{p}"),
-                     F.max(f"tau_{s}_{p}").alias(f"t_{s}_{p}"),
-                     F.count_if(F.col("real_neg") & kept).alias(f"fp_{s}_{p}"),
-                     F.count_if(F.col(s) & kept).alias(f"tp_{s}_{p}"),
-                     F.count_if(F.col("real_neg") & F.col(f"op_{p}")).alias(f"m_{s}_{p}")]
-    one = _with_thresholds(record, arms).groupBy("arm").agg(*aggs)
+            aggs += [F.count_if(F.col("real_neg") & kept).alias(f"f_{s}_{p}"), F.count_if(F.col(s) & kept).alias(f"tp_{s}_{p}")]
+    one = _with_thresholds(rows, thresholds).groupBy("arm").agg(*aggs).join(F.broadcast(thresholds), "arm")
     files = F.greatest(F.col("n_real_files"), F.lit(1))
     cells = F.array(*[F.struct(
-        F.lit(p).alias("point"), F.lit(s).alias("scope"), F.col(f"r_{s}_{p}").alias("base_recall"),
-        F.col(f"t_{s}_{p}").alias("tau"), F.col(f"fp_{s}_{p}").alias("fp"),
-        (lit(1000) * F.col(f"fp_{s}_{p}") / files).alias("fp_per_1000"),
-        (lit(1000) * F.col(f"m_{s}_{p}") / files).alias("base_fp_per_1000"),
-        (F.col(f"fp_{s}_{p}") + F.col(f"tp_{s}_{p}")).alias("queue"))
+        F.lit(p).alias("point"), F.lit(s).alias("scope"), F.col(f"recall_{s}_{p}").alias("base_recall"),
+        F.col(f"tau_{s}_{p}").alias("tau"), F.col(f"f_{s}_{p}").alias("fp"),
+        (lit(1000) * F.col(f"f_{s}_{p}") / files).alias("fp_per_1000"),
+        (lit(1000) * F.col(f"fp_{p}") / files).alias("base_fp_per_1000"),
+        (F.col(f"f_{s}_{p}") + F.col(f"tp_{s}_{p}")).alias("queue"))
         for p in POINTS for s in SCOPES])
     return one.select("arm", F.explode(cells).alias("c")).select("arm", "c.*")
 
@@ -121,12 +134,19 @@ def ablation_contrast(matched: DataFrame, full: str, reduced: str) -> DataFrame:
 
 def cluster_bootstrap(record: DataFrame, arms: dict[str, str], n_resamples: int = 2000,
                       seed: str = "boot") -> DataFrame:
+    """:func:`bootstrap_of` of score columns of the record."""
+    return bootstrap_of(arm_rows(record, arms), n_resamples, seed)
+
+
+def bootstrap_of(rows: DataFrame, n_resamples: int = 2000, seed: str = "boot", thresholds: DataFrame | None = None) -> DataFrame:
     """2.5 / 97.5 percentiles of the false positive rate per 1,000 files over
     resamples of whole systems (fixed file denominator).
 
     Work is resamples x systems rows, each a hash-drawn index joined back to the
     per-system counts; counts of all cells travel together."""
-    neg = _with_thresholds(record, arms).where("real_neg")
+    thresholds = arm_thresholds(rows) if thresholds is None else thresholds
+    arms = sorted(r["arm"] for r in thresholds.select("arm").collect())  # a few names
+    neg = _with_thresholds(rows.where("real_neg"), thresholds)
     cells = {(a, s, p): F.count_if((F.col("arm") == a) & (F.col("score") >= F.col(f"tau_{s}_{p}")))
              for a in arms for s in SCOPES for p in POINTS}
     names = {c: f"c{i}" for i, c in enumerate(cells)}
@@ -150,14 +170,16 @@ def cluster_bootstrap(record: DataFrame, arms: dict[str, str], n_resamples: int
 
 
 def recall_at_budget(record: DataFrame, arms: dict[str, str]) -> DataFrame:
+    """:func:`budget_of` of score columns of the record."""
+    return budget_of(arm_rows(record, arms))
+
+
+def budget_of(rows: DataFrame) -> DataFrame:
     """Recall at the incumbent's false positive budget: the threshold is the k-th
     largest score of the real negatives, k the incumbent's count."""
-    budget = incumbent_points(record).select("n_files", *[f"fp_{p}" for p in POINTS])
-    rows = _by_arm(record, arms)
-    c = cumulative(rows.where("real_neg"), ["arm"], "score", {"n": F.lit(1)})
+    budget = _arm_points(rows).select("arm", "n_files", *[F.col(f"fp_{p}").alias(f"k_{p}") for p in POINTS])
+    c = cumulative(rows.where("real_neg"), ["arm"], "score", {"n": F.lit(1)}).join(F.broadcast(budget), "arm")
     above = F.col("n_total") - F.col("n_below") - F.col("n")
-    c = (c.withColumn("_m", scalar(budget, F.struct("n_files", *[f"fp_{p}" for p in POINTS])))
-         .select("*", F.col("_m.n_files").alias("n_files"), *[F.col(f"_m.fp_{p}").alias(f"k_{p}") for p in POINTS]))
     taus = c.groupBy("arm").agg(F.max("n_files").alias("n_files"), *[F.max(f"k_{p}").alias(f"k_{p}") for p in POINTS], *[
         F.max(F.when((above < F.col(f"k_{p}")) & (above + F.col("n") >= F.col(f"k_{p}")), F.col("score"))).alias(f"tau_{p}")
         for p in POINTS])

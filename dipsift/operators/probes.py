@@ -54,22 +54,27 @@ def _verdict(probe: int, name: str, metric: str, value, folded, n, gate, reporte
             passed.alias("verdict")]
 
 
-def provenance(df: DataFrame, features: list[str], source: str = "label_source", rounds: int = 100,
-               gate: float = k.GATE_AUC) -> DataFrame:
+def provenance(df: DataFrame, features: list[str], source: str = "label_source", rounds: int = 300,
+               group: str | None = None, gate: float = k.GATE_AUC) -> DataFrame:
     """Probe 2: positives only, which generator made them?  ``df``: features,
-    label, ``source`` (1 or 2 on positives), split."""
+    label, ``source`` (1 or 2 on positives), split.  With ``group``, a tenth of its values in train is
+    kept from boosting and ends its rounds once it gains no more; ``rounds`` stays the limit."""
+    stop = uniform("probe2", F.col(group)) < lit(0.1) if group else F.lit(False)
     pos = df.where(F.col("label") == 1).select(
         *[F.coalesce(null_if_nan(F.col(c).cast("double")), lit(0)).alias(c) for c in features],
-        (F.col(source) == 2).cast("int").alias("label"), "split")
+        (F.col(source) == 2).cast("int").alias("label"), "split", stop.alias("_stop"))
     rows = materialise(pos, "probe-2")
+    boosted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, seed=0, cacheNodeIds=True)
+    if rows.where("split = 'train'").select("_stop").distinct().count() == 2:
+        boosted = boosted.setValidationIndicatorCol("_stop")
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
-                             GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, seed=0)]) \
+                             boosted]) \
         .fit(rows.where("split = 'train'"))
     q = ranking_quality(scored(model, rows.where("split = 'val'")), [], "score", "label")
     return q.select(*_verdict(2, "provenance", "val ROC-AUC", F.col("roc_auc"), F.col("auc_folded"), F.col("n"), gate))
 
 
-def host_identity(views: DataFrame, key: str, features: str, row_key: str, top_n: int = 100, max_iter: int = 50) -> DataFrame:
+def host_identity(views: DataFrame, key: str, features: str, row_key: str, top_n: int = 100, max_iter: int = 400) -> DataFrame:
     """Probe 4: can the flattened view alone name its system?  Gate is chance plus
     two standard errors.  ``features`` is a numeric array column."""
     top = top_by_count(views.select(key), key, top_n)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
 from dipsift.functions.expr import eclipse_edge_distance, finite, lit, uniform
-from dipsift.operators import hosts, incumbent, probes, record, sampling
+from dipsift.operators import headtohead, hosts, incumbent, probes, record, sampling
 from dipsift.operators.lineage import materialise
 from dipsift.plans.fixtures import CLASS_LIST, pick, u_sql
 from dipsift.plans.q_clean import EDGE_DISTANCE, eclipses
@@ -70,6 +70,16 @@ for _name in ("b0", "b", "b_nopair"):
     arm(_name)
 
 
+# --- arms fitted and compared on the record -----------------------------------------
+
+@query("a21_fitted_head_to_head")
+def fitted_arms(v):
+    """False positives at matched recall, intervals, recall at budget and contrast to the incumbent block
+    of arms that are fitted, selected and scored here (A21-A24 on M2)."""
+    record_ = materialise(whole_record(v), "whole-record")
+    return headtohead.head_to_head(record_, ["b0", "b_nopair", "b"], "b0")[2]
+
+
 # --- leak probes on the record -------------------------------------------------
 
 SINGLE = [(3, "eclipse_phase_distance", False), (5, "log1p_n_cycles", False), (6, "gap_proximity", False), (7, "depth", True)]
@@ -113,5 +123,5 @@ def m9(v):
     """Probes 1 to 7 and the reported diagnostics."""
     from dipsift.plans.q_sources import FEATURES, flat_views, training
     t = training(v)
-    return probes.report(probes.balance_verdict(probes.inversion_balance(t, "label", "inverted_lc")), probes.provenance(t, FEATURES, rounds=10),
-                         probes.host_identity(flat_views(v), "host", "features", "vec_id", max_iter=20), *probe_parts(v))
+    return probes.report(probes.balance_verdict(probes.inversion_balance(t, "label", "inverted_lc")), probes.provenance(t, FEATURES, group="tic"),
+                         probes.host_identity(flat_views(v), "host", "features", "vec_id"), *probe_parts(v))

@@ -159,7 +159,8 @@ def m1(v):
     return models.medians(training(v).where("split = 'train'"), FEATURES)
 
 
-SIZES = {"trees": 20, "rounds": 10, "depth": 4}
+#: Rows kept from boosting end its rounds, at most the default 500; all sizes are the defaults.
+SIZES = {"group": "tic"}
 
 
 def grid(v, which=("logreg", "rf", "boosted")):
@@ -182,7 +183,7 @@ def m3(v):
     df = incumbent.event_scalars(df).select("tic", "label", *k.EIGHT_FEATURES)
     held = split.group_split(df.select("tic"), 0.2, "m3")
     df = materialise(df.join(held, "tic"), "eight-features")
-    return models.fit_grid(df.where("held_out = 0"), df.where("held_out = 1"), k.EIGHT_FEATURES, ("logreg", "rf"), **SIZES)[0]
+    return models.fit_grid(df.where("held_out = 0"), df.where("held_out = 1"), k.EIGHT_FEATURES, ("logreg", "rf"), trees=500)[0]
 
 
 def saved_ranker(v):
@@ -191,7 +192,7 @@ def saved_ranker(v):
     train = t.where("split = 'train'")
     fill = models.fit_medians(train, FEATURES)
     tr = materialise(models.balanced(models.imputed(train, FEATURES, fill)), "train")
-    model = models.candidates(FEATURES, **SIZES)["logreg"].fit(tr)
+    model = models.candidates(FEATURES)["logreg"].fit(tr)
     path = folder(v, "ranker")
     model.write().save(path)
     return model, path, fill
@@ -216,7 +217,7 @@ def m5(v):
 
 @query("m7_provenance_probe")
 def m7(v):
-    return probes.provenance(training(v), FEATURES, rounds=10)
+    return probes.provenance(training(v), FEATURES, group="tic")
 
 
 def flat_views(v):
@@ -225,7 +226,7 @@ def flat_views(v):
 
 @query("m8_host_identity_probe")
 def m8(v):
-    return probes.host_identity(flat_views(v), "host", "features", "vec_id", max_iter=20)
+    return probes.host_identity(flat_views(v), "host", "features", "vec_id")
 
 
 @query("m10_sealed_scoring")
