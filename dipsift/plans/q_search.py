@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dipsift.functions import expr
 from dipsift.functions.expr import lit
-from dipsift.operators import evaluate, gaps, hosts, injection, matching, search
+from dipsift.operators import chain, evaluate, gaps, hosts, injection, matching, search
 from dipsift.plans.fixtures import u_sql
 from dipsift.plans.q_clean import CIRC, EDGE_DISTANCE, EDGES_SQL, eclipses
 from dipsift.plans.q_eval import histogram_rows
@@ -169,3 +169,26 @@ def r13(v):
     labelled = matching.recovery_labels(events, v.tests, ["model_idx"], ["group_id"])
     return matching.recovery_by_test(v.tests, labelled, ["model_idx"]).select(
         "model_idx", "recovered", "recovered_partner", "recovered_pair", "n_events_flagged")
+
+
+def campaign_source(v):
+    """Curves, eligible cadences, searched events and hosts of the campaign chain."""
+    ratio = F.coalesce(F.col("sec_depth") / F.col("prim_depth"), lit(1)).alias("depth_ratio")
+    return chain.Source(v.lc.select("tic", "sector", "time", "flux", "phase", F.col("event_id").alias("cadence_id")),
+                        eligible(v).select("tic", "sector", "time"), v.tce, hosts.orbit_columns(v.host).select("tic", "period", "p_crit", ratio),
+                        searched={"lengths": LENGTHS, "max_step": STEP, "cadence": CADENCE, "tolerance": TOLERANCE})
+
+
+@query("r13_campaign_chain")
+def r13_chain(v):
+    """The whole campaign in two ranges: plan, draws, blocked cadences, placement, injection, search, recovery."""
+    from dipsift.plans.q_sources import folder
+    per = F.col("program").startswith("per_system")
+    tests = v.tests.select("model_idx", "tic", per.alias("per_system"), "inj_depth", "inj_duration", "partner_requested")
+    source = campaign_source(v)
+    ends = tests.agg(F.min("model_idx").alias("a"), F.max("model_idx").alias("z")).first()
+    if ends["a"] is None:
+        return chain.campaign(tests, source, chain.anywhere("chain.epoch"))
+    middle = (ends["a"] + ends["z"] + 1) // 2
+    bounds = [(lo, hi) for lo, hi in ((ends["a"], middle), (middle, ends["z"] + 1)) if lo < hi]
+    return chain.run_ranges(tests, bounds, folder(v, "campaign"), lambda part: chain.campaign(part, source, chain.anywhere("chain.epoch")))
