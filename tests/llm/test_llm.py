@@ -485,3 +485,14 @@ def test_decontamination_of_a_repetitive_text_keeps_memory_bounded():
     assert tracemalloc.get_traced_memory()[1] < 300e6
     tracemalloc.stop()
     assert [(r[0], r[1]) for r in got] == [(1, 0)] and got[0][2] == 0 and got[0][3] >= 89_990
+
+
+def test_secret_candidates_equal_plain_python_at_any_length(s):
+    rng = np.random.default_rng(41)
+    run = lambda n, signs: "".join(rng.choice(list(signs), n))
+    texts = ["x " + run(230, "abcXYZ/_") + "7" + run(20, "ab9"), run(5000, "abc-=") + "1", run(5000, "abc"), run(15, "a1"), "é" + run(16, "a1") + "é" + run(40, "+/0Z"), "", None,
+             " ".join(run(int(rng.integers(1, 40)), "ab1_ =,") for _ in range(300))]
+    frame = s.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = frame.select("doc_id", F.explode(secrets.candidates(F.col("text"))).alias("c")).select("doc_id", "c.start", "c.end", "c.hit").collect()
+    want = [(k, m.start(), m.end(), m.group()) for k, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t or "") if re.search("[0-9]", m.group())]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 4
