@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
@@ -12,7 +12,6 @@ from dipsift.functions.expr import lit, uniform
 from dipsift.operators.clean import inverted
 from dipsift.operators.lineage import materialise
 from dipsift.operators.ordered import running_total
-from dipsift.operators.rank import scalar
 from dipsift.operators.skew import attach, range_join
 
 CURVE = ["tic", "sector"]
@@ -28,9 +27,26 @@ def uniform_epochs(cadences: DataFrame, tests: DataFrame, seed: str, test_key: s
     return want.join(numbered, [*CURVE, "_i"]).select(test_key, *CURVE, F.col("time").alias("inj_time"))
 
 
-def _first_at_or_above(masses: Column, target: Column) -> Column:
-    """Index of the first running total that exceeds ``target``."""
-    return F.size(F.filter(masses, lambda c: c <= target))
+def _mass_intervals(bins: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Share of each bin on the running total of its key: ``_lo`` <= target < ``_hi`` out
+    of ``_all``, with the same bounds as fractions.  Bins without weight have no share.
+    Keys hold at most one row per bin, so the window over a key is bounded by the bins."""
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = (bins.where(F.col(weight) > 0).withColumn("_hi", F.sum(weight).over(order))
+             .withColumn("_all", F.sum(weight).over(Window.partitionBy(*keys)))
+             .withColumn("_lo", F.col("_hi") - F.col(weight)))
+    # The fractions only place the shares; they carry slack, the whole numbers decide.
+    return spans.select(*keys, "bin", "_lo", "_hi", "_all", (F.col("_lo") / F.col("_all") - lit(1e-9)).alias("_from"),
+                        (F.col("_hi") / F.col("_all") + lit(1e-9)).alias("_to"))
+
+
+def _draw_bins(draws: DataFrame, spans: DataFrame, keys: Sequence[str], u: str, spread: Sequence[str],
+               slots: int) -> DataFrame:
+    """The bin whose share holds each draw: draws meet only the shares that touch their
+    slot of the unit interval."""
+    target = F.floor(F.col(u) * F.col("_all"))
+    return (range_join(draws, spans, keys, u, "_from", "_to", 1.0 / slots, spread)
+            .where((target >= F.col("_lo")) & (target < F.col("_hi"))).drop("_lo", "_hi", "_all", "_from", "_to"))
 
 
 def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame, seed: str,
@@ -39,39 +55,32 @@ def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame,
 
     A bin is drawn by its histogram mass, up to ``tries`` times until the test's
     curve has a cadence there; then a populated bin weighted by its mass; then any
-    cadence.  ``cadences``: tic, sector, time, bin; ``histogram``: bin, n (dense).
-    The histogram and a curve's bin counts are at most one entry per bin, so both
-    travel as arrays; cadences are numbered per (curve, bin) by sharded counting."""
-    def running(xs: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(xs)), lambda i: F.aggregate(
-            F.slice(xs, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x))
-
-    mass = scalar(histogram, F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s.getField("n")))
-    cum = scalar(histogram, running(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s.getField("n"))))
-    # One row per curve: populated bins, their masses and running totals.
-    curves = (cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("_m", F.get(mass, F.col("bin").cast("int")))
-              .groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "_m"))).alias("_bins")))
-    curves = materialise(curves.select(
-        *CURVE, "_bins", F.col("_bins.bin").alias("_have"), running(F.col("_bins._m")).alias("_wc"),
-        running(F.col("_bins.n")).alias("_nc"), cum.alias("_cum")), "curve-bins")
-    # Uniforms are computed before the join, so array lambdas only compare numbers.
-    asked = tests.select(*CURVE, test_key, F.array(*[uniform(f"{seed}.try{a}", F.col(test_key)) for a in range(tries)]).alias("_us"),
-                         uniform(f"{seed}.fall", F.col(test_key)).alias("_uf"), uniform(f"{seed}.pick", F.col(test_key)).alias("_up"))
-    t = (attach(asked, curves, CURVE, [test_key], "inner")
-         .withColumn("_total", F.element_at("_cum", -1)).withColumn("_wt", F.element_at("_wc", -1))
-         .withColumn("_nt", F.element_at("_nc", -1)))
-    tried = F.transform("_us", lambda u, a: F.struct(
-        a.alias("a"), _first_at_or_above(F.col("_cum"), F.floor(u * F.col("_total"))).cast("bigint").alias("b")))
-    hit = F.array_min(F.filter(tried, lambda d: F.array_contains(F.col("_have"), d.getField("b"))))
-    near = F.get(F.col("_have"), _first_at_or_above(F.col("_wc"), F.floor(F.col("_uf") * F.col("_wt"))))
-    anywhere = F.get(F.col("_have"), _first_at_or_above(F.col("_nc"), F.floor(F.col("_uf") * F.col("_nt"))))
-    t = t.select(*CURVE, test_key, "_up", "_wt", hit.alias("_hit"), F.when(F.col("_wt") > 0, near).otherwise(anywhere).alias("_other"))
-    t = t.select(*CURVE, test_key, "_up", F.coalesce("_hit.b", "_other").alias("bin"),
-                 F.when(F.col("_hit.a") == 0, "bin_hit").when(F.col("_hit").isNotNull(), "redraw")
-                 .when(F.col("_wt") > 0, "nearest").otherwise("uniform").alias("outcome"))
-    sizes = cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("_n"))
+    cadence.  ``cadences``: tic, sector, time, bin; ``histogram``: bin, n.  A test whose
+    curve has no cadence drops out; an empty histogram leaves only the last way.
+
+    Draws are rows (tests x tries) and find their bin by interval lookup; hits are
+    merged per test before the shuffle.  Cadences are numbered per (curve, bin) by
+    sharded counting."""
+    own = [*CURVE, test_key]
+    sizes = materialise(cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("_n")), "bin-sizes")
+    curve = Window.partitionBy(*CURVE)
+    weighed = (sizes.join(histogram.select("bin", F.col("n").alias("_m")), "bin", "left").fillna(0, ["_m"])
+               .withColumn("_massive", F.sum("_m").over(curve) > 0)
+               .withColumn("_w", F.when(F.col("_massive"), F.col("_m")).otherwise(F.col("_n"))))
+    tried = tests.select(*own, F.posexplode(F.array(
+        *[uniform(f"{seed}.try{a}", F.col(test_key)) for a in range(tries)])).alias("_a", "_u"))
+    drawn = _draw_bins(tried, _mass_intervals(histogram.select("bin", "n"), [], "n"), [], "_u", [test_key], 64)
+    hits = (attach(drawn, sizes.select(*CURVE, "bin"), [*CURVE, "bin"], [test_key], "inner")
+            .groupBy(*own).agg(F.min(F.struct("_a", "bin")).alias("_hit")))
+    asked = tests.select(*own, uniform(f"{seed}.fall", F.col(test_key)).alias("_uf"), uniform(f"{seed}.pick", F.col(test_key)).alias("_up"))
+    massive = weighed.groupBy(*CURVE).agg(F.first("_massive").alias("_massive"))
+    fall = _draw_bins(asked, _mass_intervals(weighed, CURVE, "_w"), CURVE, "_uf", [test_key], 16)
+    t = (attach(fall.withColumnRenamed("bin", "_other"), massive, CURVE, [test_key], "inner").join(hits, own, "left")
+         .select(*own, "_up", F.coalesce("_hit.bin", "_other").alias("bin"),
+                 F.when(F.col("_hit._a") == 0, "bin_hit").when(F.col("_hit").isNotNull(), "redraw")
+                 .when(F.col("_massive"), "nearest").otherwise("uniform").alias("outcome")))
     t = (attach(t, sizes, [*CURVE, "bin"], [test_key], "inner")
-         .select(*CURVE, test_key, "outcome", "bin", (F.floor(F.col("_up") * F.col("_n")) + 1).alias("_i")))
+         .select(*own, "outcome", "bin", (F.floor(F.col("_up") * F.col("_n")) + 1).alias("_i")))
     numbered = running_total(cadences.select(*CURVE, "bin", "time"), [*CURVE, "bin"], "time", F.lit(1), "_i")
     return t.join(numbered, [*CURVE, "bin", "_i"]).select(test_key, *CURVE, "outcome", "bin", F.col("time").alias("inj_time"))
 
