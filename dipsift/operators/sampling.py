@@ -200,3 +200,9 @@ def chosen_cycles(lc: DataFrame, events: DataFrame, n_star: Column, seed: str) -
     w = Window.partitionBy("event_id").orderBy(uniform(seed, F.col("event_id"), F.col("cycle")), "cycle")
     return (counted.withColumn("kept", (F.row_number().over(w) <= F.col("_k")).cast("int"))
             .select("tic", "event_id", "cycle", "lo", "hi", "n_cadences", "kept"))
+
+
+def cycle_caps(chosen: DataFrame, event_key: Sequence[str] = ("event_id",)) -> DataFrame:
+    """:func:`chosen_cycles` as one row per event for :func:`views.fold_pairs`: the kept
+    other cycles, no more than the event's budget."""
+    return (chosen.where("kept = 1").groupBy(*event_key).agg(F.array_sort(F.collect_list("cycle")).alias("cycles")))

@@ -84,17 +84,29 @@ def dense(bins: DataFrame, event_key: Sequence[str], n: int, channels: Sequence[
     return collected.select(*event_key, F.array(*rows).alias(name))
 
 
-def fold_pairs(lc: DataFrame, events: DataFrame, spread: Sequence[str]) -> DataFrame:
+def fold_pairs(lc: DataFrame, events: DataFrame, spread: Sequence[str], capped: DataFrame | None = None,
+               event_key: Sequence[str] = ("event_id",)) -> DataFrame:
     """Cadences of any sector of the event's system at the event's phase: inside
     the stacking window or the continuum sideband, the event's own cycle left out.
 
     ``events``: tic, event key, event_time, phase, duration, period (> 0).
-    ``lc``: tic, time, flux, phase.  Adds dphi, cycle, in_window, in_sideband."""
+    ``lc``: tic, time, flux, phase.  Adds dphi, cycle, in_window, in_sideband.
+
+    ``capped``: event key, ``cycles`` (an array as long as the event's budget).  An event
+    then sees only its local window, its own cycle and these; the array travels with the
+    arc, so cadences of other cycles never leave the join.  An event without a row has no
+    other cycles."""
     reach = F.greatest(lit(k.RECUR_WINDOW_DURATIONS), lit(k.SIDEBAND_OUTER_DURATIONS)) * F.col("duration") / F.col("period")
     arcs = (events.where((F.col("period") > 0) & (F.col("duration") > 0))
             .withColumn("_half", reach + lit(1e-9)))
+    if capped is not None:
+        arcs = arcs.join(capped.select(*event_key, F.col("cycles").alias("_cycles")), list(event_key), "left")
     pts = lc.select("tic", "time", "flux", F.col("phase").alias("_ph"), *[c for c in spread if c not in ("time", "tic")])
     df = ring_join(pts, arcs, ["tic"], "_ph", "phase", "_half", spread)
+    if capped is not None:
+        orbit = centred_cycle(F.col("time"))
+        df = df.where((F.abs(F.col("time") - F.col("event_time")) <= local_half(F.col("duration"))) | (orbit == 0)
+                      | F.coalesce(F.array_contains("_cycles", orbit), F.lit(False))).drop("_cycles")
     df = df.withColumn("dphi", signed_phase(F.col("_ph"), F.col("phase")))
     offset = F.abs(F.col("dphi")) * F.col("period")
     return (df.withColumn("cycle", cycle_from_phase(F.col("time")))

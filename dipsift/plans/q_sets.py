@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from dipsift.functions import constants as k
 from dipsift.functions import physics
 from dipsift.functions.expr import lit, uniform
-from dipsift.operators import campaign, hosts, sampling, sets, split
+from dipsift.operators import campaign, hosts, sampling, sets, split, views
 from dipsift.operators.lineage import materialise
+from dipsift.plans import q_views
 from dipsift.plans.fixtures import u_sql
 from dipsift.plans.q_clean import EDGE_DISTANCE, EDGES_SQL, ORBIT_SQL
 from dipsift.plans.q_eval import SYSTEM_SQL, normal_sql
@@ -296,12 +297,29 @@ def r12(v):
     return sampling.design_points(v.table("orders"), "o_orderkey")
 
 
-@query("r9_cycle_subsample", f"""
-WITH c AS (SELECT t.event_id, floor((l.time - t.event_time) / h.period + 0.5e0) AS cycle, count(*) AS n
+CYCLES_SQL = f"""c AS (SELECT t.event_id, floor((l.time - t.event_time) / h.period + 0.5e0) AS cycle, count(*) AS n
   FROM tce t JOIN host h ON h.tic = t.tic JOIN lc l ON l.tic = t.tic AND abs(l.time - t.event_time) > greatest(3e0 * t.duration, 0.75e0)
   GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {u_sql('cyc', 'event_id', 'CAST(cycle AS BIGINT)')}, cycle) AS i FROM c WHERE cycle <> 0)
-SELECT event_id, CAST(cycle AS BIGINT) AS cycle, n AS n_cadences, CASE WHEN i <= 1 + event_id % 5 THEN 1 ELSE 0 END AS kept FROM r""")
-def r9(v):
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {u_sql('cyc', 'event_id', 'CAST(cycle AS BIGINT)')}, cycle) AS i FROM c WHERE cycle <> 0),
+chosen AS (SELECT event_id, CAST(cycle AS BIGINT) AS cycle, n AS n_cadences, CASE WHEN i <= 1 + event_id % 5 THEN 1 ELSE 0 END AS kept FROM r)"""
+
+
+def chosen(v):
     ev = hosts.lookup(v.tce, v.ephemeris, ["event_id"]).select("tic", "event_id", "event_time", "duration", "period")
-    return sampling.chosen_cycles(v.lc, ev, 1 + F.col("event_id") % 5, "cyc").select("event_id", "cycle", "n_cadences", "kept")
+    return sampling.chosen_cycles(v.lc, ev, 1 + F.col("event_id") % 5, "cyc")
+
+
+@query("r9_cycle_subsample", f"WITH {CYCLES_SQL} SELECT * FROM chosen")
+def r9(v):
+    return chosen(v).select("event_id", "cycle", "n_cadences", "kept")
+
+
+CAP_SQL = """ AND (abs(time - event_time) <= greatest(3e0 * duration, 0.75e0) OR floor((time - event_time) / period + 0.5e0) = 0
+  OR EXISTS (SELECT 1 FROM chosen k WHERE k.kept = 1 AND k.event_id = fb.event_id AND k.cycle = floor((fb.time - fb.event_time) / fb.period + 0.5e0)))"""
+
+
+@query("r9_capped_scalars", f"WITH {q_views.LOCAL_SQL}, {CYCLES_SQL}, {q_views.fold_sql(CAP_SQL)} SELECT * FROM recur",
+       "rec_depth_med rec_depth_mad rec_frac_dipping")
+def r9_capped(v):
+    """Stack summary of events that see only their budget of other cycles."""
+    return views.recurrence_scalars(q_views.stack(v, sampling.cycle_caps(chosen(v))), ["event_id"])

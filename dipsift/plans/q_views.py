@@ -68,23 +68,24 @@ def a2(v):
     return views.local_bins(local_pairs(v), ["event_id"])
 
 
-def fold(v):
+def fold(v, capped=None):
     return views.fold_pairs(cadences(v), hosted(v).select("tic", "event_id", "event_time", "phase", "depth",
-                                                          "duration", "period"), ["cadence_id"])
+                                                          "duration", "period"), ["cadence_id"], capped)
 
 
-def stack(v):
-    return views.stacked(fold(v), views.local_scatter(local_pairs(v), ["event_id"]), ["event_id"])
+def stack(v, capped=None):
+    return views.stacked(fold(v, capped), views.local_scatter(local_pairs(v), ["event_id"]), ["event_id"])
 
 
-FOLD_SQL = """fa AS (SELECT t.event_id, t.event_time, t.phase AS ev_phase, t.depth, t.duration, h.period,
-    l.event_id AS cadence_id, l.flux,
+def fold_sql(cap: str = "") -> str:
+    return f"""fa AS (SELECT t.event_id, t.event_time, t.phase AS ev_phase, t.depth, t.duration, h.period,
+    l.event_id AS cadence_id, l.flux, l.time,
     (l.phase - t.phase + 0.5e0) - floor(l.phase - t.phase + 0.5e0) - 0.5e0 AS dphi,
     floor((l.time - (t.event_time - t.phase * h.period)) / h.period) AS cycle
   FROM tce t JOIN host h ON h.tic = t.tic JOIN lc l ON l.tic = t.tic),
 fb AS (SELECT *, abs(dphi) <= 1.5e0 * duration / period AS in_window,
     abs(dphi) * period > 1.5e0 * duration AND abs(dphi) * period <= 3e0 * duration AS in_sideband FROM fa),
-fp AS (SELECT * FROM fb WHERE (in_window OR in_sideband) AND cycle <> floor(ev_phase)),
+fp AS (SELECT * FROM fb WHERE (in_window OR in_sideband) AND cycle <> floor(ev_phase){cap}),
 fc AS (SELECT event_id, cycle, CASE WHEN count(*) FILTER (WHERE in_sideband) >= 5
       THEN median(flux) FILTER (WHERE in_sideband) ELSE median(flux) FILTER (WHERE in_window) END AS continuum
   FROM fp GROUP BY event_id, cycle HAVING count(*) FILTER (WHERE in_window) > 0),
@@ -99,6 +100,9 @@ recur AS (SELECT fm.*, (SELECT 1.4826e0 * median(abs(d - rec_depth_med)) FROM fd
     AS rec_depth_mad FROM fm)"""
 
 
+FOLD_SQL = fold_sql()
+
+
 @query("j3_fold_join", f"""WITH {LOCAL_SQL}, {FOLD_SQL}
 SELECT event_id, CAST(cycle AS BIGINT) AS cycle, count(*) FILTER (WHERE in_window) AS n_window, count(*) FILTER (WHERE in_sideband) AS n_sideband,
   sum(dphi) AS dphi_sum, sum(flux) AS flux_sum FROM fp GROUP BY event_id, cycle""", "dphi_sum flux_sum")
