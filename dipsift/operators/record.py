@@ -14,15 +14,27 @@ from dipsift.operators.incumbent import event_scalars, incumbent_block, validity
 KEY = ["event_id"]
 
 
-def windows_and_stack(lc: DataFrame, events: DataFrame, cadence_key: str,
-                      local_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(local window pairs, local scatter, fold stack).  ``local_source`` replaces
-    the curve the local view is cut from; the stack always uses ``lc``."""
+NATIVE = -1
+
+
+def windows_and_stack(lc: DataFrame, events: DataFrame, cadence_key: str, local_source: DataFrame | None = None,
+                      source: str = "model_idx") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(local window pairs, local scatter, fold stack).
+
+    ``local_source`` holds further curves, told apart by ``source`` (a non-negative
+    number).  An event that names one there is cut from it, an event with NULL from
+    ``lc``; so injected and native events pass in one call.  The stack of both reads
+    ``lc``.  An event that names a missing curve has no window."""
     cols = ["tic", "sector", "time", "flux", "flux_err"]
-    src = lc if local_source is None else local_source
-    cad = src.select(*cols, F.col(cadence_key).alias("_cadence"))
-    own = events.select("tic", "sector", *KEY, "event_time", "depth", "duration")
-    local = views.event_windows(cad, own, ["_cadence"])
+    own = ["tic", "sector", *KEY, "event_time", "depth", "duration"]
+    cad = lc.select(*cols, F.col(cadence_key).alias("_cadence"))
+    if local_source is None:
+        local = views.event_windows(cad, events.select(*own), ["_cadence"])
+    else:
+        both = cad.withColumn("_source", F.lit(NATIVE).cast("bigint")).unionByName(
+            local_source.select(*cols, F.col(cadence_key).alias("_cadence"), F.col(source).cast("bigint").alias("_source")))
+        named = events.select(*own, F.coalesce(F.col(source).cast("bigint"), F.lit(NATIVE)).alias("_source"))
+        local = views.event_windows(both, named, ["_cadence"], keys=[*views.CURVE, "_source"]).drop("_source")
     scatter = views.local_scatter(local, KEY)
     fold = views.fold_pairs(lc.select("tic", "time", "flux", "phase", F.col(cadence_key).alias("_cadence")),
                             events.select("tic", *KEY, "event_time", "phase", "depth", "duration", "period"),
@@ -32,7 +44,7 @@ def windows_and_stack(lc: DataFrame, events: DataFrame, cadence_key: str,
 
 def build_scalars(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_key: str = "event_id",
                   pairs_admitted: bool = True, pair_group: tuple[str, ...] = ("tic",),
-                  real_search: Column | None = None) -> DataFrame:
+                  real_search: Column | None = None, local_source: DataFrame | None = None) -> DataFrame:
     """Scalars, gap distance, stack summary, observed partner and validity bits of
     every event whose system is known (others are dropped by the inner lookup).
     The skye flag only has a meaning where ``real_search`` holds (everywhere by default)."""
@@ -41,7 +53,7 @@ def build_scalars(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_ke
     host_cols = ["tic", "period", "tmag", "morph_coeff", "log10_pp_over_pbin",
                  "same_star_multi_allowed", "depth_ratio_raw"]
     ev = lookup(events, hosts.select(*host_cols), KEY).where("host_found = 1").drop("host_found")
-    _, scatter, stack = windows_and_stack(lc, ev, cadence_key)
+    _, scatter, stack = windows_and_stack(lc, ev, cadence_key, local_source)
     recur = views.recurrence_scalars(stack, KEY)
     gap = gaps.gap_distance(lc, ev.select("tic", "sector", *KEY, "event_time"), "event_time").select(*KEY, "gap_proximity")
     partner = pairs.nearest_partner(
@@ -61,10 +73,11 @@ def assemble(scalars: DataFrame, comparator: DataFrame, order: str, flags: DataF
     return scalars.join(block, KEY).join(flags, KEY)
 
 
-def build_views(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_key: str = "event_id") -> DataFrame:
+def build_views(lc: DataFrame, events: DataFrame, hosts: DataFrame, cadence_key: str = "event_id",
+                local_source: DataFrame | None = None) -> DataFrame:
     """Dense local [2, 201] and recurrence [2, 64] arrays per event, zeros where empty."""
     ev = lookup(events, hosts.select("tic", "period"), KEY).where("host_found = 1")
-    local, _, stack = windows_and_stack(lc, ev, cadence_key)
+    local, _, stack = windows_and_stack(lc, ev, cadence_key, local_source)
     a = views.dense(views.local_bins(local, KEY), KEY, k.LOCAL_BINS, ["value", "valid"], "local")
     b = views.dense(views.recurrence_bins(stack, KEY), KEY, k.RECUR_BINS, ["value", "cycles"], "recurrence")
 

@@ -26,14 +26,15 @@ def centred_cycle(time: Column) -> Column:
 
 
 def event_windows(lc: DataFrame, events: DataFrame, spread: Sequence[str],
-                  half: Column | None = None) -> DataFrame:
-    """Every cadence within the local half width of an event of the same curve."""
+                  half: Column | None = None, keys: Sequence[str] = CURVE) -> DataFrame:
+    """Every cadence within the local half width of an event of the same curve; ``keys``
+    name the curve."""
     half = local_half(F.col("duration")) if half is None else half
     ev = (events.withColumn("_half", half)
           .withColumn("_wlo", F.col("event_time") - F.col("_half") - lit(1e-6))
           .withColumn("_whi", F.col("event_time") + F.col("_half") + lit(1e-6)))
     # The bucket bounds carry slack; the exact rule is the distance itself.
-    return (range_join(lc, ev, CURVE, "time", "_wlo", "_whi", 1.0, spread)
+    return (range_join(lc, ev, keys, "time", "_wlo", "_whi", 1.0, spread)
             .where(F.abs(F.col("time") - F.col("event_time")) <= F.col("_half"))
             .drop("_wlo", "_whi"))
 

@@ -12,7 +12,7 @@ from dipsift.plans.fixtures import CLASS_LIST, pick, u_sql
 from dipsift.plans.q_clean import EDGE_DISTANCE, eclipses
 from dipsift.plans.q_sets import REBALANCE_SQL
 from dipsift.plans.q_sources import folder
-from dipsift.plans.q_views import RECORD_COLUMNS, RECORD_SQL, records
+from dipsift.plans.q_views import FOLD_SQL, LOCAL_SQL, RECORD_COLUMNS, RECORD_SQL, records
 from dipsift.plans.registry import query
 from dipsift.sources import artifacts
 
@@ -58,6 +58,37 @@ def s7(v):
     return shard(v, ["train", "val"]).select(*COLUMNS)
 
 
+ARRAYS_SQL = f"""WITH {LOCAL_SQL}, {FOLD_SQL},
+lb AS (SELECT event_id, CAST(least(greatest(floor((time - event_time + half) / (half + half) * 201e0), 0), 200) AS INTEGER) AS bin, median(flux) - 1e0 AS value
+  FROM lp GROUP BY ALL),
+rb AS (SELECT event_id, CAST(least(greatest(floor((dphi + 1.5e0 * duration / period) / (1.5e0 * duration / period + 1.5e0 * duration / period) * 64e0), 0), 63) AS INTEGER) AS bin,
+   median(level - 1e0) / any_value(denom) AS value, ln(1e0 + least(count(DISTINCT cycle), 60)) AS cycles FROM fs GROUP BY ALL)
+SELECT event_id, channel, bin, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM (
+  SELECT event_id, 'local_value' AS channel, bin, value FROM lb UNION ALL SELECT event_id, 'local_valid', bin, 1e0 FROM lb
+  UNION ALL SELECT event_id, 'stack_value', bin, value FROM rb UNION ALL SELECT event_id, 'stack_cycles', bin, cycles FROM rb)
+WHERE CAST(value AS FLOAT) <> 0"""
+
+
+@query("s7_record_shard_arrays", ARRAYS_SQL, "value", 4)
+def s7_arrays(v):
+    """Both views of every event, from a shard that holds them beside scalars, incumbent block and flags."""
+    path = folder(v, "shard")
+    artifacts.write_shard(whole_record(v).join(record.build_views(v.lc, v.tce, v.host), "event_id"), path)
+    rows = artifacts.read_shard(v.spark, path, kept_only=False)
+    channels = F.array(*[F.struct(F.lit(name).alias("channel"), F.col(view)[i].alias("bins")) for view, i, name in (
+        ("local", 0, "local_value"), ("local", 1, "local_valid"), ("recurrence", 0, "stack_value"), ("recurrence", 1, "stack_cycles"))])
+    return (rows.select("event_id", F.explode(channels).alias("c")).select("event_id", "c.channel", F.posexplode("c.bins").alias("bin", "value"))
+            .where("value <> 0").withColumn("value", F.col("value").cast("double")))
+
+
+@query("s7_shard_attributes", f"{RECORD_7_SQL} SELECT count(*) AS n_events, {len(COLUMNS)} AS n_columns FROM whole")
+def s7_attributes(v):
+    path = folder(v, "shard")
+    artifacts.write_shard(whole_record(v).select(*COLUMNS), path)
+    about = artifacts.shard_attributes(v.spark, path)
+    return about.select("n_events", F.size(F.split("columns", ",")).alias("n_columns"))
+
+
 def arm(name: str):
     features = incumbent.arm_columns(name)
 

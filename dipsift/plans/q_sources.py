@@ -105,6 +105,19 @@ def s10(v):
     return artifacts.file_digests(v.spark, v.sf_dir, "*.parquet")
 
 
+@query("s10_block_digests", """SELECT CAST(o_orderkey // 5000 AS BIGINT) AS block, sum(length(o_orderkey::VARCHAR || '|' || o_custkey || '|' || o_orderstatus) + 1)::BIGINT AS n_bytes,
+  sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM orders GROUP BY ALL""")
+def s10_blocks(v):
+    """Digests of text files of 5,000 order numbers each; those above 32 KiB are hashed in blocks."""
+    path = folder(v, "order-files")
+    rows = v.table("orders").select(F.floor(F.col("o_orderkey") / 5000).cast("bigint").alias("block"), "o_orderkey",
+                                    F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"))
+    (rows.repartition("block").sortWithinPartitions("block", "o_orderkey").select("block", "value")
+     .write.partitionBy("block").text(path))
+    found = artifacts.path_digests(v.spark, path, "part-*", 1 << 15, 1 << 13)
+    return found.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("bigint").alias("block"), "n_bytes", "sha256")
+
+
 @query("s11_digest_gate", "SELECT count(*) AS n FROM orders")
 def s11(v):
     found = artifacts.file_digests(v.spark, v.sf_dir, "*.parquet")

@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipsift.functions.expr import finite
+from dipsift.operators.lineage import materialise
+
+
+WHOLE_BELOW = 64 << 20
+BLOCK = 4 << 20
+DIGEST_SCHEMA = "path string, n_bytes bigint, sha256 string"
+
+
+def _hash_in_blocks(block: int):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, inside = fs.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe="/:@"))
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(inside) as stream:
+                    while part := stream.read(block):
+                        digest.update(part)
+                        size += len(part)
+                yield pa.RecordBatch.from_pydict({"path": [path], "n_bytes": pa.array([size], pa.int64()), "sha256": [digest.hexdigest()]})
+    return run
+
+
+def path_digests(spark: SparkSession, path: str, pattern: str = "*", whole_below: int = WHOLE_BELOW,
+                 block: int = BLOCK) -> DataFrame:
+    """SHA-256 and size of every file below ``path``, by full path.
+
+    Files up to ``whole_below`` bytes are values of Spark's reader, which opens every
+    file system that the session knows.  Larger ones are listed only, without content,
+    and their task hashes them in blocks, so no file is held whole and none is too
+    large; they must lie on a file system that Arrow opens.  Partitions follow file
+    sizes in both, without a shuffle.  Spark's readers skip files without bytes, so
+    those have no row."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", pattern).load(path))
+    small = files.where(F.col("length") <= whole_below).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_below).select("path").mapInArrow(_hash_in_blocks(block), DIGEST_SCHEMA)
+    return small.unionByName(large)
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file below ``path``.  Files are read whole, one
-    per row, so this is for files that fit an executor (below 2 GB each)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", pattern).load(path))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    """:func:`path_digests` by file name."""
+    return path_digests(spark, path, pattern).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_bytes", "sha256")
 
 
 def digest_mismatches(found: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -43,6 +81,26 @@ def record_attributes(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n_events")).withColumn("columns", F.lit(",".join(records.columns)))
 
 
+def write_shard(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Scalars, flags and nested arrays of the records together with the shard's one-row
+    description: one write, so that a reader finds both or neither.  The rows are
+    computed once, for the count and for the files."""
+    rows = materialise(records, "shard-rows")
+    about = record_attributes(rows).select(F.struct("n_events", "columns").alias("shard_attributes"))
+    (rows.withColumn("shard_part", F.lit("records"))
+     .unionByName(about.withColumn("shard_part", F.lit("attributes")), allowMissingColumns=True)
+     .write.mode(mode).partitionBy("shard_part", "split").parquet(path))
+
+
+def read_shard(spark: SparkSession, path: str, splits: Sequence[str] | None = None, kept_only: bool = True) -> DataFrame:
+    """Rows of :func:`write_shard`; arrays that are not selected are not read."""
+    return read_records(spark, f"{path}/shard_part=records", splits, kept_only).drop("shard_attributes")
+
+
+def shard_attributes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/shard_part=attributes").select("shard_attributes.*")
+
+
 def read_records(spark: SparkSession, path: str, splits: Sequence[str] | None = None, kept_only: bool = True,
                  systems: DataFrame | None = None) -> DataFrame:
     """Shard rows; the split predicate prunes partitions, the rest is pushed down."""
