@@ -53,26 +53,65 @@ CANDIDATE = "|".join((
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     rf"(?<![A-Za-z])(?:(?:{'|'.join(TITLES)})\.?\x20)?(?:{'|'.join(NAMES)})\x20[A-Z][a-z]{{2,30}}+",
 ))
+BLOCK = 512  # hits of a text that are gathered in one array; changes the cost alone
 LABELERS = ("regex", "gazetteer", "context", "counter_context", "shape", "edges")
 FEATURES = tuple(f"is_{k}" for k in MORE) + LABELERS + ("log_length", "digit_share", "upper_share", "blank_share")
 
 
-def _spans(text: Column, pattern: str, guard: Column, value) -> Column:
-    """Array of what ``value(hit, start, end)`` gives for each match, nulls left out.
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def blocks(items: Column) -> Column:
+    """The items of an array in arrays of up to ``BLOCK``, at least one of them."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / BLOCK), F.lit(0)).cast("int")),
+                                            lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def gathered(items: Column, start: Column, step) -> Column:
+    """What ``step(state, item)`` gives for the items in order: it returns the next state, whether to keep, and what.
+
+    An array that grows is copied at every item, so arrays grow within blocks, and the blocks are put together."""
+    def one(state, item):
+        after, keep, what = step(state, item)
+        return after, F.struct(keep.alias("keep"), what.alias("item"))
+
+    def within(state, item):
+        after, got = one(state["at"], item)
+        return F.struct(after.alias("at"), F.array_append(state["found"], got).alias("found"))
+
+    def whole(some, none):
+        def across(state, block):
+            return F.aggregate(block, F.struct(state["at"].alias("at"), none.alias("found")), within,
+                               lambda s: F.struct(s["at"].alias("at"), F.array_append(state["found"], s["found"]).alias("found")))
+        first = F.struct(start.alias("at"), F.slice(F.array(none), 1, 0).alias("found"))
+        return F.aggregate(blocks(some), first, across, lambda s: F.flatten(s["found"]))
+    # ``none`` is an empty array of the results' type.
+    found = let(items, lambda some: let(F.transform(F.slice(some, 1, 0), lambda item: one(start, item)[1]), lambda none: whole(some, none)))
+    return F.transform(F.filter(found, lambda x: x["keep"]), lambda x: x["item"])
 
-    Pieces between matches and the matches alternate, so their lengths add up to the places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    none = F.array_except(F.array(value(F.lit(""), F.lit(0), F.lit(0))), F.array(value(F.lit(""), F.lit(0), F.lit(0))))
+
+def spans_of(text: Column, pattern: str, guard: Column, value, keep=lambda hit: F.lit(True), left: int = 0) -> Column:
+    """Array of ``value(hit, start, end, before, after)`` for each match with ``keep(hit)``.
+
+    Pieces between matches and the matches alternate, so their lengths add up to the places.
+    ``before``: up to ``left`` characters in front, carried along from piece to piece; ``after``: the next character, if any."""
+    def pairs_of(gaps, hits):
+        return F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next_gap"), F.slice(hits, 2, F.size(hits)).alias("next_hit"))
 
     def step(state, pair):
-        start = state["at"] + pair["gap"]
-        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        got = value(pair["hit"], start, end)
-        return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull() & got.isNotNull(), F.array_append(state["found"], got))
-                        .otherwise(state["found"]).alias("found"))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+        hit = pair["hit"]
+        begin = state["place"] + F.length(pair["gap"])
+        end = begin + F.coalesce(F.length(hit), F.lit(0))
+        before = F.right(F.concat(state["tail"], pair["gap"]), F.lit(left)) if left else F.lit("")
+        tail = F.right(F.concat(before, F.coalesce(hit, F.lit(""))), F.lit(left)) if left else F.lit("")
+        after = F.left(F.concat(F.coalesce(pair["next_gap"], F.lit("")), F.coalesce(pair["next_hit"], F.lit(""))), F.lit(1))
+        return F.struct(end.alias("place"), tail.alias("tail")), hit.isNotNull() & keep(hit), value(hit, begin, end, before, after)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = let(F.split(text, pattern, -1), lambda gaps: let(hits, lambda x: gathered(
+        pairs_of(gaps, x), F.struct(F.lit(0).alias("place"), F.lit("").alias("tail")), step)))
+    none = F.transform(F.slice(F.array(F.lit(0)), 1, 0), lambda k: value(F.lit(""), k, k, F.lit(""), F.lit("")))
     return F.when(guard, found).otherwise(none)
 
 
@@ -96,8 +135,8 @@ def base_spans(text: Column) -> Column:
     parts = []
     for rank, kind in enumerate(KINDS):
         guard = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(GUARDS[kind])
-        parts.append(_spans(text, PATTERNS[kind], F.coalesce(guard, F.lit(False)), lambda hit, start, end, k=kind, r=rank: F.when(
-            _ok(k, hit), F.struct(start.alias("start"), F.lit(r).alias("rank"), end.alias("end")))))
+        parts.append(spans_of(text, PATTERNS[kind], F.coalesce(guard, F.lit(False)), lambda hit, start, end, before, after, r=rank: F.struct(
+            start.alias("start"), F.lit(r).alias("rank"), end.alias("end")), keep=lambda hit, k=kind: _ok(k, hit)))
     return F.array_sort(F.concat(*parts))
 
 
@@ -112,10 +151,7 @@ def _word_in(text: Column, words: tuple[str, ...]) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of candidate structs: place, kind, votes of the labelers (-1, 0, 1) and shape features."""
-    def value(hit, start, end):
-        # Without a hit there is nothing to look at; places count from 0, substr from 1.
-        before = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-        after = F.substring(text, end + 1, F.lit(1))
+    def value(hit, start, end, before, after):
         kind = _kind(hit)
         digits = F.regexp_replace(hit, "[^0-9]", "")
         length = F.greatest(F.length(hit), F.lit(1))
@@ -134,7 +170,7 @@ def candidates(text: Column) -> Column:
         return F.struct(start.alias("start"), (kind + len(KINDS)).cast("int").alias("rank"), end.alias("end"),
                         *[votes[x].cast("int").alias(x) for x in LABELERS],
                         *[shape[x].cast("double").alias(x) for x in FEATURES if x in shape])
-    return _spans(text, CANDIDATE, F.coalesce(text.rlike(CANDIDATE), F.lit(False)), value)
+    return spans_of(text, CANDIDATE, F.coalesce(text.rlike(CANDIDATE), F.lit(False)), value, left=40)
 
 
 @dataclass
@@ -213,8 +249,24 @@ def added_spans(text: Column, base: Column, model: SpanModel) -> Column:
             value = (c["rank"] == len(KINDS) + MORE.index(name[3:])).cast("double") if name.startswith("is_") else c[name].cast("double")
             total = total + F.lit(weight) * value
         return total
-    kept = F.filter(candidates(text), lambda c: (logit(c) >= 0) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
+    kept = F.transform(F.filter(candidates(text), lambda c: logit(c) >= 0),
+                       lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
+    return let(kept, lambda some: F.when((F.size(some) == 0) | (F.size(base) == 0), some).otherwise(apart(some, base)))
+
+
+def apart(some: Column, base: Column) -> Column:
+    """The spans of ``some`` that overlap none of ``base``: one pass by start against the farthest end so
+    far, one from the right against the nearest start."""
+    def forward(far, s):
+        own = s["rank"] < len(KINDS)
+        return F.when(own, F.greatest(far, s["end"])).otherwise(far), own | (far <= s["start"]), s
+
+    def backward(near, s):
+        own = s["rank"] < len(KINDS)
+        return F.when(own, s["start"]).otherwise(near), ~own & (near >= s["end"]), s
+    # Of spans with one start, those of the base come first, by their rank.
+    left = gathered(F.array_sort(F.concat(base, some)), F.lit(0), forward)
+    return F.reverse(gathered(F.reverse(left), F.lit(2 ** 31 - 1), backward))
 
 
 def find(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
@@ -234,14 +286,21 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS + MORE])
-
-    def step(state, s):
-        return F.when(s["start"] < state["at"], F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.array_append(state["parts"], F.substring(text, state["at"] + 1, F.lit(0))).alias("parts"))).otherwise(F.struct(
-                s["end"].alias("at"),
-                F.array_append(state["parts"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]),
-                                                        F.element_at(names, s["rank"] + 1))).alias("parts")))
-    start = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit("")), 1, 0).alias("parts"))
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    nothing = F.slice(F.array(F.lit("")), 1, 0)
+
+    def across(state, block):
+        # A block's own stretch of the text, so that no span makes the whole text be walked through.
+        end = F.greatest(state["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def within(piece):
+            def step(inner, s):
+                skip = s["start"] < inner["at"]
+                part = F.when(skip, F.lit("")).otherwise(F.concat(
+                    F.substring(piece, inner["at"] - state["at"] + 1, s["start"] - inner["at"]), F.element_at(names, s["rank"] + 1)))
+                return F.struct(F.greatest(inner["at"], s["end"]).alias("at"), F.array_append(inner["parts"], part).alias("parts"))
+            return F.aggregate(block, F.struct(state["at"].alias("at"), nothing.alias("parts")), step, lambda s: F.array_join(s["parts"], ""))
+        part = let(F.substring(text, state["at"] + 1, end - state["at"]), within)
+        return F.struct(end.alias("at"), F.array_append(state["parts"], part).alias("parts"))
+    whole = F.aggregate(blocks(spans), F.struct(F.lit(0).alias("at"), nothing.alias("parts")), across,
+                        lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(whole)

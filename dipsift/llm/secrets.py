@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipsift.llm.common import weighted_sample
-from dipsift.llm.pii import _spans
+from dipsift.llm.pii import spans_of
 from dipsift.operators.lineage import materialise
 
 _KEY = "[A-Za-z0-9+/_=-]"
@@ -45,11 +45,9 @@ def _word(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, hit, before, after): code points, end exclusive."""
-    return _spans(text, CANDIDATE, F.coalesce(text.rlike(CANDIDATE), F.lit(False)), lambda hit, start, end: F.struct(
-        start.alias("start"), end.alias("end"), hit.alias("hit"),
-        F.substring(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32))).alias("before"),
-        F.substring(text, end + 1, F.lit(8)).alias("after")))
+    """Array of (start, end, hit, before, after): code points, end exclusive; up to 32 characters before, one after."""
+    return spans_of(text, CANDIDATE, F.coalesce(text.rlike(CANDIDATE), F.lit(False)), lambda hit, start, end, before, after: F.struct(
+        start.alias("start"), end.alias("end"), hit.alias("hit"), before.alias("before"), after.alias("after")), left=32)
 
 
 def described(found: DataFrame) -> DataFrame:

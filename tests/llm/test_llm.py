@@ -1,6 +1,7 @@
 """Small cases and brute-force comparisons for the training-data operators."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -226,6 +227,38 @@ def brute_base(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
 
 
+def test_spans_of_a_text_with_many_hits_in_blocks(s, monkeypatch):
+    """40,000 addresses and 3,000 further candidates in one text, in blocks of every size."""
+    rng = np.random.default_rng(15)
+    pool = ["a@b.c", "joe (at) example (dot) com", "212-555-1234", "+1 (555) 123-4567", "4111 1111 1111 1111", "x", "é", "Mr. John Smith", "1.2.3.4", "😀@b.cd"]
+    mixed = [" ".join(rng.choice(pool, n)) for n in (1, 2, 3, 7, 40, 41, 300)]
+    model = pii.SpanModel({}, 1.0)  # takes every candidate, so that overlaps are met
+
+    def all_of(texts):
+        found = pii.find(docs(s, list(enumerate(texts))), model)
+        return {r.doc_id: r for r in found.select("doc_id", "spans", pii.listed(F.col("base")).alias("b"), pii.redacted(F.col("text"), F.col("spans")).alias("clean"),
+                                                  pii.candidates(F.col("text")).alias("all")).collect()}
+    names = pii.KINDS + pii.MORE
+    for size in (2, 512):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        for i, r in all_of(mixed).items():
+            assert r.b == brute_base(mixed[i])
+            base = [x for x in r.spans if x["rank"] < len(pii.KINDS)]
+            more = [(c["start"], c["rank"], c["end"]) for c in r.all if not any(b["start"] < c["end"] and c["start"] < b["end"] for b in base)]
+            assert [tuple(x) for x in r.spans if x["rank"] >= len(pii.KINDS)] == more
+            clean, at = "", 0
+            for start, rank, end in map(tuple, r.spans):
+                if start >= at:
+                    clean += mixed[i][at:start] + f"<{names[rank].upper()}>"
+                at = max(at, end)
+            assert r.clean == clean + mixed[i][at:]
+    long = "a@b.c " * 40_000 + "joe (at) example (dot) com, " * 3000
+    began = time.perf_counter()
+    got = all_of([long])[0]
+    assert len(got.spans) == 43_000 and got.clean == "<EMAIL> " * 40_000 + "<EMAIL_OBFUSCATED>, " * 3000
+    assert time.perf_counter() - began < 60  # squares of the hits would take minutes
+
+
 def test_personal_data(s):
     rng = np.random.default_rng(5)
     pool = ["a@b.c", "a@b.c_d@e.f", "x@y", "@", "1.2.3.4", "1.2.3.4.5", "999.1.1.1", "010.0.0.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567",
