@@ -3,16 +3,18 @@
 Components are integers floor(scale * x).  The dimensions are cut into m lists;
 a vector has a local score in each list, and its score is their sum.
 
-1. Each task gathers the k best vectors of every list for every query and sums
-   them up exactly; the k-th best sum of a query over all tasks is a safe cutoff t.
+1. Each task gathers the k best local scores of every list for every query. The vectors they
+   name are resolved, list by list; the k-th best sum of a query over all tasks is a safe cutoff t.
 2. The cutoffs go to all tasks.  A vector whose score is at least t has a local score of at
-   least t / m in some list, so only entries that reach this are collected.
-3. The collected entries' remaining scores are resolved exactly; those of at
+   least t / m in some list, so only entries that reach this are collected.  An entry is given up as soon
+   as what it has collected and the threshold in its other lists stay below t.
+3. The remaining scores of the collected entries are resolved exactly; those of at
    least t compete for the k places, ties to the smaller key.
 
-Each task passes on k rows a query at most, so equal vectors, however many,
-cost no more.  Queries are taken in blocks of at most about ``block`` rows, each small
-enough to ship to all tasks.
+Sums are made for the entries that the lists hand on, never for all vectors.  Each task passes
+on k rows a query at most, so equal vectors, however many, cost no more.  Queries are taken in
+blocks of at most about ``block`` rows, each small enough to ship to all tasks; the rows of a block are written
+before the next one is read, so that one block at a time is in the driver.
 
 Vectors that are null or hold a null or a component that is not finite take no part.
 Vectors of unequal length are compared as if the shorter ended in zeros.
@@ -22,13 +24,15 @@ take no part.  Empty tables give an empty result; extra columns are ignored."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipsift.llm.common import pieces
-from dipsift.operators.lineage import materialise
+from dipsift.operators.lineage import materialise, scratch_dir
 
 LISTS = 4
 BLOCK = 1024
@@ -73,15 +77,15 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", colum
     size = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     width = rows.agg(F.max(F.size("x"))).first()[0] or 0
     count = -(-size // block)
-    out = None
+    spark = rows.sparkSession
+    if not count:
+        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score long")
+    folder = f"{scratch_dir(spark)}/top-{uuid.uuid4().hex}"
     for number in range(count):
         mine = queries.where(F.pmod(F.xxhash64("key"), F.lit(count)) == number).toArrow()
         ids, q = np.asarray(mine.column("key")), integers(mine.column("x"), scale, width)
-        part = _block(rows, ids, q, k, width, scale, lists)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score long")
-    return out.select("query_id", "rank", F.col("key").alias(key), "score")
+        _block(rows, ids, q, k, width, scale, lists).write.parquet(f"{folder}/block={number}")
+    return spark.read.parquet(folder).select("query_id", "rank", F.col("key").alias(key), "score")
 
 
 def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, width: int, scale: float, lists: int) -> DataFrame:
@@ -104,23 +108,26 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, width: int,
             out.append((key[at], score[at]))
         return out
 
-    def scored(batches):
+    def local_scores(batches):
         for whole in batches:
             for batch in pieces(whole, 2048):
                 key, v = np.asarray(batch.column(0)), integers(batch.column(1), scale, width)
-                local = [products(q[:, a:b], v[:, a:b]) for a, b in spans]
-                yield key, local, sum(local), key[None, :] == ids[:, None]
+                yield key, [products(q[:, a:b], v[:, a:b]) for a, b in spans]
 
     nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def resolved(local, i, at):
+        """Exact scores of the vectors at ``at`` for query ``i``."""
+        return sum(s[i, at] for s in local)
+
     def gather(batches):
         held = [nothing] * len(ids)
-        for key, local, total, own in scored(batches):
+        for key, local in local_scores(batches):
             new = []
             for i in range(len(ids)):
-                free = np.flatnonzero(~own[i])
+                free = np.flatnonzero(key != ids[i])
                 lead = np.unique(np.concatenate([free[_best(s[i, free], key[free], k)] for s in local]))
-                new.append((key[lead], total[i, lead]))
+                new.append((key[lead], resolved(local, i, lead)))
             held = merged(held, new)
         yield batch_of(held)
 
@@ -130,17 +137,27 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, width: int,
     cutoff = np.full(len(ids), np.iinfo(np.int64).min)
     for r in (first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("query", "score").collect()):
         cutoff[r["query"]] = r["score"]
+    known = cutoff > np.iinfo(np.int64).min
     floor = [-(-int(t) // len(spans)) for t in cutoff]  # least local score of a vector that can reach the cutoff
 
     def collect(batches):
         held = [nothing] * len(ids)
         low = np.array(floor, np.int64)[:, None]
-        for key, local, total, own in scored(batches):
-            enough = np.zeros(total.shape, bool)
+        for key, local in local_scores(batches):
+            enough = np.zeros(local[0].shape, bool)
             for s in local:
                 enough |= s >= low
-            enough &= ~own & (total >= cutoff[:, None])
-            new = [(key[at], total[i, at]) for i in range(len(ids)) for at in [np.flatnonzero(enough[i])]]
+            new = []
+            for i in range(len(ids)):
+                at = np.flatnonzero(enough[i])
+                at = at[key[at] != ids[i]]
+                if known[i]:
+                    # What was collected counts, a list without an entry stays below the threshold.
+                    most = sum(np.maximum(s[i, at], floor[i] - 1) for s in local)
+                    at = at[most >= cutoff[i]]
+                score = resolved(local, i, at)
+                good = score >= cutoff[i]
+                new.append((key[at[good]], score[good]))
             held = merged(held, new)
         yield batch_of(held)
 
