@@ -132,6 +132,27 @@ def ablation_contrast(matched: DataFrame, full: str, reduced: str) -> DataFrame:
     return wide.withColumn("contrast", F.col(reduced) - F.col(full))
 
 
+def resampled(per: DataFrame, key: str, columns: list[str], n_resamples: int, seed: str, members: int = 256, draws: int = 1 << 16) -> DataFrame:
+    """(b, sums of ``columns``) over n draws with replacement from the n rows of ``per``, for each resample b.
+
+    A multinomial draw in two steps. Rows in order of ``key`` lie in blocks of ``members``. First every draw falls into a
+    block, counted where it is made (``draws`` at a time); then each block deals its count to its own rows, beside
+    their values. What is shuffled are counts per resample and block, not the draws."""
+    place = cumulative(per, [], key, {"one": F.lit(1)}).select(key, F.col("one_below").alias("_at"))
+    numbered = materialise(per.join(place, key).select("_at", *columns), "numbered")
+    n = numbered.count()
+    at = F.floor(F.col("_at") / members).alias("block")
+    rows = numbered.groupBy(at).agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("rows"))  # ``members`` at most
+    steps = -(-n // draws)
+    first = F.col("id") % F.lit(max(1, steps)) * draws
+    slots = per.sparkSession.range(n_resamples * steps).select(
+        F.floor(F.col("id") / F.lit(max(1, steps))).alias("b"), F.explode(F.sequence(first, F.least(first + draws, F.lit(n)) - 1)).alias("slot"))
+    fallen = slots.groupBy("b", F.floor(F.floor(uniform(seed, F.col("b"), F.col("slot")) * n) / members).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = fallen.join(rows, "block").select("b", "block", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    pick = F.floor(uniform(seed + ".in", F.col("b"), F.col("block"), F.col("j")) * F.size("rows")).cast("int")
+    return dealt.select("b", F.element_at("rows", pick + 1).alias("r")).groupBy("b").agg(*[F.sum(f"r.{c}").alias(c) for c in columns])
+
+
 def cluster_bootstrap(record: DataFrame, arms: dict[str, str], n_resamples: int = 2000,
                       seed: str = "boot") -> DataFrame:
     """:func:`bootstrap_of` of score columns of the record."""
@@ -142,8 +163,7 @@ def bootstrap_of(rows: DataFrame, n_resamples: int = 2000, seed: str = "boot", t
     """2.5 / 97.5 percentiles of the false positive rate per 1,000 files over
     resamples of whole systems (fixed file denominator).
 
-    Work is resamples x systems rows, each a hash-drawn index joined back to the
-    per-system counts; counts of all cells travel together."""
+    Counts of all cells travel together; see :func:`resampled` for the draws."""
     thresholds = arm_thresholds(rows) if thresholds is None else thresholds
     arms = sorted(r["arm"] for r in thresholds.select("arm").collect())  # a few names
     neg = _with_thresholds(rows.where("real_neg"), thresholds)
@@ -152,14 +172,7 @@ def bootstrap_of(rows: DataFrame, n_resamples: int = 2000, seed: str = "boot", t
     names = {c: f"c{i}" for i, c in enumerate(cells)}
     per = materialise(neg.groupBy("tic").agg(
         F.collect_set("sector").alias("_sectors"), *[e.alias(names[c]) for c, e in cells.items()]), "fp-per-system")
-    idx = cumulative(per, [], "tic", {"one": F.lit(1)}).select("tic", F.col("one_below").alias("idx"),
-                                                               F.col("one_total").alias("n_systems"))
-    per = per.join(idx, "tic")
-    slots = per.select(F.col("idx").alias("slot"), "n_systems",
-                       F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b"))
-    draws = slots.select("b", F.floor(uniform(seed, F.col("b"), F.col("slot")) * F.col("n_systems")).alias("idx"))
-    sums = draws.join(per.drop("tic", "n_systems", "_sectors"), "idx").groupBy("b").agg(
-        *[F.sum(n).alias(n) for n in names.values()])
+    sums = resampled(per, "tic", list(names.values()), n_resamples, seed)
     files = scalar(per, F.sum(F.size("_sectors")))
     rate = {n: lit(1000) * F.col(n) / F.greatest(files, F.lit(1)) for n in names.values()}
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(s).alias("scope"), F.lit(p).alias("point"),

@@ -289,7 +289,10 @@ def a21(v):
 pt AS (SELECT ar.tic, tau.arm, tau.point, tau.scope, count(*) FILTER (WHERE sc >= tau.tau) AS c FROM ar JOIN tau ON tau.arm = ar.arm
    WHERE real_neg GROUP BY ALL),
 ix AS (SELECT tic, row_number() OVER (ORDER BY tic) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT tic FROM pt)),
-dr AS (SELECT b, floor({u_sql('boot', 'b', 'idx')} * n) AS pick FROM ix CROSS JOIN (SELECT unnest(range(2000)) AS b)),
+bl AS (SELECT b, CAST(floor(floor({u_sql('boot', 'b', 'idx')} * n) / 256e0) AS BIGINT) AS block, any_value(n) AS n, count(*) AS c
+   FROM ix CROSS JOIN (SELECT unnest(range(2000)) AS b) GROUP BY 1, 2),
+sl AS (SELECT b, block, n, unnest(range(c)) AS j FROM bl),
+dr AS (SELECT b, block * 256 + CAST(floor({u_sql('boot.in', 'b', 'block', 'j')} * least(256, n - block * 256)) AS BIGINT) AS pick FROM sl),
 sm AS (SELECT arm, scope, point, b, 1e3 * sum(c) / greatest((SELECT n_real_files FROM m0), 1) AS rate
   FROM dr JOIN ix ON ix.idx = dr.pick JOIN pt ON pt.tic = ix.tic GROUP BY arm, scope, point, b)
 SELECT arm, scope, point, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi, avg(rate) AS mean_rate FROM sm GROUP BY ALL""",
