@@ -165,3 +165,7 @@ DESIGN_LIMB2 = (0.1, 0.3)
 DESIGN_WARP_FRACTION = 0.30
 DESIGN_WARP = (0.1, 0.3)
 INJECTION_CURVATURE = 0.35
+
+# --- review queue -----------------------------------------------------------
+# Events and files of the inverted search that a queue's rate is held against.
+QUEUE_EVENTS, QUEUE_FILES = 7176, 3808

@@ -443,16 +443,16 @@ def a32_digest(v):
     return split.map_digest(v.record.select("tic", "split").distinct())
 
 
-@query("a33_queue_profile", """
+@query("a33_queue_profile", f"""
 SELECT inverted_lc, count(*) AS n_events, count(DISTINCT (tic, sector)) AS n_files, median(n_detrend_detections) AS median_n,
   quantile_cont(n_detrend_detections, 0.25) AS p25_n, count(*) FILTER (WHERE n_detrend_detections = 21) / count(*)::DOUBLE AS share_ceiling,
   count(*) FILTER (WHERE n_detrend_detections <= 5) / count(*)::DOUBLE AS share_few,
   count(*) FILTER (WHERE (det_dependence = 1) <> (n_detrend_detections <= 18)) AS n_inconsistent,
   count(*) / count(DISTINCT (tic, sector))::DOUBLE AS events_per_file,
-  abs(count(*) / count(DISTINCT (tic, sector))::DOUBLE - 7176e0 / 3808e0) / (7176e0 / 3808e0) AS rate_offset
+  abs(count(*) / count(DISTINCT (tic, sector))::DOUBLE - {k.QUEUE_EVENTS}e0 / {k.QUEUE_FILES}e0) / ({k.QUEUE_EVENTS}e0 / {k.QUEUE_FILES}e0) AS rate_offset
 FROM tce GROUP BY inverted_lc""", "median_n p25_n share_ceiling share_few events_per_file rate_offset")
 def a33(v):
-    return queue.queue_profile(v.tce, ["inverted_lc"], 7176 / 3808)
+    return queue.queue_profile(v.tce, ["inverted_lc"], k.QUEUE_EVENTS / k.QUEUE_FILES)
 
 
 @query("a33_recovery_by_arm", f"""WITH {RECOVERY_SQL}
