@@ -277,6 +277,13 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     return rows.select(*rest, "base", F.array_sort(F.concat("base", added_spans(whole, F.col("base"), model))).alias("spans"))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """Number of spans of a kind."""
+    rank = (KINDS + MORE).index(kind)
+    # One parameter: Spark passes a second one the position, also where it has a default.
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS + MORE])
