@@ -32,3 +32,19 @@ def test_a_changed_large_file_stops_the_gate(spark, tmp_path):
     after = artifacts.path_digests(spark, str(tmp_path), "*", 10, 64)
     named = [d.withColumnRenamed("path", "file") for d in (after, before)]
     assert [r["problem"] for r in artifacts.digest_mismatches(*named).collect()] == ["changed"]
+
+
+def test_part_files_of_equal_names_pass_the_gate(spark, tmp_path):
+    """Tables that are folders hold part files of the same names."""
+    for table, data in (("a.parquet", b"1"), ("b.parquet", b"2")):
+        (tmp_path / table).mkdir()
+        (tmp_path / table / "data_0.parquet").write_bytes(data)
+    (tmp_path / "c.parquet").write_bytes(b"3")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        found = artifacts.file_digests(spark, root, "*.parquet")
+        assert {r["file"] for r in found.collect()} == {"a.parquet/data_0.parquet", "b.parquet/data_0.parquet", "c.parquet"}
+        recorded = spark.createDataFrame(found.collect(), found.schema)
+        assert artifacts.digest_gate(spark.range(3), found, recorded).count() == 3
+    (tmp_path / "a.parquet" / "data_0.parquet").write_bytes(b"2")
+    changed = artifacts.digest_mismatches(artifacts.file_digests(spark, str(tmp_path), "*.parquet"), recorded).collect()
+    assert [(r["file"], r["problem"]) for r in changed] == [("a.parquet/data_0.parquet", "changed")]
