@@ -41,7 +41,7 @@ def in_view(v):
 @query("w7_flatten_and_flag", f"""WITH {search_sql('lc', ['tic', 'sector'], search.window_lengths())}
 SELECT tic, sector, window_no AS "window", event_time, depth, duration, snr FROM pk""", "event_time depth duration snr", 7)
 def w7(v):
-    flat = search.flattened(in_view(v), ["tic", "sector"], search.window_lengths())
+    flat = search.flattened(in_view(v), ["tic", "sector"], search.window_lengths(), below=search.MAD_THRESHOLD)
     return search.peaks(flat, ["tic", "sector"], STEP, CADENCE).select(
         "tic", "sector", "window", "event_time", "depth", "duration", "snr")
 
