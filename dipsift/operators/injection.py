@@ -96,21 +96,23 @@ def injected_curves(lc: DataFrame, tests: DataFrame, transits: DataFrame, cadenc
     """Each test's copy of its curve: coin-flip inversion first, then the summed
     deltas of its transits.
 
-    Deltas come from a range join of transits and cadences, so only touched
-    cadences carry them; the rest is the curve itself.  ``tests``: tic, sector,
+    A test carries its few transits into the one join that makes the copies, so copies
+    are not shuffled a second time to meet their deltas.  ``tests``: tic, sector,
     test_key, inverted_lc; ``transits``: tic, sector, test_key, centre,
     transit_duration, transit_depth."""
-    tr = transits.withColumns({"_a": F.col("centre") - F.col("transit_duration") / lit(2) - lit(1e-9),
-                               "_z": F.col("centre") + F.col("transit_duration") / lit(2) + lit(1e-9)})
-    deltas = (range_join(lc.select(*CURVE, "time", cadence_key), tr, CURVE, "time", "_a", "_z", 1.0, [cadence_key])
-              .groupBy(test_key, cadence_key)
-              .agg(F.sum(transit_delta(F.col("time"), F.col("centre"), F.col("transit_duration"), F.col("transit_depth"))).alias("_delta")))
+    dips = (transits.where(F.col("transit_duration") >= lit(-2e-9))
+            .groupBy(*CURVE, test_key).agg(F.collect_list(F.struct("centre", "transit_duration", "transit_depth")).alias("_dips")))
+    carried = tests.select(*CURVE, test_key, "inverted_lc").join(dips, [*CURVE, test_key], "left")
+
+    def delta(dip):
+        # Only what lies in the transit is worked out, so that a duration of 0 far off divides nothing.
+        near = F.abs(F.col("time") - dip["centre"]) <= dip["transit_duration"] / lit(2) + lit(1e-9)
+        return F.when(near, transit_delta(F.col("time"), dip["centre"], dip["transit_duration"], dip["transit_depth"])).otherwise(lit(0))
+    total = F.aggregate("_dips", lit(0).cast("double"), lambda so_far, dip: so_far + delta(dip))
     # Every test owns a copy of its curve; a busy curve is spread over salts.
-    copies = attach(lc.select(*CURVE, "time", "flux", "phase", cadence_key),
-                    tests.select(*CURVE, test_key, "inverted_lc"), CURVE, [cadence_key], "inner")
-    return (copies.join(deltas, [test_key, cadence_key], "left")
-            .withColumn("flux", inverted(F.col("flux"), F.col("inverted_lc")) + F.coalesce("_delta", lit(0)))
-            .drop("_delta"))
+    return (attach(lc.select(*CURVE, "time", "flux", "phase", cadence_key), carried, CURVE, [cadence_key], "inner")
+            .withColumn("flux", inverted(F.col("flux"), F.col("inverted_lc")) + F.coalesce(total, lit(0)))
+            .drop("_dips"))
 
 
 def partner_transits(tests: DataFrame, keys: Sequence[str] = (*CURVE, "model_idx")) -> DataFrame:
