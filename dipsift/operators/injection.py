@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from dipsift.functions import constants as k
 from dipsift.functions.expr import lit, uniform
 from dipsift.operators.clean import inverted
 from dipsift.operators.lineage import materialise
 from dipsift.operators.ordered import running_total
-from dipsift.operators.skew import attach, range_join
+from dipsift.operators.skew import attach
 
 CURVE = ["tic", "sector"]
 
@@ -27,30 +28,62 @@ def uniform_epochs(cadences: DataFrame, tests: DataFrame, seed: str, test_key: s
     return want.join(numbered, [*CURVE, "_i"]).select(test_key, *CURVE, F.col("time").alias("inj_time"))
 
 
-def _mass_intervals(bins: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Share of each bin on the running total of its key: ``_lo`` <= target < ``_hi`` out
-    of ``_all``, with the same bounds as fractions.  Bins without weight have no share.
-    Keys hold at most one row per bin, so the window over a key is bounded by the bins."""
-    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = (bins.where(F.col(weight) > 0).withColumn("_hi", F.sum(weight).over(order))
-             .withColumn("_all", F.sum(weight).over(Window.partitionBy(*keys)))
-             .withColumn("_lo", F.col("_hi") - F.col(weight)))
-    # The fractions only place the shares; they carry slack, the whole numbers decide.
-    return spans.select(*keys, "bin", "_lo", "_hi", "_all", (F.col("_lo") / F.col("_all") - lit(1e-9)).alias("_from"),
-                        (F.col("_hi") / F.col("_all") + lit(1e-9)).alias("_to"))
-
-
-def _draw_bins(draws: DataFrame, spans: DataFrame, keys: Sequence[str], u: str, spread: Sequence[str],
-               slots: int) -> DataFrame:
-    """The bin whose share holds each draw: draws meet only the shares that touch their
-    slot of the unit interval."""
-    target = F.floor(F.col(u) * F.col("_all"))
-    return (range_join(draws, spans, keys, u, "_from", "_to", 1.0 / slots, spread)
-            .where((target >= F.col("_lo")) & (target < F.col("_hi"))).drop("_lo", "_hi", "_all", "_from", "_to"))
+#: Tests of one curve that share a copy of its bins.
+TOGETHER = 65_536
+OUTCOMES = ["bin_hit", "redraw", "nearest", "uniform"]
+
+
+def _place(masses: dict[int, int], carried: Sequence[str]):
+    """Arrow batches of tests (``carried``, _bins, _tries, _fall, _pick) -> chosen bin, number of the cadence in it, outcome."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = np.array(sorted(masses), np.int64)
+        mass_of = np.array([masses[b] for b in sorted(masses)], np.int64)
+        shares = np.cumsum(mass_of)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            lists = batch.column("_bins")
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            entries = lists.flatten()
+            bins, sizes = (c.to_numpy(zero_copy_only=False) for c in entries.flatten())
+            row, ends = np.repeat(np.arange(n), lengths), np.cumsum(lengths)
+            mass = np.zeros(len(bins), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, bins), len(known) - 1)
+                mass = np.where(known[at] == bins, mass_of[at], 0)
+            massive = np.bincount(row, weights=mass, minlength=n) > 0
+            # The populated bin whose share of the curve's weight holds the fall-back draw.
+            weight = np.cumsum(np.where(massive[row], mass, sizes))
+            upto = weight[ends - 1]
+            below = np.concatenate([[0], upto[:-1]])
+            fall = np.floor(batch.column("_fall").to_numpy() * (upto - below)).astype(np.int64)
+            chosen = np.searchsorted(weight, below + fall, side="right")
+            outcome = np.where(massive, 2, 3)
+            if len(known):
+                tries = batch.column("_tries").flatten().to_numpy().reshape(n, -1)
+                drawn = known[np.searchsorted(shares, np.floor(tries * shares[-1]).astype(np.int64), side="right")]
+                every = np.unique(np.concatenate([known, bins]))
+                has = row * len(every) + np.searchsorted(every, bins)
+                asked = np.arange(n)[:, None] * len(every) + np.searchsorted(every, drawn)
+                at = np.minimum(np.searchsorted(has, asked), len(has) - 1)
+                hit = has[at] == asked
+                first, found = hit.argmax(axis=1), hit.any(axis=1)
+                chosen = np.where(found, at[np.arange(n), first], chosen)
+                outcome = np.where(found, np.where(first == 0, 0, 1), outcome)
+            number = np.floor(batch.column("_pick").to_numpy() * sizes[chosen]).astype(np.int64) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in carried], pa.array(outcome.astype(np.int32)), pa.array(bins[chosen]), pa.array(number)],
+                names=[*carried, "_outcome", "bin", "_i"])
+    return run
 
 
 def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame, seed: str,
-                   tries: int = k.EPOCH_TRIES, test_key: str = "model_idx") -> DataFrame:
+                   tries: int = k.EPOCH_TRIES, test_key: str = "model_idx", together: int = TOGETHER) -> DataFrame:
     """Bin-first importance sampling of injection epochs.
 
     A bin is drawn by its histogram mass, up to ``tries`` times until the test's
@@ -58,29 +91,27 @@ def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame,
     cadence.  ``cadences``: tic, sector, time, bin; ``histogram``: bin, n.  A test whose
     curve has no cadence drops out; an empty histogram leaves only the last way.
 
-    Draws are rows (tests x tries) and find their bin by interval lookup; hits are
-    merged per test before the shuffle.  Cadences are numbered per (curve, bin) by
-    sharded counting."""
+    A test meets the bins of its curve in one join and draws there, so tries are never
+    shuffled.  A curve with more than ``together`` tests goes several ways.  Cadences are
+    numbered per (curve, bin) by sharded counting."""
     own = [*CURVE, test_key]
-    sizes = materialise(cadences.groupBy(*CURVE, "bin").agg(F.count(F.lit(1)).alias("_n")), "bin-sizes")
-    curve = Window.partitionBy(*CURVE)
-    weighed = (sizes.join(histogram.select("bin", F.col("n").alias("_m")), "bin", "left").fillna(0, ["_m"])
-               .withColumn("_massive", F.sum("_m").over(curve) > 0)
-               .withColumn("_w", F.when(F.col("_massive"), F.col("_m")).otherwise(F.col("_n"))))
-    tried = tests.select(*own, F.posexplode(F.array(
-        *[uniform(f"{seed}.try{a}", F.col(test_key)) for a in range(tries)])).alias("_a", "_u"))
-    drawn = _draw_bins(tried, _mass_intervals(histogram.select("bin", "n"), [], "n"), [], "_u", [test_key], 64)
-    hits = (attach(drawn, sizes.select(*CURVE, "bin"), [*CURVE, "bin"], [test_key], "inner")
-            .groupBy(*own).agg(F.min(F.struct("_a", "bin")).alias("_hit")))
-    asked = tests.select(*own, uniform(f"{seed}.fall", F.col(test_key)).alias("_uf"), uniform(f"{seed}.pick", F.col(test_key)).alias("_up"))
-    massive = weighed.groupBy(*CURVE).agg(F.first("_massive").alias("_massive"))
-    fall = _draw_bins(asked, _mass_intervals(weighed, CURVE, "_w"), CURVE, "_uf", [test_key], 16)
-    t = (attach(fall.withColumnRenamed("bin", "_other"), massive, CURVE, [test_key], "inner").join(hits, own, "left")
-         .select(*own, "_up", F.coalesce("_hit.bin", "_other").alias("bin"),
-                 F.when(F.col("_hit._a") == 0, "bin_hit").when(F.col("_hit").isNotNull(), "redraw")
-                 .when(F.col("_massive"), "nearest").otherwise("uniform").alias("outcome")))
-    t = (attach(t, sizes, [*CURVE, "bin"], [test_key], "inner")
-         .select(*own, "outcome", "bin", (F.floor(F.col("_up") * F.col("_n")) + 1).alias("_i")))
+    sizes = cadences.groupBy(*CURVE, F.col("bin").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # One entry per bin of a curve, in the order of the bins.
+    curves = sizes.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins"))
+    masses = {r["bin"]: r["n"] for r in histogram.where("n > 0").groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # one row per bin
+    busy = materialise(tests.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > together).select(
+        *CURVE, F.ceil(F.col("_c") / F.lit(together)).cast("bigint").alias("_ways")), "busy-curves")  # few: a row stands for many tests
+    ways, none = F.coalesce("_ways", F.lit(1)), F.lit(0).cast("bigint")
+    spread = (tests.where(F.col(test_key).isNotNull()).select(*own).join(F.broadcast(busy), CURVE, "left")
+              .withColumn("_way", F.pmod(F.xxhash64(test_key), ways)).drop("_ways"))
+    copied = curves.join(F.broadcast(busy), CURVE, "left").withColumn("_way", F.explode(F.sequence(none, ways - 1))).drop("_ways")
+
+    def u(name: str) -> Column:
+        return uniform(f"{seed}.{name}", F.col(test_key))
+    asked = spread.join(copied, [*CURVE, "_way"]).select(
+        *own, "_bins", F.array(*[u(f"try{a}") for a in range(tries)]).alias("_tries"), u("fall").alias("_fall"), u("pick").alias("_pick"))
+    schema = StructType([*asked.select(*own).schema.fields, StructField("_outcome", IntegerType()), StructField("bin", LongType()), StructField("_i", LongType())])
+    t = asked.mapInArrow(_place(masses, own), schema).withColumn("outcome", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("_outcome") + 1))
     numbered = running_total(cadences.select(*CURVE, "bin", "time"), [*CURVE, "bin"], "time", F.lit(1), "_i")
     return t.join(numbered, [*CURVE, "bin", "_i"]).select(test_key, *CURVE, "outcome", "bin", F.col("time").alias("inj_time"))
 
