@@ -9,6 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from threading import Event
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -104,20 +106,22 @@ def free_cadences(tests: DataFrame, source: Source) -> tuple[DataFrame, DataFram
 def campaign(tests: DataFrame, source: Source, placement: Placement, seed: str = "campaign") -> DataFrame:
     """One row for each test: where and what was injected, ``state`` (done or failed) with its ``reason``, and what was found.
 
-    Plan, inversion and partner draws; blocked cadences; placement; partners only where there are data; injected
-    flux; search; recovery labels."""
-    plan = planned(tests, source, seed)
+    Plan, inversion and partner draws; then :func:`carried_out`."""
+    return carried_out(planned(tests, source, seed), source, placement)
+
+
+def carried_out(plan: DataFrame, source: Source, placement: Placement) -> DataFrame:
+    """The rows of :func:`campaign` for tests that are :func:`planned`: blocked cadences; placement; partners only
+    where there are data; injected flux; search; recovery labels."""
     going = plan.where("reason IS NULL")
     free, blocked = free_cadences(going, source)
-    placed = materialise(placement(free, going), "placed")
-    rows = materialise(going.join(placed, "model_idx").withColumn("partner_time", F.col("inj_time") + F.col("partner_dt")), "placed-tests")
+    rows = materialise(going.join(placement(free, going), "model_idx").withColumn("partner_time", F.col("inj_time") + F.col("partner_dt")), "placed-tests")
     asked = rows.where("partner_time IS NOT NULL").select(*CURVE, "model_idx", F.col("partner_time").alias("time"))
     seen = within_cadence(source.cadences.select(*CURVE, "time"), asked, CURVE, "time").select("model_idx", F.lit(1).alias("_on"))
     rows = rows.join(seen, "model_idx", "left").withColumn("partner_time", F.when(F.col("_on") == 1, F.col("partner_time"))).drop("_on")
     rows = materialise(rows, "injected-tests")
     curves = injection.injected_curves(source.cadences, rows, injection.partner_transits(rows), "cadence_id")
-    curves = materialise(curves.select("model_idx", "time", "flux"), "injected")
-    found = search.search(curves, ["model_idx"], **source.searched)
+    found = search.search(curves.select("model_idx", "time", "flux"), ["model_idx"], **source.searched)
     labelled = matching.recovery_labels(found, rows, ["model_idx"], ["group_id"])
     judged = matching.recovery_by_test(rows, labelled, ["model_idx"]).select(
         "model_idx", "inj_time", "partner_time", "recovered", "recovered_partner", "recovered_pair", "n_events_flagged")
@@ -145,16 +149,38 @@ def finished(spark: SparkSession, folder: str) -> dict[tuple[int, int], str]:
 
 
 def run_ranges(tests: DataFrame, bounds: Sequence[tuple[int, int]], folder: str, run: Callable[[DataFrame], DataFrame],
-               key: str = "model_idx") -> DataFrame:
+               key: str = "model_idx", together: int = 1) -> DataFrame:
     """All rows of ``run`` over contiguous ranges [lo, hi) of ``key``; ranges that the ledger has are not run again.
 
-    A range is entered once its rows are written, under a name of its own: what an interrupted run left is never read."""
+    A range is entered once its rows are written, under a name of its own: what an interrupted run left is never read.
+    ``together`` ranges run side by side, as their many short jobs leave cores idle; the ledger is written by one hand."""
     spark = tests.sparkSession
-    for lo, hi in bounds:
-        if (lo, hi) in finished(spark, folder):
-            continue
+
+    stop = Event()
+
+    def written(bound: tuple[int, int]) -> tuple[int, int, str] | None:
+        if stop.is_set():
+            return None
+        lo, hi = bound
         path = f"{folder}/rows-{lo}-{hi}-{uuid.uuid4().hex}"
         run(tests.where((F.col(key) >= lo) & (F.col(key) < hi))).write.parquet(path)
-        spark.createDataFrame([(lo, hi, path)], "lo long, hi long, path string").write.mode("append").parquet(f"{folder}/ledger")
+        return lo, hi, path
+
+    done = finished(spark, folder)
+    missing = [b for b in dict.fromkeys(bounds) if b not in done]
+    with ThreadPool(max(1, together)) as pool:
+        lost = None
+        for task in [pool.apply_async(written, (b,)) for b in missing]:
+            try:
+                entry = task.get()
+            except Exception as e:  # no further range begins, those that run are still entered
+                lost = lost or e
+                stop.set()
+                continue
+            if entry is None:
+                continue
+            spark.createDataFrame([entry], "lo long, hi long, path string").write.mode("append").parquet(f"{folder}/ledger")
+    if lost is not None:
+        raise lost
     known = finished(spark, folder)
     return spark.read.parquet(*[known[b] for b in bounds])

@@ -163,9 +163,7 @@ FROM tests t LEFT JOIN lb ON lb.model_idx = t.model_idx GROUP BY t.model_idx""")
 def r13(v):
     """Inject, search and label every test; a test whose curve holds no data keeps
     its row with nothing flagged."""
-    from dipsift.operators.lineage import materialise
-    curves = materialise(injected(v).select("model_idx", "time", "flux"), "injected")
-    events = search.search(curves, ["model_idx"], LENGTHS, STEP, CADENCE, TOLERANCE)
+    events = search.search(injected(v).select("model_idx", "time", "flux"), ["model_idx"], LENGTHS, STEP, CADENCE, TOLERANCE)
     labelled = matching.recovery_labels(events, v.tests, ["model_idx"], ["group_id"])
     return matching.recovery_by_test(v.tests, labelled, ["model_idx"]).select(
         "model_idx", "recovered", "recovered_partner", "recovered_pair", "n_events_flagged")
@@ -191,4 +189,5 @@ def r13_chain(v):
         return chain.campaign(tests, source, chain.anywhere("chain.epoch"))
     middle = (ends["a"] + ends["z"] + 1) // 2
     bounds = [(lo, hi) for lo, hi in ((ends["a"], middle), (middle, ends["z"] + 1)) if lo < hi]
-    return chain.run_ranges(tests, bounds, folder(v, "campaign"), lambda part: chain.campaign(part, source, chain.anywhere("chain.epoch")))
+    plan = chain.planned(tests, source, "campaign")  # what does not depend on the range is worked out once
+    return chain.run_ranges(plan, bounds, folder(v, "campaign"), lambda part: chain.carried_out(part, source, chain.anywhere("chain.epoch")), together=2)
