@@ -103,6 +103,20 @@ def free_cadences(tests: DataFrame, source: Source) -> tuple[DataFrame, DataFram
     return free.drop("inverted_lc", "inj_duration"), blocked
 
 
+def searched_copies(cadences: DataFrame, tests: DataFrame, transits: DataFrame, whole: int = search.WHOLE, **searched) -> DataFrame:
+    """What a search finds in each test's copy of its curve with its ``transits``: the rows of :func:`search.search`.
+
+    A curve of up to ``whole`` cadences goes to its tests in one piece, and its copies are searched where they are made, so
+    neither copies nor peaks are shuffled or written.  Longer curves are cut by time."""
+    sizes = cadences.where(F.col("time").isNotNull()).groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_n"))
+    long = materialise(sizes.where(F.col("_n") > whole).select(*CURVE), "long-curves")  # few: a row stands for many cadences
+    if long.isEmpty():
+        return search.search_whole(injection.whole_copies(cadences, tests, transits), ["model_idx"], **searched)
+    found = search.search_whole(injection.whole_copies(cadences.join(F.broadcast(long), CURVE, "left_anti"), tests, transits), ["model_idx"], **searched)
+    copies = injection.injected_curves(cadences.join(F.broadcast(long), CURVE, "left_semi"), tests.join(F.broadcast(long), CURVE, "left_semi"), transits, "cadence_id")
+    return found.unionByName(search.search(copies.select("model_idx", "time", "flux"), ["model_idx"], **searched))
+
+
 def campaign(tests: DataFrame, source: Source, placement: Placement, seed: str = "campaign") -> DataFrame:
     """One row for each test: where and what was injected, ``state`` (done or failed) with its ``reason``, and what was found.
 
@@ -120,8 +134,7 @@ def carried_out(plan: DataFrame, source: Source, placement: Placement) -> DataFr
     seen = within_cadence(source.cadences.select(*CURVE, "time"), asked, CURVE, "time").select("model_idx", F.lit(1).alias("_on"))
     rows = rows.join(seen, "model_idx", "left").withColumn("partner_time", F.when(F.col("_on") == 1, F.col("partner_time"))).drop("_on")
     rows = materialise(rows, "injected-tests")
-    curves = injection.injected_curves(source.cadences, rows, injection.partner_transits(rows), "cadence_id")
-    found = search.search(curves.select("model_idx", "time", "flux"), ["model_idx"], **source.searched)
+    found = searched_copies(source.cadences, rows, injection.partner_transits(rows), **source.searched)
     labelled = matching.recovery_labels(found, rows, ["model_idx"], ["group_id"])
     judged = matching.recovery_by_test(rows, labelled, ["model_idx"]).select(
         "model_idx", "inj_time", "partner_time", "recovered", "recovered_partner", "recovered_pair", "n_events_flagged")

@@ -82,6 +82,18 @@ def _place(masses: dict[int, int], carried: Sequence[str]):
     return run
 
 
+def beside(tests: DataFrame, curves: DataFrame, test_key: str, together: int) -> DataFrame:
+    """Each test with what ``curves`` has of its curve, in one row for each curve.  A curve with more than ``together`` tests goes several ways."""
+    busy = materialise(tests.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > together).select(
+        *CURVE, F.ceil(F.col("_c") / F.lit(together)).cast("bigint").alias("_ways")), "busy-curves")  # few: a row stands for many tests
+    ways, none = F.coalesce("_ways", F.lit(1)), F.lit(0).cast("bigint")
+    spread = (tests.where(F.col(test_key).isNotNull()).join(F.broadcast(busy), CURVE, "left")
+              .withColumn("_way", F.pmod(F.xxhash64(test_key), ways)).drop("_ways"))
+    copied = curves.join(F.broadcast(busy), CURVE, "left").withColumn("_way", F.explode(F.sequence(none, ways - 1))).drop("_ways")
+    # Dealt by the join's keys, so that all cores have a share even where the curves are broadcast.
+    return spread.repartition(*CURVE, "_way").join(copied, [*CURVE, "_way"]).drop("_way")
+
+
 def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame, seed: str,
                    tries: int = k.EPOCH_TRIES, test_key: str = "model_idx", together: int = TOGETHER) -> DataFrame:
     """Bin-first importance sampling of injection epochs.
@@ -99,16 +111,10 @@ def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame,
     # One entry per bin of a curve, in the order of the bins.
     curves = sizes.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins"))
     masses = {r["bin"]: r["n"] for r in histogram.where("n > 0").groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # one row per bin
-    busy = materialise(tests.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > together).select(
-        *CURVE, F.ceil(F.col("_c") / F.lit(together)).cast("bigint").alias("_ways")), "busy-curves")  # few: a row stands for many tests
-    ways, none = F.coalesce("_ways", F.lit(1)), F.lit(0).cast("bigint")
-    spread = (tests.where(F.col(test_key).isNotNull()).select(*own).join(F.broadcast(busy), CURVE, "left")
-              .withColumn("_way", F.pmod(F.xxhash64(test_key), ways)).drop("_ways"))
-    copied = curves.join(F.broadcast(busy), CURVE, "left").withColumn("_way", F.explode(F.sequence(none, ways - 1))).drop("_ways")
 
     def u(name: str) -> Column:
         return uniform(f"{seed}.{name}", F.col(test_key))
-    asked = spread.join(copied, [*CURVE, "_way"]).select(
+    asked = beside(tests.select(*own), curves, test_key, together).select(
         *own, "_bins", F.array(*[u(f"try{a}") for a in range(tries)]).alias("_tries"), u("fall").alias("_fall"), u("pick").alias("_pick"))
     schema = StructType([*asked.select(*own).schema.fields, StructField("_outcome", IntegerType()), StructField("bin", LongType()), StructField("_i", LongType())])
     t = asked.mapInArrow(_place(masses, own), schema).withColumn("outcome", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("_outcome") + 1))
@@ -122,6 +128,23 @@ def transit_delta(time: Column, centre: Column, duration: Column, depth: Column)
     return F.when(F.abs(x) <= lit(1), -depth * (lit(1) - lit(k.INJECTION_CURVATURE) * x * x)).otherwise(lit(0))
 
 
+def _carried(tests: DataFrame, transits: DataFrame, test_key: str) -> DataFrame:
+    """Tests with the few transits of each as an array."""
+    dips = (transits.where(F.col("transit_duration") >= lit(-2e-9))
+            .groupBy(*CURVE, test_key).agg(F.collect_list(F.struct("centre", "transit_duration", "transit_depth")).alias("_dips")))
+    return tests.select(*CURVE, test_key, "inverted_lc").join(dips, [*CURVE, test_key], "left")
+
+
+def _injected_flux() -> Column:
+    """Flux of a cadence after inversion, with the deltas of ``_dips``."""
+    def delta(dip):
+        # Only what lies in the transit is worked out, so that a duration of 0 far off divides nothing.
+        near = F.abs(F.col("time") - dip["centre"]) <= dip["transit_duration"] / lit(2) + lit(1e-9)
+        return F.when(near, transit_delta(F.col("time"), dip["centre"], dip["transit_duration"], dip["transit_depth"])).otherwise(lit(0))
+    total = F.aggregate("_dips", lit(0).cast("double"), lambda so_far, dip: so_far + delta(dip))
+    return inverted(F.col("flux"), F.col("inverted_lc")) + F.coalesce(total, lit(0))
+
+
 def injected_curves(lc: DataFrame, tests: DataFrame, transits: DataFrame, cadence_key: str,
                     test_key: str = "model_idx") -> DataFrame:
     """Each test's copy of its curve: coin-flip inversion first, then the summed
@@ -131,19 +154,25 @@ def injected_curves(lc: DataFrame, tests: DataFrame, transits: DataFrame, cadenc
     are not shuffled a second time to meet their deltas.  ``tests``: tic, sector,
     test_key, inverted_lc; ``transits``: tic, sector, test_key, centre,
     transit_duration, transit_depth."""
-    dips = (transits.where(F.col("transit_duration") >= lit(-2e-9))
-            .groupBy(*CURVE, test_key).agg(F.collect_list(F.struct("centre", "transit_duration", "transit_depth")).alias("_dips")))
-    carried = tests.select(*CURVE, test_key, "inverted_lc").join(dips, [*CURVE, test_key], "left")
-
-    def delta(dip):
-        # Only what lies in the transit is worked out, so that a duration of 0 far off divides nothing.
-        near = F.abs(F.col("time") - dip["centre"]) <= dip["transit_duration"] / lit(2) + lit(1e-9)
-        return F.when(near, transit_delta(F.col("time"), dip["centre"], dip["transit_duration"], dip["transit_depth"])).otherwise(lit(0))
-    total = F.aggregate("_dips", lit(0).cast("double"), lambda so_far, dip: so_far + delta(dip))
     # Every test owns a copy of its curve; a busy curve is spread over salts.
-    return (attach(lc.select(*CURVE, "time", "flux", "phase", cadence_key), carried, CURVE, [cadence_key], "inner")
-            .withColumn("flux", inverted(F.col("flux"), F.col("inverted_lc")) + F.coalesce(total, lit(0)))
-            .drop("_dips"))
+    return (attach(lc.select(*CURVE, "time", "flux", "phase", cadence_key), _carried(tests, transits, test_key), CURVE, [cadence_key], "inner")
+            .withColumn("flux", _injected_flux()).drop("_dips"))
+
+
+#: Tests of one curve that share a copy of its cadences.
+COPIES = 1024
+
+
+def whole_copies(lc: DataFrame, tests: DataFrame, transits: DataFrame, test_key: str = "model_idx", together: int = COPIES) -> DataFrame:
+    """As :func:`injected_curves`, but a curve's cadences travel as one array, and each copy is made where its test meets it: the
+    rows of a test lie together, in the order of time.
+
+    Gives test_key, time, flux, ``_t`` (microdays), ``_n`` (cadences of the curve).  For curves whose cadences fit one row."""
+    micros = F.round(F.col("time") * lit(1_000_000)).cast("bigint").alias("_t")
+    curves = lc.where(F.col("time").isNotNull()).groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "flux", micros))).alias("_cadences"))
+    met = beside(_carried(tests, transits, test_key), curves, test_key, together)
+    return (met.select(test_key, "inverted_lc", "_dips", F.size("_cadences").alias("_n"), F.explode("_cadences").alias("_c"))
+            .select(test_key, "inverted_lc", "_dips", "_n", "_c.*").select(test_key, "time", _injected_flux().alias("flux"), "_t", "_n"))
 
 
 def partner_transits(tests: DataFrame, keys: Sequence[str] = (*CURVE, "model_idx")) -> DataFrame:

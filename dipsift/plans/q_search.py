@@ -137,10 +137,13 @@ ij AS (SELECT t.model_idx, t.tic, t.sector, l.event_id AS cadence_id, l.time,
   FROM tests t JOIN lc l ON l.tic = t.tic AND l.sector = t.sector LEFT JOIN dl ON dl.model_idx = t.model_idx AND dl.cadence_id = l.event_id)"""
 
 
+def cadences(v):
+    return v.lc.select("tic", "sector", "time", "flux", "phase", F.col("event_id").alias("cadence_id"))
+
+
 def injected(v):
     t = campaign_tests(v)
-    cad = v.lc.select("tic", "sector", "time", "flux", "phase", F.col("event_id").alias("cadence_id"))
-    return injection.injected_curves(cad, t, injection.partner_transits(t), "cadence_id")
+    return injection.injected_curves(cadences(v), t, injection.partner_transits(t), "cadence_id")
 
 
 @query("r11_injected_flux", f"""WITH {INJECT_SQL}
@@ -163,7 +166,8 @@ FROM tests t LEFT JOIN lb ON lb.model_idx = t.model_idx GROUP BY t.model_idx""")
 def r13(v):
     """Inject, search and label every test; a test whose curve holds no data keeps
     its row with nothing flagged."""
-    events = search.search(injected(v).select("model_idx", "time", "flux"), ["model_idx"], LENGTHS, STEP, CADENCE, TOLERANCE)
+    t = campaign_tests(v)
+    events = chain.searched_copies(cadences(v), t, injection.partner_transits(t), lengths=LENGTHS, max_step=STEP, cadence=CADENCE, tolerance=TOLERANCE)
     labelled = matching.recovery_labels(events, v.tests, ["model_idx"], ["group_id"])
     return matching.recovery_by_test(v.tests, labelled, ["model_idx"]).select(
         "model_idx", "recovered", "recovered_partner", "recovered_pair", "n_events_flagged")
@@ -172,7 +176,7 @@ def r13(v):
 def campaign_source(v):
     """Curves, eligible cadences, searched events and hosts of the campaign chain."""
     ratio = F.coalesce(F.col("sec_depth") / F.col("prim_depth"), lit(1)).alias("depth_ratio")
-    return chain.Source(v.lc.select("tic", "sector", "time", "flux", "phase", F.col("event_id").alias("cadence_id")),
+    return chain.Source(cadences(v),
                         eligible(v).select("tic", "sector", "time"), v.tce, hosts.orbit_columns(v.host).select("tic", "period", "p_crit", ratio),
                         searched={"lengths": LENGTHS, "max_step": STEP, "cadence": CADENCE, "tolerance": TOLERANCE})
 
