@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 from threading import Event
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipsift.functions import constants as k
@@ -36,11 +36,21 @@ def _own_curves(df: DataFrame) -> DataFrame:
     return df.withColumn("tic", F.col("model_idx"))
 
 
+@dataclass(frozen=True)
+class Anywhere:
+    seed: str
+
+    def __call__(self, cadences: DataFrame, tests: DataFrame) -> DataFrame:
+        return injection.uniform_epochs(_own_curves(cadences), _own_curves(tests), self.seed).select("model_idx", "inj_time")
+
+    def among(self, times: Column) -> Column:
+        """What the call takes of a test's free ``times``, an array in order."""
+        return F.get(times, F.floor(uniform(self.seed, F.col("model_idx")) * F.size(times)).cast("int"))
+
+
 def anywhere(seed: str) -> Placement:
     """Every free cadence of the test's curve alike."""
-    def place(cadences: DataFrame, tests: DataFrame) -> DataFrame:
-        return injection.uniform_epochs(_own_curves(cadences), _own_curves(tests), seed).select("model_idx", "inj_time")
-    return place
+    return Anywhere(seed)
 
 
 def like_histogram(seed: str, histogram: DataFrame, tries: int = k.EPOCH_TRIES) -> Placement:
@@ -103,6 +113,51 @@ def free_cadences(tests: DataFrame, source: Source) -> tuple[DataFrame, DataFram
     return free.drop("inverted_lc", "inj_duration"), blocked
 
 
+#: Eligible cadences times searched events of a curve that a test compares one by one; changes the cost alone.
+MEETINGS = 50_000
+
+
+def free_times(tests: DataFrame, source: Source) -> DataFrame:
+    """The tests with the times of :func:`free_cadences` as an array in order, ``_free``, and ``n_blocked``.  For curves whose
+    eligible times fit one row; tests of a curve without any drop out."""
+    times = source.eligible.where("time IS NOT NULL").groupBy(*CURVE).agg(F.array_sort(F.collect_list("time")).alias("_times"))
+    seen = source.events.groupBy(*CURVE).agg(F.collect_list(F.struct("event_time", "duration")).alias("_seen"))
+
+    def near(t: Column) -> Column:
+        def covers(event: Column) -> Column:
+            half = (event["duration"] + F.col("inj_duration")) / lit(2) + lit(k.CADENCE_DAYS)
+            return (t > event["event_time"] - half) & (t < event["event_time"] + half)
+        return F.coalesce(F.exists("_seen", covers), F.lit(False))
+    free = F.when(F.col("inverted_lc") == 1, F.col("_times")).otherwise(F.filter("_times", lambda t: ~near(t)))
+    return (injection.beside(tests, times.join(seen, CURVE, "left"), "model_idx", injection.COPIES).withColumn("_free", free)
+            .withColumn("n_blocked", (F.size("_times") - F.size("_free")).cast("bigint")).drop("_times", "_seen"))
+
+
+def placed(tests: DataFrame, source: Source, placement: Placement, whole: int = search.WHOLE, meetings: int = MEETINGS) -> tuple[DataFrame, DataFrame]:
+    """(tests that found an epoch, with ``inj_time``; n_blocked by test).
+
+    Where any free cadence will do, a test chooses beside the times of its curve, and no copies are made; long or busy curves, and
+    other placements, have their free cadences as rows."""
+    def by_rows(tests: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
+        free, blocked = free_cadences(tests, source)
+        return materialise(tests.join(placement(free, tests), "model_idx"), "placed-tests"), blocked
+    if not isinstance(placement, Anywhere):
+        return by_rows(tests, source)
+    sizes = source.eligible.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_n")).join(
+        source.events.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("_m")), CURVE, "left")
+    long = materialise(sizes.where((F.col("_n") > whole) | (F.col("_n") * F.col("_m") > meetings)).select(*CURVE), "long-curves")  # few, as a row stands for many
+    split = not long.isEmpty()
+    short = Source(source.cadences, source.eligible.join(F.broadcast(long), CURVE, "left_anti"), source.events.join(F.broadcast(long), CURVE, "left_anti"),
+                   source.hosts) if split else source
+    near = free_times(tests, short)
+    chosen = materialise(near.withColumn("inj_time", placement.among(F.col("_free"))).drop("_free"), "placed-tests")
+    rows, blocked = chosen.where("inj_time IS NOT NULL").drop("n_blocked"), chosen.select("model_idx", "n_blocked")
+    if split:
+        others, more = by_rows(tests.join(F.broadcast(long), CURVE, "left_semi"), source)
+        rows, blocked = rows.unionByName(others), blocked.unionByName(more)
+    return rows, blocked
+
+
 def searched_copies(cadences: DataFrame, tests: DataFrame, transits: DataFrame, whole: int = search.WHOLE, **searched) -> DataFrame:
     """What a search finds in each test's copy of its curve with its ``transits``: the rows of :func:`search.search`.
 
@@ -128,8 +183,8 @@ def carried_out(plan: DataFrame, source: Source, placement: Placement) -> DataFr
     """The rows of :func:`campaign` for tests that are :func:`planned`: blocked cadences; placement; partners only
     where there are data; injected flux; search; recovery labels."""
     going = plan.where("reason IS NULL")
-    free, blocked = free_cadences(going, source)
-    rows = materialise(going.join(placement(free, going), "model_idx").withColumn("partner_time", F.col("inj_time") + F.col("partner_dt")), "placed-tests")
+    rows, blocked = placed(going, source, placement)
+    rows = rows.withColumn("partner_time", F.col("inj_time") + F.col("partner_dt"))
     asked = rows.where("partner_time IS NOT NULL").select(*CURVE, "model_idx", F.col("partner_time").alias("time"))
     seen = within_cadence(source.cadences.select(*CURVE, "time"), asked, CURVE, "time").select("model_idx", F.lit(1).alias("_on"))
     rows = rows.join(seen, "model_idx", "left").withColumn("partner_time", F.when(F.col("_on") == 1, F.col("partner_time"))).drop("_on")

@@ -90,8 +90,10 @@ def beside(tests: DataFrame, curves: DataFrame, test_key: str, together: int) ->
     spread = (tests.where(F.col(test_key).isNotNull()).join(F.broadcast(busy), CURVE, "left")
               .withColumn("_way", F.pmod(F.xxhash64(test_key), ways)).drop("_ways"))
     copied = curves.join(F.broadcast(busy), CURVE, "left").withColumn("_way", F.explode(F.sequence(none, ways - 1))).drop("_ways")
-    # Dealt by the join's keys, so that all cores have a share even where the curves are broadcast.
-    return spread.repartition(*CURVE, "_way").join(copied, [*CURVE, "_way"]).drop("_way")
+    # Dealt by the join's keys, so that all cores have a share of few bytes even where the curves are broadcast.
+    spark = tests.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spread.repartition(tasks, *CURVE, "_way").join(copied, [*CURVE, "_way"]).drop("_way")
 
 
 def matched_epochs(cadences: DataFrame, histogram: DataFrame, tests: DataFrame, seed: str,
